@@ -47,7 +47,7 @@ def term_hash(words: T.Words) -> np.ndarray:
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(item_id, number, n, digest, terms): the windows of every item."""
+    """(item_id, n, digest, terms): the windows of every item, each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -59,12 +59,12 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
                 h = term_hash(words).view(np.int64)
                 n = min(window, len(h))
                 for at in range(len(h) - n + 1):
-                    rows.append((item, at, n, digest(words, at, n), h[at : at + n].tolist()))
+                    rows.append((item, n, digest(words, at, n), h[at : at + n].tolist()))
             for lo in range(0, len(rows), 4096):
-                item, at, n, d, terms = zip(*rows[lo : lo + 4096])
-                yield pa.RecordBatch.from_arrays([pa.array(item), pa.array(at, pa.int32()), pa.array(n, pa.int32()), pa.array(d), pa.array(terms, pa.list_(pa.int64()))], ["item_id", "number", "n", "digest", "terms"])
+                item, n, d, terms = zip(*rows[lo : lo + 4096])
+                yield pa.RecordBatch.from_arrays([pa.array(item), pa.array(n, pa.int32()), pa.array(d), pa.array(terms, pa.list_(pa.int64()))], ["item_id", "n", "digest", "terms"])
 
-    return benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "item_id string, number int, n int, digest binary, terms array<long>")
+    return benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "item_id string, n int, digest binary, terms array<long>").dropDuplicates(["item_id", "digest"])
 
 
 def digest(words: T.Words, at: int, n: int) -> bytes:
@@ -137,19 +137,19 @@ def positional_index(documents: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def rarest_terms(windows: DataFrame, counts: DataFrame, most: int = RAREST) -> DataFrame:
-    """(item_id, number, n, digest, term, offset, rank, of): each window's terms from the rarest on, where all its terms occur."""
-    spread = windows.select("item_id", "number", "n", "digest", F.posexplode("terms").alias("offset", "term"))
+    """(item_id, n, digest, term, offset, rank, of): each window's terms from the rarest on, where all its terms occur."""
+    spread = windows.select("item_id", "n", "digest", F.posexplode("terms").alias("offset", "term"))
     known = spread.join(counts, "term")
-    w = Window.partitionBy("item_id", "number")
+    w = Window.partitionBy("item_id", "digest")
     ranked = known.withColumn("found", F.count("*").over(w)).withColumn("rank", F.row_number().over(w.orderBy("df", "offset")))
-    return ranked.where(f"found = n and rank <= {most}").select("item_id", "number", "n", "digest", "term", "offset", "rank", F.least("n", F.lit(most)).alias("of"))
+    return ranked.where(f"found = n and rank <= {most}").select("item_id", "n", "digest", "term", "offset", "rank", F.least("n", F.lit(most)).alias("of"))
 
 
 def starts(index: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(item_id, number, n, digest, doc_id, start): offset-adjusted lists of a window's chosen terms, intersected."""
-    shifted = index.join(chosen, "term").select("item_id", "number", "n", "digest", "of", "doc_id", "rank", F.explode("positions").alias("position"), "offset").select("item_id", "number", "n", "digest", "of", "doc_id", "rank", (F.col("position") - F.col("offset")).alias("start")).where("start >= 0")
-    met = shifted.groupBy("item_id", "number", "n", "digest", "of", "doc_id", "start").agg(F.bit_or(F.expr("shiftleft(1, rank - 1)")).alias("met"))
-    return met.where(F.bit_count("met") == F.col("of")).select("item_id", "number", "n", "digest", "doc_id", "start")
+    """(item_id, n, digest, doc_id, start): offset-adjusted lists of a window's chosen terms, intersected."""
+    shifted = index.join(chosen, "term").select("item_id", "n", "digest", "of", "doc_id", "rank", F.explode("positions").alias("position"), "offset").select("item_id", "n", "digest", "of", "doc_id", "rank", (F.col("position") - F.col("offset")).alias("start")).where("start >= 0")
+    met = shifted.groupBy("item_id", "n", "digest", "of", "doc_id", "start").agg(F.bit_or(F.expr("shiftleft(1, rank - 1)")).alias("met"))
+    return met.where(F.bit_count("met") == F.col("of")).select("item_id", "n", "digest", "doc_id", "start")
 
 
 def candidates(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -162,16 +162,17 @@ def candidates(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW)
 
 
 def proximity(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, terms: int = 4, slop: int = 3) -> DataFrame:
-    """Near matches (doc_id, item_id, number, start, n_terms): the rarest term of a window stands at
+    """Near matches (doc_id, item_id, digest, start, n_terms): the rarest term of a window stands at
     its place, and n_terms of its `terms` rarest, it included and all but one at least, within slop of theirs."""
     windows = written(item_windows(benchmark, window), "windows")
     counts = document_counts(documents, windows.select(F.explode("terms").alias("term")))
     chosen = written(rarest_terms(windows, counts, terms), "chosen")
     index = written(positional_index(documents, chosen.select("term")), "index")
-    placed = index.join(chosen, "term").select("item_id", "number", "of", "doc_id", "rank", (F.explode("positions") - F.col("offset")).alias("at"))
-    first = placed.where("rank = 1").select("item_id", "number", "of", "doc_id", F.col("at").alias("start"))
-    near = first.join(placed.drop("of"), ["item_id", "number", "doc_id"]).where(F.abs(F.col("at") - F.col("start")) <= slop)
-    met = near.groupBy("doc_id", "item_id", "number", "start", "of").agg(F.bit_count(F.bit_or(F.expr("shiftleft(1, rank - 1)"))).cast("long").alias("n_terms"))
+    placed = index.join(chosen, "term").select("item_id", "digest", "of", "doc_id", "rank", "offset", F.explode("positions").alias("position"))
+    placed = placed.select("item_id", "digest", "of", "doc_id", "rank", (F.col("position") - F.col("offset")).alias("at"))
+    first = placed.where("rank = 1").select("item_id", "digest", "of", "doc_id", F.col("at").alias("start"))
+    near = first.join(placed.drop("of"), ["item_id", "digest", "doc_id"]).where(F.abs(F.col("at") - F.col("start")) <= slop)
+    met = near.groupBy("doc_id", "item_id", "digest", "start", "of").agg(F.bit_count(F.bit_or(F.expr("shiftleft(1, rank - 1)"))).cast("long").alias("n_terms"))
     return met.where("n_terms >= greatest(of - 1, 1)").drop("of").withColumn("doc_id", F.nullif("doc_id", F.lit(NULL_ID)))
 
 

@@ -121,9 +121,9 @@ def probing(found: DataFrame) -> DataFrame:
     return found.select("label", "dim", "node", "n", "embedding").mapInArrow(run, "label string, dim int, cell long, home boolean, node long, n long, embedding array<double>")
 
 
-def cell_links(cell: int, at_home: np.ndarray, node: np.ndarray, n: np.ndarray, x: np.ndarray, cosine: float):
-    """(links of each row counted in this cell, forest a, forest b) among one cell's rows."""
-    mine = np.flatnonzero(at_home)
+def cell_links(cell: int, mine: np.ndarray, at_home: np.ndarray, node: np.ndarray, n: np.ndarray, x: np.ndarray, cosine: float):
+    """(links of each row counted in this cell, forest a, forest b) among one cell's rows; `mine` are those at home there that this part compares."""
+    mine = np.flatnonzero(mine)
     counts = np.zeros(len(node), np.int64)
     a, b = np.empty(0, np.int64), np.empty(0, np.int64)
     if not len(mine) or len(node) < 2:
@@ -163,7 +163,7 @@ def links(found: DataFrame, cosine: float = COSINE) -> DataFrame:
     large = written(large, "large")
     placed = spread.join(large, (F.col("label") == F.col("l")) & (F.col("dim") == F.col("d")) & (F.col("cell") == F.col("c")), "left").drop("l", "d", "c")
     cuts = F.coalesce(F.col("cuts"), F.lit(1))
-    placed = placed.withColumn("mine", F.when(F.col("home"), F.pmod(F.xxhash64("node"), cuts)).otherwise(-1)).withColumn("cut", F.explode(F.sequence(F.lit(0), cuts - 1))).withColumn("home", F.col("mine") == F.col("cut")).drop("cuts", "mine")
+    placed = placed.withColumn("mine", F.when(F.col("home"), F.pmod(F.xxhash64("node"), cuts)).otherwise(-1)).withColumn("cut", F.explode(F.sequence(F.lit(0), cuts - 1))).withColumn("mine", F.col("mine") == F.col("cut")).drop("cuts")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by bucket; one bucket's part is held at a time."""
@@ -173,8 +173,8 @@ def links(found: DataFrame, cosine: float = COSINE) -> DataFrame:
         def close():
             t = pa.Table.from_batches(held).combine_chunks()
             node, n = (t.column(c).combine_chunks().to_numpy() for c in ("node", "n"))
-            at_home = t.column("home").to_numpy()
-            counts, a, b = cell_links(key[2], at_home, node, n, unit(as_matrix(t.column("embedding").combine_chunks())), cosine)
+            mine, at_home = (t.column(c).to_numpy() for c in ("mine", "home"))
+            counts, a, b = cell_links(key[2], mine, at_home, node, n, unit(as_matrix(t.column("embedding").combine_chunks())), cosine)
             some = counts > 0
             none = pa.nulls(len(a), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([node[some], a])), pa.concat_arrays([pa.array(counts[some]), none]), pa.concat_arrays([pa.nulls(int(some.sum()), pa.int64()), pa.array(b)])], ["node", "n_links", "root"])
