@@ -130,6 +130,16 @@ def windows(h: np.ndarray, n: int, base: int) -> np.ndarray:
     return mix(out)
 
 
+def spans(h: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
+    """Hash of h[start:end] for each pair of bounds, order-sensitive, length included."""
+    base |= 1
+    with np.errstate(over="ignore"):
+        total = np.zeros(len(h) + 1, U64)
+        np.cumsum(h * powers(base, len(h)), out=total[1:])
+        out = (total[end] - total[start]) * powers(pow(base, -1, 1 << 64), len(h) + 1)[start]
+        return mix(out + (end - start).astype(U64) * U64(0x9FB21C651E98DF25))
+
+
 def ragged(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     """A list column: row i holds values[bounds[i]:bounds[i+1]]."""
     return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, kind))

@@ -5,14 +5,17 @@ SPAN words is the window's anchor (winnowing with windows of SPAN - SEED + 1 run
 anchor depends on its words alone, so a passage of SPAN words has the same anchor wherever
 it stands. Documents meet on anchors: those of one document alone are done with.
 
-Extend: a shared anchor is extended both ways to each window of SPAN words that it is the
-anchor of, and the extensions, as 128-bit hashes of all their words, meet in turn with the
-least document holding them. A window that a smaller document holds is a repeat; overlapping
-and touching windows of a document run together into maximal repeats. No pair of documents is
-ever formed: a passage held by very many costs each one row for each window.
-
-Between the passes travels a Bloom filter of shared anchors, of a bounded size. It may let
-an unshared anchor through, whose windows then meet nothing; it loses none.
+Extend: a shared anchor is extended both ways over all the windows that it is the anchor of,
+which follow each other. Occurrences whose extensions are alike to the last word (128-bit
+hashes) are one class, and all but its least document's are repeats as a whole. Where an
+anchor has several classes, their extensions differ somewhere: then the least document's
+occurrence of each is taken apart into its windows, which meet one by one. Since equal
+windows have equal anchors, no other windows can be alike. Overlapping and touching repeats
+of a document run together into maximal repeats. No pair of documents is ever formed: a
+passage held by very many costs each one row for each anchor.
+
+Between the passes travel Bloom filters of a bounded size, of shared anchors and of classes
+to be taken apart. They may let others through, which then meet nothing; they lose none.
 
 Defined results: null and empty texts have no words. Windows are judged on the input. Rows
 sharing a doc_id are one document: they don't repeat each other. A null doc_id sorts after
@@ -80,54 +83,107 @@ def shared_anchors(texts: DataFrame, span: int) -> DataFrame:
     return met.where("a < z").select("anchor")
 
 
+OCCURRENCE = "doc_id long, row long, start int, n int, anchor long, e1 long, e2 long"
+
+
+def occurrences(b: pa.RecordBatch, known, span: int):
+    """(of, start, n, anchor, e1, e2, h, words) of each slice of a batch: maximal runs of windows with one anchor that
+    `known` admits; start is the number of the run's first word in `words`, of its text's number in the batch."""
+    docs = T.as_bytes(b.column("text"))
+    for lo, hi in T.slices(docs):
+        words = T.Words(docs[lo:hi], T.BLANKS)
+        at = whole_windows(words, span)
+        if not len(at):
+            continue
+        (h,) = words.hashes()
+        low, owner = anchors(h, span)[at], words.owner()[at]
+        opens = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (owner[1:] != owner[:-1])]))
+        n = np.diff(np.append(opens, len(at)))
+        some = known(low[opens])
+        opens, n = opens[some], n[some]
+        if len(opens):
+            start = at[opens]
+            e1, e2 = (T.spans(h, start, start + n + span - 1, base) for base in (FIRST_BASE, SECOND_BASE))
+            yield owner[opens] + lo, start, n, low[opens], e1, e2, h, words, lo
+
+
 def extensions(texts: DataFrame, filter_, span: int) -> DataFrame:
-    """(doc_id, row, start, w1, w2): the windows around anchors that the filter lets through."""
+    """Occurrences of the anchors that the filter lets through, each with the hashes of its extension."""
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, rows, docs = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("row").to_numpy(zero_copy_only=False), T.as_bytes(b.column("text"))
-            for lo, hi in T.slices(docs):
-                words = T.Words(docs[lo:hi], T.BLANKS)
-                at = whole_windows(words, span)
-                if not len(at):
-                    continue
-                (h,) = words.hashes()
-                low = anchors(h, span)[at]
-                new = np.concatenate([[True], low[1:] != low[:-1]])
-                known = bloom.contains(filter_.value, low[new])[np.cumsum(new) - 1]
-                at = at[known]
-                if not len(at):
+            ids, rows = (b.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "row"))
+            for of, start, n, anchor, e1, e2, _, words, lo in occurrences(b, lambda a: bloom.contains(filter_.value, a), span):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[of]), pa.array(rows[of]), pa.array((start - words.first[of - lo]).astype(np.int32)), pa.array(n.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in (anchor, e1, e2))], ["doc_id", "row", "start", "n", "anchor", "e1", "e2"])
+
+    return texts.mapInArrow(extend, OCCURRENCE)
+
+
+def class_key(anchor: np.ndarray, e1: np.ndarray, e2: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return T.mix(anchor * T.U64(3) + e1 * T.U64(5) + e2 * T.U64(7) + T.mix(doc.astype(np.int64).view(T.U64)))
+
+
+def apart(texts: DataFrame, anchors_, classes_, span: int) -> DataFrame:
+    """(doc_id, row, start, w1, w2): windows of the occurrences that the filter of classes lets through."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, rows = (b.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "row"))
+            for of, start, n, anchor, e1, e2, h, words, lo in occurrences(b, lambda a: bloom.contains(anchors_.value, a), span):
+                some = bloom.contains(classes_.value, class_key(anchor, e1, e2, ids[of]))
+                of, start, n = of[some], start[some], n[some]
+                if not len(of):
                     continue
-                of = words.owner()[at]
+                of = np.repeat(of, n)
+                at = np.repeat(start - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
                 hashes = [T.windows(h, span, base)[at].view(np.int64) for base in (FIRST_BASE, SECOND_BASE)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][of]), pa.array(rows[lo:hi][of]), pa.array((at - words.first[of]).astype(np.int32)), *map(pa.array, hashes)], ["doc_id", "row", "start", "w1", "w2"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[of]), pa.array(rows[of]), pa.array((at - words.first[of - lo]).astype(np.int32)), *map(pa.array, hashes)], ["doc_id", "row", "start", "w1", "w2"])
 
-    return texts.mapInArrow(extend, "doc_id long, row long, start int, w1 long, w2 long")
+    return texts.mapInArrow(split, "doc_id long, row long, start int, w1 long, w2 long")
 
 
-def repeated_windows(documents: DataFrame, span: int = SPAN) -> DataFrame:
-    """(doc_id, row, starts): where windows start that a smaller document holds too; row is the text's hash."""
-    texts = _texts(documents)
-    seeds = written(shared_anchors(texts, span), "anchors")
-    bits = bloom.bits_for(seeds.count())
+def filter_of(keys: DataFrame, as_hash):
+    """Broadcast Bloom filter of the rows' hashes; as_hash makes them from a batch."""
+    bits = bloom.bits_for(keys.count())
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b.column("anchor").to_numpy(zero_copy_only=False).view(np.uint64) for b in batches]
+        got = [as_hash(b) for b in batches]
         if got:
             all_here = np.concatenate(got)
             yield from bloom.packed(all_here, np.zeros(len(all_here), bool), bits)
 
-    shared = documents.sparkSession.sparkContext.broadcast(bloom.merged(seeds.mapInArrow(build, bloom.SCHEMA), bits, "once"))
-    found = written(extensions(texts, shared, span), "extensions")
-    first = found.groupBy("w1", "w2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("w1", "w2", "a")
-    return found.join(first.hint("merge"), ["w1", "w2"]).where("doc_id > a").groupBy("doc_id", "row").agg(F.collect_set("start").alias("starts"))
+    return keys.sparkSession.sparkContext.broadcast(bloom.merged(keys.mapInArrow(build, bloom.SCHEMA), bits, "once"))
+
+
+def _column(b: pa.RecordBatch, name: str) -> np.ndarray:
+    return b.column(name).to_numpy(zero_copy_only=False).view(np.uint64)
 
 
-def covered(starts: list[int], n_words: int, span: int = SPAN) -> np.ndarray:
-    """Flags of the words that windows at the starts cover."""
+def repeated_windows(documents: DataFrame, span: int = SPAN) -> DataFrame:
+    """(doc_id, row, runs): runs of windows that a smaller document holds too, as structs of start and n; row is the text's hash."""
+    texts = _texts(documents)
+    seeds = written(shared_anchors(texts, span), "anchors")
+    known = filter_of(seeds, lambda b: _column(b, "anchor"))
+    found = written(extensions(texts, known, span), "extensions")
+    key = ["anchor", "e1", "e2"]
+    alike = written(found.groupBy(*key).agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")), "alike")
+    whole = found.join(alike.where("a < z").select(*key, "a").hint("merge"), key).where("doc_id > a").select("doc_id", "row", "start", "n")
+    several = alike.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor")
+    picked = written(alike.join(several, "anchor").select(*key, "a"), "picked")
+    classes_ = filter_of(picked, lambda b: class_key(*(_column(b, c) for c in key), b.column("a").to_numpy(zero_copy_only=False)))
+    windows = written(apart(texts, known, classes_, span), "apart")
+    first = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("w1", "w2", "a")
+    single = windows.join(first.hint("merge"), ["w1", "w2"]).where("doc_id > a").select("doc_id", "row", "start", F.lit(1).alias("n"))
+    return whole.unionByName(single).groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+
+
+def covered(runs: list[dict], n_words: int, span: int = SPAN) -> np.ndarray:
+    """Flags of the words that the runs of windows cover."""
     edge = np.zeros(n_words + 1, np.int64)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, np.array(starts) + span, -1)
+    start = np.array([r["start"] for r in runs])
+    np.add.at(edge, start, 1)
+    np.add.at(edge, start + np.array([r["n"] for r in runs]) + span - 1, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -137,8 +193,8 @@ def maximal_repeats(documents: DataFrame, span: int = SPAN) -> DataFrame:
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for doc, row, starts in zip(*(c.to_pylist() for c in b.columns)):
-                flags = covered(starts, max(starts) + span, span)
+            for doc, row, runs in zip(*(c.to_pylist() for c in b.columns)):
+                flags = covered(runs, max(r["start"] + r["n"] for r in runs) + span - 1, span)
                 edges = np.flatnonzero(np.diff(flags, prepend=False, append=False))
                 out += [(doc, row, int(a), int(z)) for a, z in zip(edges[::2], edges[1::2])]
             doc, row, a, z = zip(*out) if out else ([], [], [], [])
@@ -153,16 +209,16 @@ def substring_dedup(documents: DataFrame, span: int = SPAN) -> DataFrame:
     others = [c for c in documents.columns if c not in ("text", "n_words", "n_removed")]
     text = F.col("text").cast("string")
     packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("rest"), text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.xxhash64(text).alias("row"))
-    joined = packed.join(found.hint("shuffle_hash"), ["doc_id", "row"], "left").select("rest", "text", "starts")
+    joined = packed.join(found.hint("shuffle_hash"), ["doc_id", "row"], "left").select("rest", "text", "runs")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, n_words, n_removed = [], [], []
-            for text, starts in zip(T.as_bytes(b.column("text")), b.column("starts").to_pylist()):
+            for text, runs in zip(T.as_bytes(b.column("text")), b.column("runs").to_pylist()):
                 words = text.split()
                 n_words.append(len(words))
-                if starts:
-                    gone = covered(starts, len(words), span)
+                if runs:
+                    gone = covered(runs, len(words), span)
                     words = [w for w, g in zip(words, gone.tolist()) if not g]
                 n_removed.append(n_words[-1] - len(words))
                 texts.append(b" ".join(words))
