@@ -61,7 +61,8 @@ def parsed(raw: Column) -> Column:
 
 def confidence(text: Column) -> Column:
     """A number from 0 to 1, clamped, or null."""
-    return F.greatest(F.least(text.try_cast("double"), F.lit(1.0)), F.lit(0.0))
+    number = text.try_cast("double")
+    return F.when(number.isNotNull(), F.greatest(F.least(number, F.lit(1.0)), F.lit(0.0)))
 
 
 def best_by_dimension(rated: DataFrame, keys: list[str], score: str = "score", order: str = "chunk_idx") -> DataFrame:

@@ -99,7 +99,7 @@ def npm_lock_pins(files: DataFrame) -> DataFrame:
         with recursive tree(file_name, name, version, deps) as (
             select file_name, cast(null as string), cast(null as string), deps from __nested_locks where deps is not null
             union all
-            select t.file_name, k.key, try_variant_get(parse_json(k.value), '$.version', 'string'), get_json_object(k.value, '$.dependencies')
+            select t.file_name, k.key, try_variant_get(try_parse_json(k.value), '$.version', 'string'), get_json_object(k.value, '$.dependencies')
             from tree t, lateral explode(from_json(t.deps, 'map<string,string>')) as k(key, value)
             where t.deps is not null)
         select file_name, name, version from tree where name is not null and version <> ''""")

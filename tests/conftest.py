@@ -22,3 +22,9 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture(scope="session")
+def spark_session(spark):
+    """For hypothesis, which wants no function-scoped fixtures."""
+    return spark
