@@ -209,6 +209,7 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
     counts = linked.where("n_links is not null").groupBy("node").agg(F.sum("n_links").alias("others"))
     known = found.select("h1", "h2", "node", "n").join(counts, "node", "left").join(roots, "node", "left")
     known = known.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("component_id"))
+    known = written(known, "known")  # both sides of the join are then plain exchanges, of which Spark can split a hot class
     out = ids.join(known.hint("merge"), (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")), "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
