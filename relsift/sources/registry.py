@@ -22,6 +22,13 @@ def npm_url(registry: str, package) -> Column:
     return F.concat(F.lit(registry.rstrip("/") + "/"), F.replace(F.url_encode(package), F.lit("+"), F.lit("%20")))
 
 
+def pypi_url(registry: str, package: Column, version: Column | None = None) -> Column:
+    """Address of a project document (S04), or of one version's."""
+    part = lambda c: F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))
+    name = F.concat(F.lit(registry.rstrip("/") + "/"), part(package))
+    return F.concat(name, F.lit("/json")) if version is None else F.concat(name, F.lit("/"), part(version), F.lit("/json"))
+
+
 def npm_versions(documents: DataFrame) -> DataFrame:
     """(package, version, tarball, integrity, shasum) of each version."""
     v = _json(documents).select("package", F.explode(F.try_variant_get("j", "$.versions", "map<string,variant>")).alias("version", "v"))

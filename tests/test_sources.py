@@ -152,6 +152,7 @@ def test_registry(spark):
     docs = spark.createDataFrame([("p", "1", json.dumps(files)), ("p", "2", '{"urls": []}')], "package string, version string, body string")
     assert [(r.version, r.filename, r.sha256) for r in registry.pypi_artifacts(docs).collect()] == [("1", "s1", "d")]
     assert spark.range(1).select(registry.npm_url("https://r/", F.lit("@s/p"))).first()[0] == "https://r/%40s%2Fp"
+    assert spark.range(1).select(registry.pypi_url("https://r/", F.lit("a b"), F.lit("1.0"))).first()[0] == "https://r/a%20b/1.0/json"
     assert spark.range(1).select(history.last_versions(F.array(*[F.lit(str(i)) for i in range(12)]))).first()[0] == sorted(map(str, range(12)))[-10:]
 
 
