@@ -13,7 +13,7 @@ of its own, that is to anchors within RADIUS + THRESHOLD: about five of each blo
 anchor, the fingerprints at home there are compared with all that were replicated to it.
 
 Equal fingerprints are one before the search, so groups of copies cost one row. Anchors are
-12,288 in all, hence their sizes are a small table: an anchor whose comparisons exceed WORK is
+12,288 in all, hence their sizes are a small table: an anchor whose pairs exceed WORK is
 split by its home side into as many cells as needed, and no comparison is dropped. A cell
 returns a spanning forest of its links and never all pairs.
 
@@ -41,8 +41,10 @@ from relsift.llm._session import written
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 BLOCKS = ((0, 22), (22, 21), (43, 21))
 RADIUS, THRESHOLD = 3, 1
-#: Comparisons in one cell at most, as planned from the anchors' sizes.
-WORK = 1 << 28
+#: Pairs in one cell at most, as planned from the anchors' sizes; bands leave about one in 1,400 of them to compare.
+WORK = 1 << 41
+#: Up to so many pairs, a cell compares all with all.
+ALL_WITH_ALL = 1 << 26
 #: Comparisons made at a time, which bounds memory.
 AT_ONCE = 1 << 21
 #: Fixed value: generator polynomial of the binary Golay code of length 23.
@@ -125,16 +127,47 @@ def replicated(distinct: DataFrame) -> DataFrame:
     return distinct.select("fp").mapInArrow(run, "cell int, fp long, home boolean")
 
 
+def close_pairs(mine: np.ndarray, all_here: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (a from mine, b from all_here) of unlike fingerprints at DISTANCE or fewer differing bits, some more than once.
+
+    Few are compared all with all. Many are first sorted by each of DISTANCE + 1 bands of bits:
+    of two that differ in DISTANCE bits at most, one band at least is equal.
+    """
+
+    def near(a, b):
+        ok = (np.bitwise_count(a ^ b) <= DISTANCE) & (a != b)
+        return a[ok], b[ok]
+
+    if len(mine) * len(all_here) <= ALL_WITH_ALL:
+        step = max(1, AT_ONCE // max(1, len(all_here)))
+        for lo in range(0, len(mine), step):
+            i, j = np.nonzero(np.bitwise_count(mine[lo : lo + step, None] ^ all_here[None, :]) <= DISTANCE)
+            yield near(mine[lo : lo + step][i], all_here[j])
+        return
+    cuts = np.linspace(0, 64, DISTANCE + 2).astype(int)
+    for low, high in zip(cuts, cuts[1:]):
+        band = lambda x: (x >> np.uint64(low)) & np.uint64((1 << (high - low)) - 1)  # noqa: B023, E731
+        rows = all_here[np.argsort(band(all_here), kind="stable")]
+        keys = band(rows)
+        first, last = np.searchsorted(keys, band(mine), "left"), np.searchsorted(keys, band(mine), "right")
+        ahead = np.cumsum(last - first)
+        lo = 0
+        while lo < len(mine):
+            done = ahead[lo - 1] if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(ahead, done + AT_ONCE, "right")))
+            n = (last - first)[lo:hi]
+            i = np.repeat(np.arange(lo, hi), n)
+            j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[lo:hi], n)
+            yield near(mine[i], rows[j])
+            lo = hi
+
+
 def cell_links(mine: np.ndarray, all_here: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A forest of the links between `mine` and `all_here`."""
     a, b = np.empty(0, np.uint64), np.empty(0, np.uint64)
-    step = max(1, AT_ONCE // max(1, len(all_here)))
-    for lo in range(0, len(mine), step):
-        some = mine[lo : lo + step]
-        i, j = np.nonzero(np.bitwise_count(some[:, None] ^ all_here[None, :]) <= DISTANCE)
-        differ = some[i] != all_here[j]
-        if differ.any():
-            a, b = forest(np.concatenate([a, some[i][differ]]), np.concatenate([b, all_here[j][differ]]))
+    for x, y in close_pairs(mine, all_here):
+        if len(x):
+            a, b = forest(np.concatenate([a, x]), np.concatenate([b, y]))
     return a, b
 
 

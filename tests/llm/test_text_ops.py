@@ -189,6 +189,19 @@ def test_anchors_cover_all_close_pairs():
     assert all(homes[k] & at[300 + k] and homes[300 + k] & at[k] for k in range(300))
 
 
+def test_bands_find_all_close_pairs(monkeypatch):
+    rng = np.random.default_rng(9)
+    x = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+    x[200:] = x[:200] ^ (np.uint64(1) << rng.integers(0, 64, 200, dtype=np.uint64)) ^ (np.uint64(7) << rng.integers(0, 60, 200, dtype=np.uint64))
+    mine = x[::2]
+    true = {(a, b) for a in mine.tolist() for b in x.tolist() if a != b and (a ^ b).bit_count() <= 4}
+    for limit, at_once in ((1 << 26, 1 << 21), (0, 1 << 21), (0, 3)):
+        monkeypatch.setattr(simhash, "ALL_WITH_ALL", limit)
+        monkeypatch.setattr(simhash, "AT_ONCE", at_once)
+        found = {p for a, b in simhash.close_pairs(mine, x) for p in zip(a.tolist(), b.tolist())}
+        assert found == true and len(true) > 100
+
+
 def test_simhash(ready, monkeypatch):
     base = prose(20, 400)
     w = base.split()
