@@ -29,7 +29,7 @@ WEIGHTS = (1, 2, 3)
 MOST = 3
 SEED = "mix"
 #: Rows that a range of keys should hold.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 4_000
 KEY_BITS = 40
 
 
