@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from relsift.functions import feeds, scoring
 from relsift.operators import history, scorers, tree
+from relsift.plans import release
 from relsift.plans.catalog import query, table
 from relsift.plans.catalog.files import _LINES, release_pairs
 from relsift.schemas import DIMENSIONS, FEEDS
@@ -243,3 +244,19 @@ def release_risk(spark, sf_dir):
     dims = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(label).alias("label"), F.expr(x).cast("double").alias("score"), F.lit(w).alias("weight"), F.lit("").alias("reasoning"), F.lit(0.5).alias("confidence")) for x, (n, label, w) in zip(_HARNESS, DIMENSIONS)])
     out = scoring.scored(j.withColumn("dimensions", dims).withColumn("feed_results", F.array().cast("array<struct<source:string,status:string,details:string,signing_identity_changed:boolean,scorecard_score:double>>")))
     return out.select(F.col("source").alias("package"), F.col("previous_version").alias("from_version"), F.col("doc_id").alias("to_version"), "total_diff_lines", "risk_score", "severity")
+
+
+@query("""with d as (select source, doc_id // 40 as j, (doc_id // 20) % 2 as side, sha256(text) as h from documents where doc_id % 7 <> 0),
+f as (select source, j, h from d where side = 0), t as (select source, j, h from d where side = 1),
+c as (select source, f.j is null as added, t.j is null as removed, f.h <> t.h as modified from f full join t using (source, j))
+select source as package, count(*) filter (where added)::bigint as n_added, count(*) filter (where removed)::bigint as n_removed, count(*) filter (where modified)::bigint as n_modified,
+  3.5::double as risk_score, 'LOW' as severity, true as decomposes from c group by source""")
+def release_reports(spark, sf_dir):
+    """The whole plan, archives aside: a source is a package, documents 20 apart are a file's two sides, the stub scorer rates."""
+    docs = table(spark, sf_dir, "documents").where("doc_id % 7 <> 0")
+    at = lambda n: F.floor(F.col("doc_id") / n)
+    files = docs.select(F.col("source").alias("pair_id"), F.when(at(20) % 2 == 0, "from").otherwise("to").alias("side"), F.concat(F.lit("lib/f"), at(40).cast("string"), F.lit(".js")).alias("path"), F.col("text").cast("binary").alias("content"))
+    pairs = docs.select(F.col("source").alias("pair_id")).distinct().select("pair_id", F.lit("npm").alias("ecosystem"), F.col("pair_id").alias("package"), F.lit("1").alias("from_version"), F.lit("2").alias("to_version"))
+    out = release.reports(pairs, tree.with_facts(files))
+    n = lambda c: F.size(f"diff_summary.files_{c}").cast("long").alias(f"n_{c}")
+    return out.select("package", n("added"), n("removed"), n("modified"), "risk_score", "severity", scoring.decomposes(out).alias("decomposes"))
