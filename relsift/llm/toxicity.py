@@ -8,9 +8,9 @@ end at exactly zero; the model is the short list of the others, whose size is bo
 the number of slots and in practice by the sample.
 
 Defined results: null and empty texts score the model's intercept. Repeated rows score
-alike, each in its own row. With no usable label the model is empty and scores are 0.5
-below nothing: the intercept is then 0, hence 0.5 minus a hair, so nothing is rejected.
-Columns of the input other than doc_id and text are neither read nor carried.
+alike, each in its own row. Where the sample lacks a class, or there is none, the model is
+empty and every text scores a hair under 0.5: nothing is rejected. `scored` reads doc_id and
+text alone; `rejecting` passes all columns on.
 """
 
 from __future__ import annotations
