@@ -1,34 +1,24 @@
-"""Session helpers: shipping this package to Python workers, and shared intermediate tables."""
+"""Intermediate tables in the cluster's shared folder."""
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-ROOT = str(Path(__file__).resolve().parents[2])
-
-
-def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package where it lies at the driver's path.
-
-    A cluster gets it with --py-files or an installed wheel; then this changes nothing.
-    """
-    known = spark.sparkContext.environment.get("PYTHONPATH", "")
-    if ROOT not in known.split(os.pathsep):
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (known, ROOT) if x)
-    return spark
+from relsift.session import prepare  # noqa: F401  for the queries
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, spark.checkpoint.dir; a folder of our own only where it is unset."""
+    """The cluster's shared folder, spark.checkpoint.dir; a folder of our own only where it is unset and all runs on this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = Path(tempfile.mkdtemp(prefix="relsift-")).as_uri()
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -39,8 +29,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables made by `written` that nothing will read again, to spare the shared folder."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t.scratch)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from relsift.llm import _text as T
-from relsift.llm._session import written
+from relsift.llm._session import dropped, written
 
 WINDOW = 10
 RAREST = 2
@@ -157,6 +157,7 @@ def candidates(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW)
     windows = written(item_windows(benchmark, window), "windows")
     counts = document_counts(documents, windows.select(F.explode("terms").alias("term")))
     chosen = written(rarest_terms(windows, counts), "chosen")
+    dropped(windows)
     index = written(positional_index(documents, chosen.select("term")), "index")
     return starts(index, chosen).groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "n", "digest", "start")).alias("found"))
 
