@@ -89,7 +89,9 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 def marked(embeddings: DataFrame) -> DataFrame:
     """(vec_id, label, dim, embedding, h1, h2): h1 and h2 name the class of equal vectors, null where a vector links with nothing."""
-    e = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
+    kind = embeddings.schema["embedding"].dataType.simpleString()
+    kind = kind if kind in ("array<float>", "array<double>") else "array<double>"
+    e = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast(kind).alias("embedding"))
     odd = F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     able = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(~odd & F.exists("embedding", lambda v: v != 0), F.lit(False))
     e = e.withColumn("embedding", F.when(able, F.col("embedding")))
@@ -118,41 +120,105 @@ def probing(found: DataFrame) -> DataFrame:
                     taken = {c: part.column(c).take(row) for c in ("label", "dim", "node", "n", "embedding")}
                     yield pa.RecordBatch.from_arrays([taken["label"], taken["dim"], pa.array(probes.ravel()), pa.array(home), taken["node"], taken["n"], taken["embedding"]], ["label", "dim", "cell", "home", "node", "n", "embedding"])
 
-    return found.select("label", "dim", "node", "n", "embedding").mapInArrow(run, "label string, dim int, cell long, home boolean, node long, n long, embedding array<double>")
-
-
-def cell_links(cell: int, mine: np.ndarray, at_home: np.ndarray, node: np.ndarray, n: np.ndarray, x: np.ndarray, cosine: float):
-    """(links of each row counted in this cell, forest a, forest b) among one cell's rows; `mine` are those at home there that this part compares."""
-    mine = np.flatnonzero(mine)
-    counts = np.zeros(len(node), np.int64)
-    a, b = np.empty(0, np.int64), np.empty(0, np.int64)
-    if not len(mine) or len(node) < 2:
-        return counts, a, b
-    everywhere = None
-    step = max(1, AT_ONCE // len(node))
-    for lo in range(0, len(mine), step):
-        some = mine[lo : lo + step]
-        i, j = np.nonzero(x[some] @ x.T >= cosine)
-        i = some[i]
-        # rows at home on both sides meet twice here: in one order of their ids is enough
-        ok = (node[i] != node[j]) & (~at_home[j] | (node[i] < node[j]))
-        i, j = i[ok], j[ok]
-        if not len(i):
+    return found.select("label", "dim", "node", "n", "embedding").mapInArrow(run, f"label string, dim int, cell long, home boolean, node long, n long, embedding {found.schema['embedding'].dataType.simpleString()}")
+
+
+class Bundle:
+    """Rows of many buckets: finds their links, and says which are counted here.
+
+    bucket: number of the bucket of each row, equal ones side by side; cell: its name.
+    """
+
+    def __init__(self, bucket, cell, mine, at_home, node, n, x):
+        self.bucket, self.cell, self.mine, self.at_home, self.node, self.n, self.x = bucket, cell, mine, at_home, node, n, x
+        self.counts = np.zeros(len(node), np.int64)
+        self.a, self.b = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.coded = np.full(len(node), -1)
+        self.home = self.probes = None
+
+    def pairs(self, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Linked rows (i of mine, j), bucket by bucket, about AT_ONCE at a time."""
+        edges = np.flatnonzero(np.diff(self.bucket, prepend=-1, append=-1))
+        held, size = [], 0
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            if hi - lo < 2:
+                continue
+            mine = lo + np.flatnonzero(self.mine[lo:hi])
+            step = max(1, AT_ONCE // (hi - lo))
+            for at in range(0, len(mine), step):
+                some = mine[at : at + step]
+                i, j = np.nonzero(self.x[some] @ self.x[lo:hi].T >= cosine)
+                held.append((some[i], j + lo))
+                size += len(i)
+                if size > AT_ONCE:
+                    yield tuple(map(np.concatenate, zip(*held)))
+                    held, size = [], 0
+        if held:
+            yield tuple(map(np.concatenate, zip(*held)))
+
+    def named(self, rows: np.ndarray) -> None:
+        """Hashes the rows that aren't yet; few rows have links at all."""
+        new = np.unique(rows)
+        new = new[self.coded[new] < 0]
+        if len(new):
+            home, probes = codes(self.x[new])
+            have = 0 if self.home is None else len(self.home)
+            self.coded[new] = have + np.arange(len(new))
+            self.home = home if self.home is None else np.concatenate([self.home, home])
+            self.probes = probes if self.probes is None else np.concatenate([self.probes, probes])
+
+    def link(self, cosine: float) -> None:
+        for i, j in self.pairs(cosine):
+            # rows at home on both sides meet twice here: in one order of their ids is enough
+            ok = (self.node[i] != self.node[j]) & (~self.at_home[j] | (self.node[i] < self.node[j]))
+            i, j = i[ok], j[ok]
+            if not len(i):
+                continue
+            self.named(np.concatenate([i, j]))
+            # cells where the pair meets: either one's home that the other looks into; the least counts it
+            far = np.int64(1 << 62)
+            met = [np.where((self.home[self.coded[p]][:, :, None] == self.probes[self.coded[q]]).any(axis=2), self.home[self.coded[p]], far).min(axis=1) for p, q in ((i, j), (j, i))]
+            first = np.minimum(*met) == self.cell[i]
+            i, j = i[first], j[first]
+            np.add.at(self.counts, i, self.n[j])
+            np.add.at(self.counts, j, self.n[i])
+            if len(i):
+                self.a, self.b = forest(np.concatenate([self.a, self.node[i]]), np.concatenate([self.b, self.node[j]]))
+
+    def result(self) -> pa.RecordBatch:
+        some = self.counts > 0
+        none = pa.nulls(len(self.a), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([self.node[some], self.a])), pa.concat_arrays([pa.array(self.counts[some]), none]), pa.concat_arrays([pa.nulls(int(some.sum()), pa.int64()), pa.array(self.b)])], ["node", "n_links", "root"])
+
+
+def bundled(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.Table]]:
+    """(bucket numbers, rows) of whole buckets: rows come sorted by bucket, and the last one of a batch waits for the next."""
+    held: list[pa.RecordBatch] = []
+
+    def keys(t) -> np.ndarray:
+        label = t.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
+        dim, cell, cut = (t.column(c).to_numpy() for c in ("dim", "cell", "cut"))
+        change = (np.diff(label) != 0) | (np.diff(dim) != 0) | (np.diff(cell) != 0) | (np.diff(cut) != 0)
+        return np.concatenate([[0], np.cumsum(change)])
+
+    for batch in batches:
+        if not len(batch):
             continue
-        if everywhere is None:
-            everywhere = codes(x)
-        home, probes = everywhere
-        # cells where the pair meets: either one's home that the other looks into; the least counts it
-        far = np.int64(1 << 62)
-        forth = np.where((home[i][:, :, None] == probes[j]).any(axis=2), home[i], far).min(axis=1)
-        back = np.where((home[j][:, :, None] == probes[i]).any(axis=2), home[j], far).min(axis=1)
-        first = np.minimum(forth, back) == cell
-        i, j = i[first], j[first]
-        np.add.at(counts, i, n[j])
-        np.add.at(counts, j, n[i])
-        if len(i):
-            a, b = forest(np.concatenate([a, node[i]]), np.concatenate([b, node[j]]))
-    return counts, a, b
+        if held:
+            # the waiting bucket's first row tells whether it goes on through all of this batch
+            joint = pa.Table.from_batches([held[0].slice(0, 1), batch])
+            if keys(joint)[-1] == 0:
+                held.append(batch)
+                continue
+        table = pa.Table.from_batches([*held, batch])
+        number = keys(table)
+        whole = int(np.searchsorted(number, number[-1]))
+        held = table.slice(whole).combine_chunks().to_batches()
+        if whole:
+            yield number[:whole], table.slice(0, whole)
+    if held:
+        table = pa.Table.from_batches(held)
+        yield keys(table), table
 
 
 def links(found: DataFrame, cosine: float = COSINE) -> DataFrame:
@@ -166,34 +232,15 @@ def links(found: DataFrame, cosine: float = COSINE) -> DataFrame:
     placed = placed.withColumn("mine", F.when(F.col("home"), F.pmod(F.xxhash64("node"), cuts)).otherwise(-1)).withColumn("cut", F.explode(F.sequence(F.lit(0), cuts - 1))).withColumn("mine", F.col("mine") == F.col("cut")).drop("cuts")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by bucket; one bucket's part is held at a time."""
-        held: list[pa.RecordBatch] = []
-        key = None
-
-        def close():
-            t = pa.Table.from_batches(held).combine_chunks()
-            node, n = (t.column(c).combine_chunks().to_numpy() for c in ("node", "n"))
-            mine, at_home = (t.column(c).to_numpy() for c in ("mine", "home"))
-            counts, a, b = cell_links(key[2], mine, at_home, node, n, unit(as_matrix(t.column("embedding").combine_chunks())), cosine)
-            some = counts > 0
-            none = pa.nulls(len(a), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([node[some], a])), pa.concat_arrays([pa.array(counts[some]), none]), pa.concat_arrays([pa.nulls(int(some.sum()), pa.int64()), pa.array(b)])], ["node", "n_links", "root"])
-
-        for batch in batches:
-            label = batch.column("label").dictionary_encode().indices.to_numpy()
-            dim, cell, cut = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("dim", "cell", "cut"))
-            change = np.flatnonzero((np.diff(label) != 0) | (np.diff(dim) != 0) | (np.diff(cell) != 0) | (np.diff(cut) != 0)) + 1
-            for lo, hi in zip([0, *change], [*change, len(batch)]):
-                if lo == hi:
-                    continue
-                now = (batch.column("label")[int(lo)].as_py(), int(dim[lo]), int(cell[lo]), int(cut[lo]))
-                if key is not None and now != key:
-                    yield from close()
-                    held = []
-                key = now
-                held.append(batch.slice(lo, hi - lo))
-        if held:
-            yield from close()
+        for number, table in bundled(batches):
+            dims = table.column("dim").to_numpy()
+            for dim in np.unique(dims):
+                rows = np.flatnonzero(dims == dim)
+                t = table.take(pa.array(rows)) if len(rows) < len(table) else table
+                columns = (t.column(c).to_numpy() for c in ("cell", "mine", "home", "node", "n"))
+                bundle = Bundle(number[rows], *columns, unit(as_matrix(t.column("embedding").combine_chunks())))
+                bundle.link(cosine)
+                yield bundle.result()
 
     sorted_ = placed.repartition("label", "dim", "cell", "cut").sortWithinPartitions("label", "dim", "cell", "cut")
     return sorted_.mapInArrow(compare, "node long, n_links long, root long")
