@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from relsift.llm import _bloom as bloom
 from relsift.llm import _text as T
+from relsift.llm._session import written
 
 MIN_CHARS = 10
 STRIPPED = b" \t\n\x0b\x0c\r"
@@ -86,6 +87,7 @@ def repeats(documents: DataFrame, bits: int | None = None) -> DataFrame:
 
     held = docs.mapInArrow(probe, "doc_id long, digest binary")
     first = held.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id").select("digest", "first_id")
+    first = written(first, "confirmed")  # both sides of the join are then plain exchanges, of which Spark can split a hot key
     return held.join(first.hint("merge"), "digest").where("doc_id > first_id").groupBy("doc_id").agg(F.collect_set("digest").alias("drops"))
 
 
