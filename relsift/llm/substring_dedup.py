@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from relsift.llm import _bloom as bloom
 from relsift.llm import _text as T
-from relsift.llm._session import written
+from relsift.llm._session import dropped, written
 
 SPAN, SEED = 50, 25
 NULL_ID = (1 << 63) - 1
@@ -166,6 +166,7 @@ def repeated_windows(documents: DataFrame, span: int = SPAN) -> DataFrame:
     seeds = written(shared_anchors(texts, span), "anchors")
     known = filter_of(seeds, lambda b: _column(b, "anchor"))
     found = written(extensions(texts, known, span), "extensions")
+    dropped(seeds)
     key = ["anchor", "e1", "e2"]
     alike = written(found.groupBy(*key).agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")), "alike")
     whole = found.join(alike.where("a < z").select(*key, "a").hint("merge"), key).where("doc_id > a").select("doc_id", "row", "start", "n")
@@ -173,7 +174,9 @@ def repeated_windows(documents: DataFrame, span: int = SPAN) -> DataFrame:
     picked = written(alike.join(several, "anchor").select(*key, "a"), "picked")
     classes_ = filter_of(picked, lambda b: class_key(*(_column(b, c) for c in key), b.column("a").to_numpy(zero_copy_only=False)))
     windows = written(apart(texts, known, classes_, span), "apart")
+    dropped(picked)
     first = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("w1", "w2", "a")
+    first = written(first, "first")  # both sides of the join are then plain exchanges, of which Spark can split a hot key
     single = windows.join(first.hint("merge"), ["w1", "w2"]).where("doc_id > a").select("doc_id", "row", "start", F.lit(1).alias("n"))
     return whole.unionByName(single).groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
 
