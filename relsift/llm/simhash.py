@@ -216,7 +216,8 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     roots = components(links(distinct))
     joined = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     group = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = joined.join(group, "root").select("fp", "component_id")
+    # written, so that both sides of the last join are plain exchanges, of which Spark can split a hot fingerprint
+    named = written(joined.join(group, "root").select("fp", "component_id"), "named")
     return marked.join(named.hint("merge"), "fp")
 
 
