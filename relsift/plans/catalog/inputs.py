@@ -66,30 +66,49 @@ def pypi_artifacts(spark, sf_dir):
     return registry.pypi_artifacts(docs).select("package", "version", "filename")
 
 
+#: Bounds of one archive made here, far below those of Settings: members, and bytes before the last one is added.
+_PACKED_FILES, _PACKED_BYTES = 1_000, 4 << 20
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Archives of bounded size from rows (pair_id, side, doc_id, text), as they come: no key is gathered in one place."""
+    kind = pa.schema([("pair_id", pa.string()), ("side", pa.string()), ("file_name", pa.string()), ("content", pa.binary())])
+
+    def archive(pair_id: str, side: str, files: list[tuple[str, bytes]]) -> pa.RecordBatch:
+        out = io.BytesIO()
+        if side == "from":
+            with tarfile.open(fileobj=out, mode="w:gz") as t:
+                for name, data in files:
+                    info = tarfile.TarInfo(name)
+                    info.size = len(data)
+                    t.addfile(info, io.BytesIO(data))
+        else:
+            with zipfile.ZipFile(out, "w") as z:
+                for name, data in files:
+                    z.writestr(name, data)
+        return pa.RecordBatch.from_pylist([{"pair_id": pair_id, "side": side, "file_name": "p.tgz" if side == "from" else "p.zip", "content": out.getvalue()}], kind)
+
+    for b in batches:
+        open_: dict[tuple[str, str], tuple[list, int]] = {}
+        for pair_id, side, doc_id, text in zip(*(b.column(c).to_pylist() for c in ("pair_id", "side", "doc_id", "text"))):
+            files, held = open_.pop((pair_id, side), ([], 0))
+            data = text.encode()
+            files.append((f"package/lib/d{doc_id}.js", data))
+            if len(files) >= _PACKED_FILES or held + len(data) >= _PACKED_BYTES:
+                yield archive(pair_id, side, files)
+            else:
+                open_[pair_id, side] = files, held + len(data)
+        for (pair_id, side), (files, _) in open_.items():
+            yield archive(pair_id, side, files)
+
+
 @query("""select source as pair_id, case when doc_id % 2 = 0 then 'from' else 'to' end as side, 'lib/d' || doc_id || '.js' as path, sha256(text) as sha256 from documents""")
 def archive_members(spark, sf_dir):
-    """Documents of a source packed into two archives, a tar and a zip, by whether doc_id is even."""
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                out = io.BytesIO()
-                if r["side"] == "from":
-                    with tarfile.open(fileobj=out, mode="w:gz") as t:
-                        for f in r["files"]:
-                            data = f["text"].encode()
-                            info = tarfile.TarInfo(f"package/lib/d{f['doc_id']}.js")
-                            info.size = len(data)
-                            t.addfile(info, io.BytesIO(data))
-                else:
-                    with zipfile.ZipFile(out, "w") as z:
-                        for f in r["files"]:
-                            z.writestr(f"package/lib/d{f['doc_id']}.js", f["text"])
-                yield pa.RecordBatch.from_pylist([{"pair_id": r["pair_id"], "side": r["side"], "file_name": "p.tgz" if r["side"] == "from" else "p.zip", "content": out.getvalue()}], pa.schema([("pair_id", pa.string()), ("side", pa.string()), ("file_name", pa.string()), ("content", pa.binary())]))
-
-    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("pair_id"), F.when(F.col("doc_id") % 2 == 0, "from").otherwise("to").alias("side"), F.struct("doc_id", "text").alias("f"))
-    made = docs.groupBy("pair_id", "side").agg(F.collect_list("f").alias("files")).mapInArrow(packed, "pair_id string, side string, file_name string, content binary")
-    return tree.with_facts(archives.members(made)).select("pair_id", "side", "path", "sha256")
+    """Documents of a source packed into tars and zips, by whether doc_id is even; an archive that breaks a limit fails the query."""
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("pair_id"), F.when(F.col("doc_id") % 2 == 0, "from").otherwise("to").alias("side"), "doc_id", "text")
+    made = docs.mapInArrow(_packed, "pair_id string, side string, file_name string, content binary")
+    read = archives.members(made).where(F.assert_true(F.col("error").isNull(), F.col("error")).isNull())
+    return tree.with_facts(read).select("pair_id", "side", "path", "sha256")
 
 
 @query(r"""with p as (select page_id, regexp_replace(url, '^[a-z]+://', '') as p from pages),

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from relsift.operators import history, metadata, tree
+from relsift.plans import catalog
 from relsift.settings import Settings
 from relsift.sources import archives, certificates, fetch, lockfiles, manifests, registry
 
@@ -239,3 +240,23 @@ def test_settings(tmp_path):
     assert (s.budget_chars, s.max_retries, s.npm_registry) == (8000, 5, "https://r")
     with pytest.raises(ValueError):
         Settings(max_tokens_per_chunk=10)
+
+
+def made_documents(spark, folder, texts):
+    df = texts.select(F.col("id").alias("doc_id"), F.lit("hot").alias("source"), F.col("text"))
+    df.write.parquet(f"{folder}/documents.parquet")
+    return catalog.QUERIES["archive_members"](spark, str(folder))
+
+
+def test_archive_members_of_a_hot_source(spark, tmp_path):
+    """More documents a side than an archive may hold: every one comes back, none twice."""
+    got = made_documents(spark, tmp_path, spark.range(60_000).select("id", F.concat(F.lit("t"), F.col("id").cast("string")).alias("text")))
+    assert got.select("side", "path").distinct().count() == got.count() == 60_000
+
+
+def test_archive_members_fail_on_a_limit(spark, tmp_path):
+    """A document that no archive may hold isn't left out without a sign."""
+    got = made_documents(spark, tmp_path, spark.range(1).select("id", F.repeat(F.lit("x"), Settings().max_archive_file_bytes + 1).alias("text")))
+    for act in (got.count, got.collect):
+        with pytest.raises(Exception, match="bytes in one file"):
+            act()
