@@ -252,11 +252,25 @@ c as (select source, f.j is null as added, t.j is null as removed, f.h <> t.h as
 select source as package, count(*) filter (where added)::bigint as n_added, count(*) filter (where removed)::bigint as n_removed, count(*) filter (where modified)::bigint as n_modified,
   3.5::double as risk_score, 'LOW' as severity, true as decomposes from c group by source""")
 def release_reports(spark, sf_dir):
-    """The whole plan, archives aside: a source is a package, documents 20 apart are a file's two sides, the stub scorer rates."""
-    docs = table(spark, sf_dir, "documents").where("doc_id % 7 <> 0")
-    at = lambda n: F.floor(F.col("doc_id") / n)
-    files = docs.select(F.col("source").alias("pair_id"), F.when(at(20) % 2 == 0, "from").otherwise("to").alias("side"), F.concat(F.lit("lib/f"), at(40).cast("string"), F.lit(".js")).alias("path"), F.col("text").cast("binary").alias("content"))
+    """The whole plan, archives aside: a source is a package, the stub scorer rates."""
+    docs = table(spark, sf_dir, "documents")
     pairs = docs.select(F.col("source").alias("pair_id")).distinct().select("pair_id", F.lit("npm").alias("ecosystem"), F.col("pair_id").alias("package"), F.lit("1").alias("from_version"), F.lit("2").alias("to_version"))
-    out = release.reports(pairs, tree.with_facts(files))
+    out = release.reports(pairs, tree.with_facts(release_files(docs)))
     n = lambda c: F.size(f"diff_summary.files_{c}").cast("long").alias(f"n_{c}")
     return out.select("package", n("added"), n("removed"), n("modified"), "risk_score", "severity", scoring.decomposes(out).alias("decomposes"))
+
+
+def release_files(docs: DataFrame) -> DataFrame:
+    """(pair_id, side, path, content) of all documents, paths unique on each side of a source.
+
+    Documents 20 apart are a file's two sides, under the first one's doc_id. A multiple of 7 is a file of its own on
+    both sides, with other line ends on the second: its texts are compared and found equal, and what it would have been
+    paired with is added or removed.
+    """
+    k = F.col("doc_id")
+    second = F.floor(k / 20) % 2 == 1
+    path = lambda kind, key: F.concat(F.lit(f"lib/{kind}"), key.cast("string"), F.lit(".js"))
+    one = F.array(F.struct(F.when(second, "to").otherwise("from").alias("side"), path("f", F.when(second, k - 20).otherwise(k)).alias("path"), F.col("text").cast("binary").alias("content")))
+    other_ends = F.regexp_replace(tree.decoded(F.col("text")), "\n", "\r\n").cast("binary")
+    both = F.array(*[F.struct(F.lit(side).alias("side"), path("s", k).alias("path"), content.alias("content")) for side, content in (("from", F.col("text").cast("binary")), ("to", other_ends))])
+    return docs.select(F.col("source").alias("pair_id"), F.inline(F.when(k % 7 == 0, both).otherwise(one)))

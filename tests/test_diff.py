@@ -7,7 +7,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from relsift.operators import chunk, strip, tree
-from relsift.plans import release
+from relsift.plans import catalog, release
+from relsift.plans.catalog import scores
 from relsift.settings import Settings
 
 PAIR = "pair_id string, ecosystem string, package string, from_version string, to_version string"
@@ -158,3 +159,17 @@ def test_chunk_cap_names_what_is_dropped(spark):
     sent = {f"f{i:02}.js" for i in range(30) if any(f"ADDED: f{i:02}.js" in c for c in out)}
     assert len(out) == 3 == kept.chunks_sent_to_llm
     assert sent | set(kept.files_not_analyzed) == {r[1] for r in rows} and not sent & set(kept.files_not_analyzed)
+
+
+def test_release_reports_of_a_hot_source(spark, tmp_path):
+    """Every document is on some side, paths are unique on theirs, and documents of one source pair one by one."""
+    rows = [(i, "hot" if i % 2 else "cold", f"a{i}\nb\n") for i in range(280)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = scores.release_files(docs).collect()
+    assert {bytes(r.content).decode() for r in got} >= {t for _, _, t in rows}
+    assert len({(r.pair_id, r.side, r.path) for r in got}) == len(got) == 280 + 40
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for r in catalog.QUERIES["release_reports"](spark, str(tmp_path)).collect():
+        kept = {i for i, s, _ in rows if s == r.package and i % 7}
+        old, new = {i for i in kept if i // 20 % 2 == 0}, {i - 20 for i in kept if i // 20 % 2}
+        assert (r.n_added, r.n_removed, r.n_modified) == (len(new - old), len(old - new), len(old & new))
