@@ -52,9 +52,12 @@ def run(args: argparse.Namespace) -> int:
     if args.command == "diff":
         pair = ("pair", args.ecosystem, args.package, args.from_version, args.to_version)
         pairs = spark.createDataFrame([pair], "pair_id string, ecosystem string, package string, from_version string, to_version string")
-        side = lambda path, name: archives.archive_files(spark, path, Settings.from_env()).select(F.lit("pair").alias("pair_id"), F.lit(name).alias("side"), "file_name", "content")
+        side = lambda path, name: archives.archive_files(spark, path, Settings.from_env()).select(F.lit("pair").alias("pair_id"), F.lit(name).alias("side"), "file_name", "content", "error")
         files = release.files_of_archives(side(args.from_archive, "from").unionByName(side(args.to_archive, "to")), Settings.from_env())
-        df = release.reports(pairs, files, settings=Settings.from_env(), strip_comments=args.strip_comments, split_large=args.split_large_files).drop("pair_id", "error")
+        df = release.reports(pairs, files, settings=Settings.from_env(), strip_comments=args.strip_comments, split_large=args.split_large_files)
+        if (bad := df.select("error").where("error is not null").first()) is not None:
+            raise ValueError(bad.error)
+        df = df.drop("pair_id", "error")
     elif args.command == "report":
         df = reports.faults(reports.read_reports(spark, args.file))
         bad = df.select("faults").first()

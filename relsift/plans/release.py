@@ -63,9 +63,14 @@ def _with_bookkeeping(summaries: DataFrame, kept: DataFrame) -> DataFrame:
 def reports(pairs: DataFrame, files: DataFrame, feeds: DataFrame | None = None, scorer: Callable[[DataFrame], DataFrame] | None = None, settings: Settings = Settings(), strip_comments: bool = False, split_large: bool = False, model: str = "stub") -> DataFrame:
     """One report a pair (lifecycle of a diff). scorer maps chunks to responses; without one the stub rates.
 
-    feeds: (pair_id, feed_results); without them all are no_data. A pair whose scorer failed has an
+    feeds: (pair_id, feed_results); without them all are no_data. files may have a column error, as those
+    of archives do: a pair with one is not compared. A pair with such an error, or whose scorer failed, has an
     error and no score; the columns are those of a report, and pair_id and error.
     """
+    faults = None
+    if "error" in files.columns:
+        faults = files.where("error is not null").groupBy("pair_id").agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws(" archive: ", "side", "error"))), "; ").alias("fault"))
+        files = files.join(faults, "pair_id", "left_anti").drop("error")
     summed = diff_summaries(pairs, files, settings, strip_comments)
     pieces, kept = chunk.chunks(summed, settings, split_large)
     summed = _with_bookkeeping(summed, kept)
@@ -74,6 +79,8 @@ def reports(pairs: DataFrame, files: DataFrame, feeds: DataFrame | None = None,
     whole = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "sha256"))), lambda x: F.concat_ws(":", x["path"], x["sha256"])), "\n"), 256)
     digests = files.groupBy("pair_id", "side").agg(whole.alias("digest")).groupBy("pair_id").agg(F.max(F.when(F.col("side") == "from", F.col("digest"))).alias("from_version_sha256"), F.max(F.when(F.col("side") == "to", F.col("digest"))).alias("to_version_sha256"))
     joined = pairs.select(*NAMES).join(summed, "pair_id").join(rated, "pair_id").join(feeds, "pair_id").join(digests, "pair_id", "left")
+    if faults is not None:
+        joined = joined.join(faults, "pair_id", "left").withColumn("error", F.coalesce("fault", "error")).drop("fault")
     out = scored(joined)
     failed = F.col("error").isNotNull()
     blank = lambda c: F.when(~failed, F.col(c)).alias(c)
@@ -97,5 +104,5 @@ def scan(locked: DataFrame, releases: DataFrame, load: Callable[[DataFrame], Dat
 
 
 def files_of_archives(found: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Files with their facts from archives (pair_id, side, file_name, content)."""
-    return tree.with_facts(archives.members(found, settings).where("error is null").drop("error"))
+    """Files with their facts from archives (pair_id, side, file_name, content, and maybe error), and a row with an error for each that can't be had."""
+    return tree.with_facts(archives.members(found, settings))

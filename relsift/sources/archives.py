@@ -2,15 +2,17 @@
 
 Archives come as (pair_id, side, file_name, content); each gives a row per regular file.
 Limits are checked on the declared sizes before anything is unpacked and on the bytes as they come;
-an archive that breaks one gives a single row with an error and no files.
+an archive that breaks one, is beyond the download limit or can't be read gives a single row with an error and no files.
 """
 
 from __future__ import annotations
 
 import io
+import lzma
 import stat
 import tarfile
 import zipfile
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -96,7 +98,7 @@ def read_members(file_name: str, content: bytes, settings: Settings = Settings()
     for last, reader in zip([*[False] * (len(readers) - 1), True], readers):
         try:
             return reader(content, settings)
-        except (tarfile.TarError, zipfile.BadZipFile, OSError, EOFError, ValueError, RuntimeError) as e:
+        except (tarfile.TarError, zipfile.BadZipFile, OSError, EOFError, ValueError, RuntimeError, zlib.error, lzma.LZMAError) as e:
             if last:
                 raise Rejected(f"{file_name}: {e}") from e
     return []
@@ -115,7 +117,7 @@ def root_prefix(paths: list[str], file_name: str) -> str:
 
 
 def members(archives: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(pair_id, side, path, content, error) of every archive; paths are below the package's root."""
+    """(pair_id, side, path, content, error) of every archive; paths are below the package's root. An archive that comes with an error keeps it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.schema([("pair_id", pa.string()), ("side", pa.string()), ("path", pa.string()), ("content", pa.binary()), ("error", pa.string())])
@@ -123,6 +125,8 @@ def members(archives: DataFrame, settings: Settings = Settings()) -> DataFrame:
             for r in b.to_pylist():
                 key = {"pair_id": r["pair_id"], "side": r["side"]}
                 try:
+                    if r["error"] is not None:
+                        raise Rejected(r["error"])
                     found = read_members(r["file_name"], r["content"] or b"", settings)
                     prefix = root_prefix([p for p, _ in found], r["file_name"])
                     rows = [key | {"path": p.removeprefix(prefix), "content": c, "error": None} for p, c in found if p.startswith(prefix)]
@@ -132,10 +136,14 @@ def members(archives: DataFrame, settings: Settings = Settings()) -> DataFrame:
                 for lo in range(0, len(rows), 256):
                     yield pa.RecordBatch.from_pylist(rows[lo : lo + 256], kind)
 
-    return archives.select("pair_id", "side", "file_name", "content").mapInArrow(run, MEMBERS)
+    error = F.col("error") if "error" in archives.columns else F.lit(None)
+    return archives.select("pair_id", "side", "file_name", "content", error.cast("string").alias("error")).mapInArrow(run, MEMBERS)
 
 
 def archive_files(spark, path: str, settings: Settings = Settings()) -> DataFrame:
-    """(path, file_name, content) of archive files within the download limit, by Spark's own reader."""
+    """(path, file_name, content, error) of archive files, by Spark's own reader; those beyond the download limit have an error and are not read."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return found.where(F.col("length") <= settings.max_download_bytes).select("path", F.element_at(F.split("path", "/"), -1).alias("file_name"), "content")
+    name, most = F.element_at(F.split("path", "/"), -1), settings.max_download_bytes
+    read = found.where(F.col("length") <= most).select("path", name.alias("file_name"), "content", F.lit(None).cast("string").alias("error"))
+    over = found.where(F.col("length") > most).select("path", name.alias("file_name"), F.lit(None).cast("binary").alias("content"), F.concat(name, F.lit(f": more than {most} bytes to download")).alias("error"))
+    return read.unionByName(over)

@@ -4,14 +4,16 @@ import base64
 import hashlib
 import io
 import json
+import random
 import tarfile
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
+from relsift import __main__ as cli
 from relsift.operators import history, metadata, tree
-from relsift.plans import catalog
+from relsift.plans import catalog, release
 from relsift.settings import Settings
 from relsift.sources import archives, certificates, fetch, lockfiles, manifests, registry
 
@@ -260,3 +262,37 @@ def test_archive_members_fail_on_a_limit(spark, tmp_path):
     for act in (got.count, got.collect):
         with pytest.raises(Exception, match="bytes in one file"):
             act()
+
+
+def test_archive_errors_are_errors_of_their_pair(spark, tmp_path):
+    """An archive that is broken, beyond a limit or too long to load gives its pair an error and no score; other pairs keep theirs."""
+    good, two = tgz({"a.js": b"1"}), tgz({"a.js": b"1", "b.js": b"2"})
+    cut = bytearray(tgz({"a.js": random.Random(1).randbytes(200_000)}))
+    cut[len(cut) // 2 :] = bytes(len(cut) - len(cut) // 2)
+    sides = {"ok": (good, good), "limit": (good, two), "broken": (good, b"no archive"), "both": (b"no archive", None), "stream": (good, bytes(cut))}
+    rows = [(k, side, "x.tgz", c) for k, v in sides.items() for side, c in zip(("from", "to"), v)]
+    pairs = spark.createDataFrame([(k, "npm", k, "1", "2") for k in sides], "pair_id string, ecosystem string, package string, from_version string, to_version string")
+    files = release.files_of_archives(spark.createDataFrame(rows, "pair_id string, side string, file_name string, content binary"), Settings(max_archive_files=1))
+    got = {r.pair_id: r for r in release.reports(pairs, files).collect()}
+    assert set(got) == set(sides) and (got["ok"].error, got["ok"].risk_score) == (None, 3.5)
+    assert all(got[k].error.startswith("to archive: x.tgz") or k == "limit" for k in ("broken", "stream"))
+    assert "more than 1 files" in got["limit"].error and got["both"].error.startswith("from archive") and "; to archive" in got["both"].error
+    for k in set(sides) - {"ok"}:
+        assert (got[k].risk_score, got[k].severity, got[k].diff_summary.files_removed) == (None, None, [])
+
+
+def test_archives_too_long_to_load(spark, tmp_path):
+    (tmp_path / "x.tgz").write_bytes(tgz({"a.js": b"1"}))
+    r = archives.archive_files(spark, str(tmp_path / "x.tgz"), Settings(max_download_bytes=10)).first()
+    assert r.content is None and "more than 10 bytes" in r.error
+
+
+@pytest.mark.parametrize("limit, code", [("", 0), ("RELSIFT_MAX_ARCHIVE_FILES", 2), ("RELSIFT_MAX_DOWNLOAD_BYTES", 2)])
+def test_diff_command_fails_on_lost_archives(spark, tmp_path, monkeypatch, capsys, limit, code):
+    for name, members in (("old", {"a.js": b"1"}), ("new", {"a.js": b"1", "b.js": b"2"})):
+        (tmp_path / f"{name}.tgz").write_bytes(tgz(members))
+    monkeypatch.setattr(cli, "session", lambda: spark)
+    if limit:
+        monkeypatch.setenv(limit, "1")
+    assert cli.main(["diff", "npm", "p", "1", "2", str(tmp_path / "old.tgz"), str(tmp_path / "new.tgz"), "--format", "json"]) == code
+    assert ("more than 1" in capsys.readouterr().out) == (code == 2)
