@@ -132,6 +132,12 @@ def test_secrets(ready):
     assert one == sum(weights[a * (len(secrets.SIGNS) + 1) + b] for a, b in zip(at, at[1:]))
 
 
+def test_ordinary_words_come_from_all_documents(ready):
+    """A word of each document, more documents than any sample of 2,000: none is left out of the model."""
+    docs = ready.range(5_000).select(F.col("id").alias("doc_id"), F.translate(F.concat(F.lit("w"), F.lpad(F.col("id").cast("string"), 5, "0")), "0123456789", "abcdefghij").alias("text"))
+    assert secrets.samples(ready, docs).join(docs.select("text"), "text", "left_semi").count() == 5_000
+
+
 def test_secret_plan_has_no_python(ready):
     docs = documents(ready, SECRETS)
     plan = secrets.scan(docs, [0] * (len(secrets.SIGNS) + 1) ** 2)._jdf.queryExecution().executedPlan().toString()
