@@ -136,13 +136,15 @@ def positional_index(documents: DataFrame, terms: DataFrame) -> DataFrame:
     return _texts(documents).mapInArrow(run, "term long, doc_id long, positions array<int>")
 
 
-def rarest_terms(windows: DataFrame, counts: DataFrame, most: int = RAREST) -> DataFrame:
-    """(item_id, n, digest, term, offset, rank, of): each window's terms from the rarest on, where all its terms occur."""
+def rarest_terms(windows: DataFrame, counts: DataFrame, most: int = RAREST, absent: int = 0) -> DataFrame:
+    """(item_id, n, digest, term, offset, rank, of, found): each window's terms from the rarest on, of those that occur.
+    All must occur, or all but `absent` in windows of more than two words; found says how many do."""
     spread = windows.select("item_id", "n", "digest", F.posexplode("terms").alias("offset", "term"))
     known = spread.join(counts, "term")
     w = Window.partitionBy("item_id", "digest")
     ranked = known.withColumn("found", F.count("*").over(w)).withColumn("rank", F.row_number().over(w.orderBy("df", "offset")))
-    return ranked.where(f"found = n and rank <= {most}").select("item_id", "n", "digest", "term", "offset", "rank", F.least("n", F.lit(most)).alias("of"))
+    kept = ranked.where(f"found >= n - if(n > 2, {absent}, 0) and rank <= {most}")
+    return kept.select("item_id", "n", "digest", "term", "offset", "rank", F.least("found", F.lit(most)).cast("int").alias("of"), F.col("found").cast("int").alias("found"))
 
 
 def starts(index: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -163,18 +165,23 @@ def candidates(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW)
 
 
 def proximity(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, terms: int = 4, slop: int = 3) -> DataFrame:
-    """Near matches (doc_id, item_id, digest, start, n_terms): the rarest term of a window stands at
-    its place, and n_terms of its `terms` rarest, it included and all but one at least, within slop of theirs."""
+    """Near matches (doc_id, item_id, digest, start, n_terms): n_terms of a window's `terms` rarest words that occur
+    stand within slop of their places, all but one at least; all, if one of the window's words occurs nowhere.
+
+    Places are counted from the rarest word, and where it does not stand from the second, so either may be
+    the one that is missing. Of windows with one or two chosen words the rarest must stand.
+    """
     windows = written(item_windows(benchmark, window), "windows")
     counts = document_counts(documents, windows.select(F.explode("terms").alias("term")))
-    chosen = written(rarest_terms(windows, counts, terms), "chosen")
+    chosen = written(rarest_terms(windows, counts, terms, absent=1), "chosen")
     index = written(positional_index(documents, chosen.select("term")), "index")
-    placed = index.join(chosen, "term").select("item_id", "digest", "of", "doc_id", "rank", "offset", F.explode("positions").alias("position"))
-    placed = placed.select("item_id", "digest", "of", "doc_id", "rank", (F.col("position") - F.col("offset")).alias("at"))
-    first = placed.where("rank = 1").select("item_id", "digest", "of", "doc_id", F.col("at").alias("start"))
-    near = first.join(placed.drop("of"), ["item_id", "digest", "doc_id"]).where(F.abs(F.col("at") - F.col("start")) <= slop)
-    met = near.groupBy("doc_id", "item_id", "digest", "start", "of").agg(F.bit_count(F.bit_or(F.expr("shiftleft(1, rank - 1)"))).cast("long").alias("n_terms"))
-    return met.where("n_terms >= greatest(of - 1, 1)").drop("of").withColumn("doc_id", F.nullif("doc_id", F.lit(NULL_ID)))
+    may_miss = F.when(F.col("found") == F.col("n"), 1).otherwise(0)
+    placed = index.join(chosen, "term").select("item_id", "digest", F.greatest(F.col("of") - may_miss, F.lit(1)).alias("least"), "of", "doc_id", "rank", "offset", F.explode("positions").alias("position"))
+    placed = placed.select("item_id", "digest", "least", "of", "doc_id", "rank", (F.col("position") - F.col("offset")).alias("at"))
+    anchors = placed.where("rank = 1 or (rank = 2 and of > 2 and least < of)").select("item_id", "digest", "least", "doc_id", F.col("rank").alias("by"), F.col("at").alias("start"))
+    near = anchors.join(placed.drop("least", "of"), ["item_id", "digest", "doc_id"]).where(F.abs(F.col("at") - F.col("start")) <= slop)
+    met = near.groupBy("doc_id", "item_id", "digest", "start", "by", "least").agg(F.bit_count(F.bit_or(F.expr("shiftleft(1, rank - 1)"))).cast("long").alias("n_terms"), F.min("rank").alias("first"))
+    return met.where("n_terms >= least and first = by").drop("least", "by", "first").withColumn("doc_id", F.nullif("doc_id", F.lit(NULL_ID)))
 
 
 def decontaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 import xxhash
 from conftest_llm import documents, prose
 
@@ -141,6 +142,16 @@ def test_proximity_finds_what_phrases_miss(ready):
     assert {r.doc_id for r in near.collect()} == {1, 3}
 
 
+@pytest.mark.parametrize("whole", [True, False])
+def test_proximity_finds_windows_without_their_rarest_word(ready, whole):
+    """One word of ten replaced, the rarest: once it stands in another document only, once in none."""
+    w = prose(5, 40).split()
+    w = list(dict.fromkeys(w))[:10]
+    docs = [(1, " ".join(["replaced", *w[1:]])), (2, prose(44, 40)), *([(3, " ".join(w))] if whole else [])]
+    near = decontaminate.proximity(documents(ready, docs), ready.createDataFrame([(1, " ".join(w))], "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.start, r.n_terms) for r in near) == ([(1, 0, 3), (3, 0, 4)] if whole else [(1, 0, 4)])
+
+
 def fingerprint(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
     if not w:
