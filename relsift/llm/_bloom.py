@@ -30,25 +30,33 @@ def places(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return segment.astype(np.int64), np.stack([((a + np.uint64(i) * b) % np.uint64(SEGMENT)).astype(np.int64) for i in range(HASHES)])
 
 
-def packed(hashes: np.ndarray, again: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
-    """(segment, once, twice) for distinct hashes, those flagged `again` being in both; empty segments are left out."""
-    segment, bit = places(hashes, bits)
-    order = np.argsort(segment, kind="stable")
-    cuts = np.flatnonzero(np.diff(segment[order], prepend=-1, append=-1))
-    rows = []
-    for lo, hi in zip(cuts, cuts[1:]):
-        at = order[lo:hi]
-        pair = []
-        for chosen in (at, at[again[at]]):
-            flags = np.zeros(SEGMENT, bool)
-            flags[bit[:, chosen].ravel()] = True
-            pair.append(zlib.compress(np.packbits(flags).tobytes(), 1))
-        rows.append((int(segment[at[0]]), *pair))
-        if len(rows) == 64:
+class Seen:
+    """Two filters of a fixed size, once-seen and twice-seen, filled batch by batch: memory never follows the rows."""
+
+    def __init__(self, bits: int):
+        self.once, self.twice = (np.zeros((bits // SEGMENT, SEGMENT // 8), np.uint8) for _ in range(2))
+
+    def enter(self, hashes: np.ndarray) -> None:
+        """Enters hashes, repeats included: what `once` may hold already goes into `twice`."""
+        hashes, times = np.unique(hashes, return_counts=True)
+        again = (times > 1) | contains(self.once, hashes)
+        self._set(self.twice, hashes[again])
+        self._set(self.once, hashes)
+
+    def _set(self, whole: np.ndarray, hashes: np.ndarray) -> None:
+        segment, bit = places(hashes, whole.shape[0] * SEGMENT)
+        np.bitwise_or.at(whole.reshape(-1), (segment * (SEGMENT // 8) + (bit >> 3)).ravel(), (np.uint8(128) >> (bit & 7).astype(np.uint8)).ravel())
+
+    def segments(self) -> Iterator[pa.RecordBatch]:
+        """(segment, once, twice), empty segments left out."""
+        rows = []
+        for k in np.flatnonzero(self.once.any(axis=1)):
+            rows.append((int(k), *(zlib.compress(x[k].tobytes(), 1) for x in (self.once, self.twice))))
+            if len(rows) == 64:
+                yield _batch(rows)
+                rows = []
+        if rows:
             yield _batch(rows)
-            rows = []
-    if rows:
-        yield _batch(rows)
 
 
 def _batch(rows) -> pa.RecordBatch:

@@ -1,15 +1,21 @@
-"""Intermediate tables in the cluster's shared folder."""
+"""Intermediate tables in the cluster's shared folder, and columns by their exact names."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from relsift.session import prepare  # noqa: F401  for the queries
 
+#: Paths written since each open `scratch` began.
+_OPEN: list[list[DataFrame]] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder, spark.checkpoint.dir; a folder of our own only where it is unset and all runs on this machine."""
@@ -24,13 +30,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage is cut, and any lost executor's part is read again."""
+def written(df: DataFrame, name: str, kept: bool = False) -> DataFrame:
+    """df as a Parquet table in the shared folder: lineage is cut, and any lost executor's part is read again.
+
+    An open `scratch` deletes it in the end, unless it is kept."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch = path
+    if _OPEN and not kept:
+        _OPEN[-1].append(out)
     return out
 
 
@@ -40,3 +50,19 @@ def dropped(*tables: DataFrame) -> None:
         spark = t.sparkSession
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t.scratch)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Deletes all tables that operators write within it. Results are lazy and read them: write results inside."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        dropped(*_OPEN.pop())
+
+
+def column(name: str, of: str | None = None) -> Column:
+    """The column, or field of a struct, of exactly this name, whatever signs it holds."""
+    quoted = "`" + name.replace("`", "``") + "`"
+    return F.col(f"{of}.{quoted}" if of else quoted).alias(name)

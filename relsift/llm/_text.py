@@ -7,6 +7,7 @@ partition.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -100,7 +101,10 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
     def hashes(self, *cuts: int) -> list[np.ndarray]:
-        """A 64-bit hash of each word, then one of its first c bytes for each c of cuts."""
+        """A 64-bit hash of each word, then one of its first c bytes for each c of cuts.
+
+        A polynomial modulo 2**64, which unlike words can share: a hint to what may be equal, and no proof.
+        """
         out = [np.empty(len(self), U64) for _ in range(1 + len(cuts))]
         lo = 0
         while lo < len(self):
@@ -119,7 +123,7 @@ class Words:
 
 
 def windows(h: np.ndarray, n: int, base: int) -> np.ndarray:
-    """Hash of h[i:i+n] for each i, order-sensitive (a rolling polynomial modulo 2**64)."""
+    """Hash of h[i:i+n] for each i, order-sensitive (a rolling polynomial modulo 2**64, no proof of equality either)."""
     if len(h) < n:
         return np.empty(0, U64)
     base |= 1
@@ -130,14 +134,15 @@ def windows(h: np.ndarray, n: int, base: int) -> np.ndarray:
     return mix(out)
 
 
-def spans(h: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
-    """Hash of h[start:end] for each pair of bounds, order-sensitive, length included."""
-    base |= 1
-    with np.errstate(over="ignore"):
-        total = np.zeros(len(h) + 1, U64)
-        np.cumsum(h * powers(base, len(h)), out=total[1:])
-        out = (total[end] - total[start]) * powers(pow(base, -1, 1 << 64), len(h) + 1)[start]
-        return mix(out + (end - start).astype(U64) * U64(0x9FB21C651E98DF25))
+def canonical(texts: list[bytes]) -> list[bytes]:
+    """The texts' words (runs of non-blanks) joined by single blanks: equal runs of words are then equal bytes."""
+    return [b" ".join(t.split()) for t in texts]
+
+
+def digests(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """128 bits of BLAKE2b of data[start:end] for each pair of bounds, as rows of two longs."""
+    made = [hashlib.blake2b(data[a:z], digest_size=16).digest() for a, z in zip(starts.tolist(), ends.tolist())]
+    return np.frombuffer(bytearray(b"".join(made)), "<i8").reshape(-1, 2)
 
 
 def ragged(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.ListArray:

@@ -9,14 +9,13 @@ its documents' distinct keys: a key already in `once` enters `twice`. Filters me
 losing a repeat: once = a.once | b.once, twice = a.twice | b.twice | (a.once & b.once). So
 a key of two documents is always in `twice`, and the rest mostly is not. Only suspected keys
 shuffle, as SHA-256 digests reduced to (digest, least id, greatest id) before they move; the
-exact counts decide. The filters' size is fixed by the number of lines up to a
-bound; with
+exact counts decide. The filters' size follows the number of lines up to a bound; with
 more lines more unique keys are suspected and shuffled, and results stay the same.
 
 Defined results: null or empty text is one empty line. Rows sharing a doc_id are one
-document: a key in several of them alone is no repeat, and all of them keep it. A null
-doc_id sorts after every other id, and all null ids count as one document. Other columns,
-whatever their names, pass through `line_dedup` untouched, save that n_lines and n_dropped
+document: a key in several of them alone is no repeat, and all of them keep it; each gets the keys
+of its own text alone. A null doc_id sorts after every other id, and all null ids count as one document.
+Other columns, whatever their names, pass through `line_dedup` untouched, save that n_lines and n_dropped
 of the input give way to the counts made here.
 """
 
@@ -28,12 +27,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from relsift.llm import _bloom as bloom
 from relsift.llm import _text as T
-from relsift.llm._session import written
+from relsift.llm._session import column, written
 
 MIN_CHARS = 10
 STRIPPED = b" \t\n\x0b\x0c\r"
@@ -56,18 +56,26 @@ def twice_seen(documents: DataFrame, bits: int) -> np.ndarray:
     """The packed twice-seen filter of the documents' line keys."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [distinct_hashes(t) for b in batches for t in T.as_bytes(b.column("text"))]
-        if found:
-            once, n = np.unique(np.concatenate(found), return_counts=True)
-            yield from bloom.packed(once, n > 1, bits)
+        seen = bloom.Seen(bits)
+        for b in batches:
+            texts = T.as_bytes(b.column("text"))
+            for lo, hi in T.slices(texts):
+                seen.enter(np.concatenate([distinct_hashes(t) for t in texts[lo:hi]]))
+        yield from seen.segments()
 
     return bloom.merged(documents.select("text").mapInArrow(build, bloom.SCHEMA), bits, "twice")
 
 
+def _keyed(documents: DataFrame, *more: Column) -> DataFrame:
+    """(doc_id, text, row, more): row is the text's hash, so that rows that share an id meet their own lines alone."""
+    text = F.col("text").cast("string")
+    return documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("row"), *more)
+
+
 def repeats(documents: DataFrame, bits: int | None = None) -> DataFrame:
-    """(doc_id, drops): for each document that loses lines, the digests of the keys it loses."""
+    """(doc_id, row, drops): for each text that loses lines, the digests of the keys it loses."""
     spark = documents.sparkSession
-    docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = _keyed(documents)
     if bits is None:
         n = docs.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)).first()[0]
         bits = bloom.bits_for(int(n or 0))
@@ -76,28 +84,27 @@ def repeats(documents: DataFrame, bits: int | None = None) -> DataFrame:
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twice = shared.value
         for b in batches:
-            ids, digests = [], []
-            for i, text in zip(b.column("doc_id").to_pylist(), T.as_bytes(b.column("text"))):
+            ids, rows, digests = [], [], []
+            for i, row, text in zip(b.column("doc_id").to_pylist(), b.column("row").to_pylist(), T.as_bytes(b.column("text"))):
                 keys = list({k for k in line_keys(text)[1] if k})
                 hashes = np.fromiter((xxhash.xxh3_64_intdigest(k) for k in keys), np.uint64, len(keys))
                 for k in np.flatnonzero(bloom.contains(twice, hashes)) if keys else ():
                     ids.append(i)
+                    rows.append(row)
                     digests.append(hashlib.sha256(keys[k]).digest())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary())], ["doc_id", "digest"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(digests, pa.binary())], ["doc_id", "row", "digest"])
 
-    held = docs.mapInArrow(probe, "doc_id long, digest binary")
+    held = docs.mapInArrow(probe, "doc_id long, row long, digest binary")
     first = held.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id").select("digest", "first_id")
     first = written(first, "confirmed")  # both sides of the join are then plain exchanges, of which Spark can split a hot key
-    return held.join(first.hint("merge"), "digest").where("doc_id > first_id").groupBy("doc_id").agg(F.collect_set("digest").alias("drops"))
+    return held.join(first.hint("merge"), "digest").where("doc_id > first_id").groupBy("doc_id", "row").agg(F.collect_set("digest").alias("drops"))
 
 
 def line_dedup(documents: DataFrame, bits: int | None = None) -> DataFrame:
     """The documents with text (repeated lines gone), n_lines before, and n_dropped, beside all other columns."""
-    others = [c for c in documents.columns if c not in ("text", "doc_id", "n_lines", "n_dropped")]
-    packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in others], F.lit(0).alias("__")).alias("rest"), F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("key"))
-    drops = repeats(documents, bits).withColumnRenamed("doc_id", "key")
-    joined = packed.join(drops.hint("shuffle_hash"), "key", "left")
-    rest = joined.schema["rest"].dataType
+    others = [c for c in documents.columns if c not in ("text", "n_lines", "n_dropped")]
+    packed = _keyed(documents, F.struct(*map(column, others)).alias("rest"))
+    joined = packed.join(repeats(documents, bits).hint("shuffle_hash"), ["doc_id", "row"], "left").select("rest", "text", "drops")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -114,9 +121,8 @@ def line_dedup(documents: DataFrame, bits: int | None = None) -> DataFrame:
                 texts.append(b"\n".join(kept))
                 lines_before.append(len(lines))
                 dropped.append(len(lines) - len(kept))
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("rest"), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(lines_before, pa.int64()), pa.array(dropped, pa.int64())], ["id", "rest", "text", "n_lines", "n_dropped"])
+            yield pa.RecordBatch.from_arrays([b.column("rest"), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(lines_before, pa.int64()), pa.array(dropped, pa.int64())], ["rest", "text", "n_lines", "n_dropped"])
 
-    id_type = documents.schema["doc_id"].dataType.simpleString()
-    out = joined.select("id", "rest", "text", "drops").mapInArrow(cut, f"id {id_type}, rest {rest.simpleString()}, text string, n_lines long, n_dropped long")
-    ordered = [F.col("id").alias("doc_id") if c == "doc_id" else F.col("text") if c == "text" else F.col(f"rest.`{c}`").alias(c) for c in documents.columns if c in ("text", "doc_id", *others)]
+    out = joined.mapInArrow(cut, StructType([joined.schema["rest"]]).add("text", "string").add("n_lines", "long").add("n_dropped", "long"))
+    ordered = [F.col("text") if c == "text" else column(c, "rest") for c in documents.columns if c in ("text", *others)]
     return out.select(*ordered, "n_lines", "n_dropped")
