@@ -6,9 +6,9 @@ window. The steps:
 
 1. Document counts of the benchmark's terms over all documents, reduced in each task first.
 2. For each window, its RAREST terms by those counts; a window with a term that no document
-   has cannot occur and is left out.
-3. The index: postings (term, doc_id, positions) of the chosen terms in all documents,
-   stored as a table. Tasks learn which terms are wanted from a bit map of a fixed size
+   has cannot occur and is left out. A window that several items have is one, and its items are attached last.
+3. The index: postings (term, doc_id, row, positions) of the chosen terms in all documents, row being the
+   text's hash, stored as a table. Tasks learn which terms are wanted from a bit map of a fixed size
    (2 MB), which may let a term too many through and never one too few.
 4. Each window's lists, shifted by its terms' offsets, are intersected from the rarest term
    on: what is left are (window, doc_id, start).
@@ -18,8 +18,9 @@ Documents meet their candidates by doc_id, so a passage that very many documents
 each of them a short list. Nothing is paired document by document.
 
 Defined results: null and empty texts have no words and no hits; items without words or with
-a null id have no windows; equal item_ids are one item. Rows sharing a doc_id are judged each on
-its own text. An empty benchmark hits nothing. Other columns pass through `decontaminated`.
+a null id have no windows; equal item_ids are one item. Rows sharing a doc_id, or without one, are judged
+each on its own text, by which they meet their candidates too. An empty benchmark hits nothing. Other columns
+pass through `decontaminated`, save that a column leak of the input gives way to the one made here.
 """
 
 from __future__ import annotations
@@ -30,11 +31,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
 
 from relsift.llm import _text as T
-from relsift.llm._session import dropped, written
+from relsift.llm._session import column, written
 
 WINDOW = 10
 RAREST = 2
@@ -73,12 +75,13 @@ def digest(words: T.Words, at: int, n: int) -> bytes:
 
 
 def bit_map(terms: DataFrame) -> np.ndarray:
-    """2**MAP_BITS flags, set for the low bits of the terms; the driver receives distinct flag numbers, at most 2**MAP_BITS."""
-    wanted = np.zeros(1 << MAP_BITS, bool)
-    slots = terms.select(F.col("term").bitwiseAND((1 << MAP_BITS) - 1).cast("int").alias("slot")).distinct()
-    for row in slots.toLocalIterator():
-        wanted[row.slot] = True
-    return np.packbits(wanted, bitorder="little")
+    """2**MAP_BITS flags, packed, set for the low bits of the terms; made by tasks in parts of 4 KB, 2 MB in all."""
+    slot = F.col("term").bitwiseAND((1 << MAP_BITS) - 1) + 1  # Spark numbers positions from 1 on
+    parts = terms.select(F.bitmap_bucket_number(slot).alias("part"), F.bitmap_bit_position(slot).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("flags"))
+    packed = np.zeros((1 << MAP_BITS) >> 3, np.uint8)
+    for row in parts.collect():
+        packed[(row.part - 1) * len(row.flags) : row.part * len(row.flags)] = np.frombuffer(row.flags, np.uint8)
+    return packed
 
 
 def asked(packed: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -86,8 +89,9 @@ def asked(packed: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (packed[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
 
 
-def _texts(documents: DataFrame) -> DataFrame:
-    return documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _texts(documents: DataFrame, *more: Column) -> DataFrame:
+    text = F.col("text").cast("string")
+    return documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("row"), *more)
 
 
 def document_counts(documents: DataFrame, terms: DataFrame) -> DataFrame:
@@ -115,12 +119,12 @@ def document_counts(documents: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def positional_index(documents: DataFrame, terms: DataFrame) -> DataFrame:
-    """Postings (term, doc_id, positions) of the terms (and of few others) in all documents."""
+    """Postings (term, doc_id, row, positions) of the terms (and of few others) in all documents."""
     shared = documents.sparkSession.sparkContext.broadcast(bit_map(terms))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column("doc_id").to_numpy(zero_copy_only=False)
+            ids, rows = (b.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "row"))
             texts = T.as_bytes(b.column("text"))
             for lo, hi in T.slices(texts):
                 words = T.Words([t.lower() for t in texts[lo:hi]], T.NON_WORD)
@@ -131,37 +135,43 @@ def positional_index(documents: DataFrame, terms: DataFrame) -> DataFrame:
                 at = at[np.lexsort((h[at], owner[at]))]
                 opens = np.flatnonzero(np.concatenate([[True], (h[at][1:] != h[at][:-1]) | (owner[at][1:] != owner[at][:-1])]))
                 positions = T.ragged((at - words.first[owner[at]]).astype(np.int32), np.append(opens, len(at)), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(h[at][opens].view(np.int64)), pa.array(ids[lo:hi][owner[at][opens]]), positions], ["term", "doc_id", "positions"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[at][opens].view(np.int64)), *(pa.array(x[lo:hi][owner[at][opens]]) for x in (ids, rows)), positions], ["term", "doc_id", "row", "positions"])
 
-    return _texts(documents).mapInArrow(run, "term long, doc_id long, positions array<int>")
+    return _texts(documents).mapInArrow(run, "term long, doc_id long, row long, positions array<int>")
 
 
 def rarest_terms(windows: DataFrame, counts: DataFrame, most: int = RAREST, absent: int = 0) -> DataFrame:
-    """(item_id, n, digest, term, offset, rank, of, found): each window's terms from the rarest on, of those that occur.
+    """(digest, n, term, offset, rank, of, found): each window's terms from the rarest on, of those that occur.
     All must occur, or all but `absent` in windows of more than two words; found says how many do."""
-    spread = windows.select("item_id", "n", "digest", F.posexplode("terms").alias("offset", "term"))
+    once = windows.groupBy("digest").agg(F.first("n").alias("n"), F.first("terms").alias("terms"))
+    spread = once.select("digest", "n", F.posexplode("terms").alias("offset", "term"))
     known = spread.join(counts, "term")
-    w = Window.partitionBy("item_id", "digest")
+    w = Window.partitionBy("digest")
     ranked = known.withColumn("found", F.count("*").over(w)).withColumn("rank", F.row_number().over(w.orderBy("df", "offset")))
     kept = ranked.where(f"found >= n - if(n > 2, {absent}, 0) and rank <= {most}")
-    return kept.select("item_id", "n", "digest", "term", "offset", "rank", F.least("found", F.lit(most)).cast("int").alias("of"), F.col("found").cast("int").alias("found"))
+    return kept.select("digest", "n", "term", "offset", "rank", F.least("found", F.lit(most)).cast("int").alias("of"), F.col("found").cast("int").alias("found"))
 
 
 def starts(index: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(item_id, n, digest, doc_id, start): offset-adjusted lists of a window's chosen terms, intersected."""
-    shifted = index.join(chosen, "term").select("item_id", "n", "digest", "of", "doc_id", "rank", F.explode("positions").alias("position"), "offset").select("item_id", "n", "digest", "of", "doc_id", "rank", (F.col("position") - F.col("offset")).alias("start")).where("start >= 0")
-    met = shifted.groupBy("item_id", "n", "digest", "of", "doc_id", "start").agg(F.bit_or(F.expr("shiftleft(1, rank - 1)")).alias("met"))
-    return met.where(F.bit_count("met") == F.col("of")).select("item_id", "n", "digest", "doc_id", "start")
+    """(digest, n, doc_id, row, start): offset-adjusted lists of a window's chosen terms, intersected."""
+    shifted = index.join(chosen, "term").select("digest", "n", "of", "doc_id", "row", "rank", F.explode("positions").alias("position"), "offset").select("digest", "n", "of", "doc_id", "row", "rank", (F.col("position") - F.col("offset")).alias("start")).where("start >= 0")
+    met = shifted.groupBy("digest", "n", "of", "doc_id", "row", "start").agg(F.bit_or(F.expr("shiftleft(1, rank - 1)")).alias("met"))
+    return met.where(F.bit_count("met") == F.col("of")).select("digest", "n", "doc_id", "row", "start")
+
+
+def owners(windows: DataFrame) -> DataFrame:
+    """(digest, items): the items that have a window."""
+    return windows.groupBy("digest").agg(F.collect_set("item_id").alias("items"))
 
 
 def candidates(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, found): each document's list of windows that the index places in it."""
+    """(doc_id, row, found): each text's list of windows that the index places in it, with their items."""
     windows = written(item_windows(benchmark, window), "windows")
     counts = document_counts(documents, windows.select(F.explode("terms").alias("term")))
     chosen = written(rarest_terms(windows, counts), "chosen")
-    dropped(windows)
     index = written(positional_index(documents, chosen.select("term")), "index")
-    return starts(index, chosen).groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "n", "digest", "start")).alias("found"))
+    placed = starts(index, chosen).join(owners(windows), "digest")
+    return placed.groupBy("doc_id", "row").agg(F.collect_list(F.struct("n", "digest", "start", "items")).alias("found"))
 
 
 def proximity(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, terms: int = 4, slop: int = 3) -> DataFrame:
@@ -169,27 +179,32 @@ def proximity(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     stand within slop of their places, all but one at least; all, if one of the window's words occurs nowhere.
 
     Places are counted from the rarest word, and where it does not stand from the second, so either may be
-    the one that is missing. Of windows with one or two chosen words the rarest must stand.
+    the one that is missing. Of windows with one or two chosen words the rarest must stand. Rows sharing a
+    doc_id are matched each on its own text; rows with equal id and text give one match.
     """
     windows = written(item_windows(benchmark, window), "windows")
     counts = document_counts(documents, windows.select(F.explode("terms").alias("term")))
     chosen = written(rarest_terms(windows, counts, terms, absent=1), "chosen")
     index = written(positional_index(documents, chosen.select("term")), "index")
     may_miss = F.when(F.col("found") == F.col("n"), 1).otherwise(0)
-    placed = index.join(chosen, "term").select("item_id", "digest", F.greatest(F.col("of") - may_miss, F.lit(1)).alias("least"), "of", "doc_id", "rank", "offset", F.explode("positions").alias("position"))
-    placed = placed.select("item_id", "digest", "least", "of", "doc_id", "rank", (F.col("position") - F.col("offset")).alias("at"))
-    anchors = placed.where("rank = 1 or (rank = 2 and of > 2 and least < of)").select("item_id", "digest", "least", "doc_id", F.col("rank").alias("by"), F.col("at").alias("start"))
-    near = anchors.join(placed.drop("least", "of"), ["item_id", "digest", "doc_id"]).where(F.abs(F.col("at") - F.col("start")) <= slop)
-    met = near.groupBy("doc_id", "item_id", "digest", "start", "by", "least").agg(F.bit_count(F.bit_or(F.expr("shiftleft(1, rank - 1)"))).cast("long").alias("n_terms"), F.min("rank").alias("first"))
-    return met.where("n_terms >= least and first = by").drop("least", "by", "first").withColumn("doc_id", F.nullif("doc_id", F.lit(NULL_ID)))
+    placed = index.join(chosen, "term").select("digest", F.greatest(F.col("of") - may_miss, F.lit(1)).alias("least"), "of", "doc_id", "row", "rank", "offset", F.explode("positions").alias("position"))
+    placed = placed.select("digest", "least", "of", "doc_id", "row", "rank", (F.col("position") - F.col("offset")).alias("at"))
+    anchors = placed.where("rank = 1 or (rank = 2 and of > 2 and least < of)").select("digest", "least", "doc_id", "row", F.col("rank").alias("by"), F.col("at").alias("start")).distinct()
+    near = anchors.join(placed.drop("least", "of"), ["digest", "doc_id", "row"]).where(F.abs(F.col("at") - F.col("start")) <= slop)
+    met = near.groupBy("doc_id", "row", "digest", "start", "by", "least").agg(F.bit_count(F.bit_or(F.expr("shiftleft(1, rank - 1)"))).cast("long").alias("n_terms"), F.min("rank").alias("first"))
+    met = met.where("n_terms >= least and first = by").join(owners(windows), "digest")
+    return met.select(F.nullif("doc_id", F.lit(NULL_ID)).alias("doc_id"), F.explode("items").alias("item_id"), "digest", "start", "n_terms")
+
+
+LEAK = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items", pa.list_(pa.string())), ("items_sha256", pa.string())])
 
 
 def decontaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents with all their columns, and a struct `leak`: n_words, n_hit, n_items, items (sorted), items_sha256."""
     found = candidates(documents, benchmark, window)
     rest = [c for c in documents.columns if c != "leak"]
-    packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"))
-    joined = packed.join(found.hint("shuffle_hash"), "doc_id", "left").select("row", F.col("row.text").cast("string").alias("text"), "found")
+    packed = _texts(documents, F.struct(*map(column, rest)).alias("whole")).drop("text")
+    joined = packed.join(found.hint("shuffle_hash"), ["doc_id", "row"], "left").select("whole", F.col("whole.text").cast("string").alias("text"), "found")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -206,12 +221,11 @@ def decontaminated(documents: DataFrame, benchmark: DataFrame, window: int = WIN
                             at, n = first + c["start"], c["n"]
                             if at + n <= last and digest(words, at, n) == c["digest"]:
                                 hit[c["start"] : c["start"] + n] = True
-                                items.add(c["item_id"])
+                                items.update(c["items"])
                     names = sorted(items, key=str.encode)
                     out.append({"n_words": int(last - first), "n_hit": 0 if hit is None else int(hit.sum()), "n_items": len(names), "items": names, "items_sha256": hashlib.sha256(",".join(names).encode()).hexdigest()})
-            kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items", pa.list_(pa.string())), ("items_sha256", pa.string())])
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(out, kind)], ["row", "leak"])
+            yield pa.RecordBatch.from_arrays([b.column("whole"), pa.array(out, LEAK)], ["whole", "leak"])
 
-    row = joined.schema["row"].dataType.simpleString()
-    out = joined.mapInArrow(verify, f"row {row}, leak struct<n_words: long, n_hit: long, n_items: long, items: array<string>, items_sha256: string>")
-    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in rest], "leak")
+    leak = "struct<n_words: long, n_hit: long, n_items: long, items: array<string>, items_sha256: string>"
+    out = joined.mapInArrow(verify, StructType([joined.schema["whole"]]).add("leak", DataType.fromDDL(leak)))
+    return out.select(*[column(c, "whole") for c in rest], "leak")
