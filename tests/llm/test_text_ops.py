@@ -63,13 +63,20 @@ def test_line_dedup(ready):
 
 def test_filters_lose_nothing():
     hashes = T._odd_stream(3, 5000)
-    parts = list(bloom.packed(hashes, np.zeros(5000, bool), bloom.MIN_BITS))
-    whole = np.zeros((bloom.MIN_BITS // bloom.SEGMENT, bloom.SEGMENT // 8), np.uint8)
-    for b in parts:
-        for s, o in zip(b.column("segment").to_pylist(), b.column("once").to_pylist()):
-            whole[s] |= np.frombuffer(zlib.decompress(o), np.uint8)
-    assert bloom.contains(whole, hashes).all()
-    assert bloom.contains(whole, T._odd_stream(99991, 5000)).mean() < 0.05
+    seen = bloom.Seen(bloom.MIN_BITS)
+    for lo in range(0, 5000, 700):
+        seen.enter(hashes[lo : lo + 700])
+    seen.enter(hashes[:100])  # of an earlier batch
+    seen.enter(np.repeat(hashes[4000:4100], 2))
+    whole = {k: np.zeros_like(seen.once) for k in ("once", "twice")}
+    for b in seen.segments():
+        for k in whole:
+            for s, o in zip(b.column("segment").to_pylist(), b.column(k).to_pylist()):
+                whole[k][s] |= np.frombuffer(zlib.decompress(o), np.uint8)
+    assert bloom.contains(whole["once"], hashes).all()
+    assert bloom.contains(whole["once"], T._odd_stream(99991, 5000)).mean() < 0.05
+    assert bloom.contains(whole["twice"], hashes[:100]).all() and bloom.contains(whole["twice"], hashes[4000:4100]).all()
+    assert bloom.contains(whole["twice"], hashes[100:4000]).mean() < 0.05
 
 
 def test_word_hashes_depend_on_words_alone():
@@ -281,6 +288,70 @@ def test_substring_dedup(ready):
     assert substring_dedup.substring_dedup(documents(ready, docs).limit(0)).count() == 0
 
 
+def thue_morse(n):
+    """Two texts of 2**n letters that a polynomial hash modulo 2**64 can't tell apart for n of 10 and more."""
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(1 << n))
+    return a, a.translate({97: 98, 98: 97})
+
+
+def test_substring_dedup_compares_words_and_not_hashes(ready):
+    one, two = thue_morse(11)
+    assert T.Words([one.encode()], T.BLANKS).hashes()[0] == T.Words([two.encode()], T.BLANKS).hashes()[0]
+    around = prose(50, 60).split()
+    x, y = (w for w in ("left", "right"))
+    long = [" ".join([x, y][bin(i).count("1") % 2 ^ flip] for i in range(1 << 11)) for flip in (0, 1)]
+    docs = [
+        (1, " ".join(around[:30] + [one] + around[30:])),
+        (2, " ".join(around[:30] + [two] + around[30:])),
+        (3, " ".join(around[:30] + [one] + around[30:])),
+        (4, long[0]),
+        (5, long[1]),
+        (6, one * 50),
+        (7, two * 50 + " " + " ".join(around)),
+        (8, "\t".join(around[5:30] + [two] + around[30:58])),
+    ]
+    out = substring_dedup.substring_dedup(documents(ready, docs).repartition(3))
+    assert rows_of(out, "doc_id", "text", "n_words", "n_removed") == brute_substrings(docs)
+
+
+def many_rows(text, n=5_000):
+    """n rows without an id, n of one id, and n of all the same text."""
+    return [(None, f"{text} {prose(i, 12)}") for i in range(n)] + [(7, f"{text} {prose(i + n, 12)}") for i in range(n)] + [(None, text)] * n
+
+
+def test_many_rows_that_share_an_id(ready):
+    """Rows meet their own lines, windows and repeats alone: work stays in proportion."""
+    text = prose(60, 60)
+    rows = [(1, text), *many_rows(text)]
+    docs = documents(ready, rows).repartition(8)
+    out = decontaminate.decontaminated(docs, ready.createDataFrame([(1, prose(60, 12))], "item_id long, text string"))
+    assert out.where("leak.n_hit >= 12").count() == len(rows)
+    assert substring_dedup.substring_dedup(docs).where("n_removed >= 60").count() == len(rows) - 1
+    lines = documents(ready, [(i, t.replace(" ", "\n", 30)) for i, t in rows]).repartition(8)
+    got = line_dedup.line_dedup(lines).groupBy("n_dropped").count().collect()
+    assert {r["count"] for r in got} and sum(r["count"] for r in got) == len(rows)
+
+
+ODD = ("__", "leak", "n_words", "n_removed", "n_lines", "n_dropped", "__keep", "a-b c", "tick`s", "dot.ted", "rest", "whole", "text_", "mine", "row")
+
+
+def test_columns_of_any_name_pass_through(ready):
+    from pyspark.sql import functions as F
+
+    docs = documents(ready, [(1, prose(70, 60)), (2, prose(70, 60)), (None, None)])
+    docs = docs.select("*", *[F.lit(c).alias(c) for c in ODD])
+    items = ready.createDataFrame([(1, prose(70, 12))], "item_id long, text string")
+    for out, made in (
+        (line_dedup.line_dedup(docs), {"n_lines", "n_dropped"}),
+        (substring_dedup.substring_dedup(docs), {"n_words", "n_removed"}),
+        (decontaminate.decontaminated(docs, items), {"leak"}),
+        (simhash.deduplicated(docs), set()),
+    ):
+        assert set(out.columns) == set(docs.columns) | made and len(out.columns) == len(set(out.columns))
+        for r in out.collect():
+            assert all(r[c] == c for c in ODD if c not in made)
+
+
 def test_mixing(ready):
     rows = [(i, prose(i, 1 + i % 40), s) for s, n, at in (("a", 200, 0), ("b", 10, 1000), ("c", 40, 2000), (None, 30, 3000)) for i in range(at, at + n)]
     rows += [(1, "again and again", "a"), (None, "no id", "b"), (7000, None, "c"), (7001, "", "z"), (7002, prose(2, 20_000), "b")]
@@ -314,3 +385,12 @@ def test_components_of_long_chains(ready):
     assert got == {i: 0 for i in range(1, 201)} | {1000: 900, 950: 900}
     assert find(ready.createDataFrame([], "a long, b long")).count() == 0
 
+
+def test_components_of_hubs_without_a_single_task(ready):
+    from relsift.llm._graph import components as find
+
+    edges = [(5000, i) for i in range(3000)] + [(i, i + 7000) for i in range(0, 3000, 3)] + [(20_000 + i, 20_001 + i) for i in range(70)]
+    for alone in (0, 3500, 1 << 20):
+        got = {r.node: r.root for r in find(ready.createDataFrame(edges, "a long, b long"), alone).collect()}
+        assert got == {i: 0 for e in edges if e[0] < 20_000 for i in e if i} | {20_001 + i: 20_000 for i in range(70)}
+
