@@ -39,25 +39,57 @@ THRESHOLD = 30_000
 RANDOM_ROWS = 3_000
 
 SPAN = "array<struct<start:int,rank:int,end:int,text:string>>"
+#: Signs for private use, which no pattern matches: one set around matches, and one in its place where a text has it.
+MARK, OTHER = "\ue000", "\ue001"
+#: Steps of prefix sums: an array has 2**31 elements at most.
+STEPS = [1 << k for k in range(31)]
+#: Characters of a token that are looked at together.
+PIECE = 4096
+
+
+def let(value: Column, use) -> Column:
+    """use(value), the value being computed once, however often it is used or in whatever loop."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(a: Column) -> Column:
+    """Running sums of an array of integers, in as many passes as its length has binary digits."""
+    add = lambda acc, step: F.transform(acc, lambda x, i: x + F.coalesce(F.get(acc, i - step), F.lit(0)))
+    return let(a, lambda v: F.aggregate(F.filter(F.array(*map(F.lit, STEPS)), lambda step: step < F.size(v)), v, add))
 
 
 def _spans(text: Column, rank: int, pattern: str, group: int, least: int) -> Column:
-    """All matches of the pattern, leftmost and not overlapping, whose group has the least length."""
-    p = F.lit(pattern)
-    whole, value = F.regexp_extract_all(text, p, F.lit(0)), F.regexp_extract_all(text, p, F.lit(group))
-    # what stands before each match: with the matches' lengths this gives their places
-    gaps = F.slice(F.transform(F.split(text, pattern, -1), lambda x: F.length(x)), 1, F.size(whole))
-    parts = F.arrays_zip(gaps.alias("gap"), whole.alias("whole"), value.alias("value"))
+    """All matches of the pattern, leftmost and not overlapping, whose group has the least length.
+
+    One pass sets marks around the matches; split there, the text is gap, match, gap and so on, and the parts'
+    lengths add up to the matches' places."""
+    marked = F.regexp_replace(F.translate(text, MARK, OTHER), F.lit(pattern), F.lit(MARK + "$0" + MARK))
+    value = lambda part: F.regexp_extract(part, pattern, group) if group else part
+
+    def of(parts: Column) -> Column:
+        ends = running(F.transform(parts, lambda x: F.length(x)))
+        every = F.transform(F.arrays_zip(parts.alias("part"), ends.alias("end")), lambda x, i: F.struct((x["end"] - F.length(x["part"])).alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"), x["part"].alias("text"), i.alias("i")))
+        kept = F.filter(every, lambda x: (x["i"] % 2 == 1) & (F.length(value(x["text"])) >= least))
+        return F.transform(kept, lambda x: F.struct(*(x[c].alias(c) for c in ("start", "rank", "end", "text")))).cast(SPAN)
+
+    return let(F.split(marked, MARK, -1), of)
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.length(x["whole"])
-        one = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), x["whole"].alias("text")))
-        return F.struct(end.alias("at"), F.when(F.length(x["value"]) >= least, F.concat(acc["found"], one)).otherwise(acc["found"]).alias("found"))
 
-    none = F.array().cast(SPAN)
-    found = F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("found")), step, lambda acc: acc["found"])
-    return F.when(text.rlike(pattern), found).otherwise(none)
+def _apart(tokens: Column, base: Column) -> Column:
+    """The tokens, sorted and not overlapping, that overlap no base span: as many spans end at or before such a token's
+    start as start before its end. Both numbers are places in sorted arrays, less those of the tokens before."""
+
+    def places(ends: Column) -> Column:
+        where = F.transform(F.array_sort(ends), lambda e, i: F.struct(e["token"].alias("token"), i.alias("i")))
+        return F.transform(F.filter(where, lambda e: e["token"]), lambda e: e["i"])
+
+    def end(at: Column, order: int, token: bool) -> Column:
+        return F.struct(at.alias("at"), F.lit(order).alias("order"), F.lit(token).alias("token"))
+
+    opened = places(F.concat(F.transform(base, lambda b: end(b["start"], 1, False)), F.transform(tokens, lambda t: end(t["end"], 0, True))))
+    closed = places(F.concat(F.transform(base, lambda b: end(b["end"], 0, False)), F.transform(tokens, lambda t: end(t["start"], 1, True))))
+    told = F.arrays_zip(tokens.alias("span"), opened.alias("opened"), closed.alias("closed"))
+    return F.transform(F.filter(told, lambda x: x["opened"] == x["closed"]), lambda x: x["span"])
 
 
 def samples(spark: SparkSession, documents: DataFrame) -> DataFrame:
@@ -92,21 +124,30 @@ def fit(labelled: DataFrame) -> list[int]:
 
 
 def ratio(token: Column, weights: list[int]) -> Column:
-    """Log-likelihood ratio of a token, in thousandths of a nat."""
+    """Log-likelihood ratio of a token of SIGNS, in thousandths of a nat: long ones piece by piece, each
+    with the next one's first character, so that time is in proportion to length and memory bounded."""
     size = len(SIGNS) + 1
     table = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<int>")  # a constant, folded once
-    sign = lambda i: F.instr(F.lit(SIGNS), F.substring(token, i, F.lit(1)))
-    pairs = F.sequence(F.lit(1), F.length(token) - 1)
-    return F.aggregate(pairs, F.lit(0), lambda acc, i: acc + F.element_at(table, sign(i) * size + sign(i + 1) + 1))
+
+    def of(piece: Column) -> Column:
+        signs = F.transform(F.split(piece, "", -1), lambda c: F.instr(F.lit(SIGNS), c))
+        add = lambda acc, b: F.struct(b.alias("a"), (acc["sum"] + F.when(acc["a"] < 0, 0).otherwise(F.element_at(table, acc["a"] * size + b + 1))).alias("sum"))
+        return F.aggregate(signs, F.struct(F.lit(-1).alias("a"), F.lit(0).cast("long").alias("sum")), add, lambda acc: acc["sum"])
+
+    def pieces(raw: Column) -> Column:  # of bytes, where a piece is found at once
+        starts = F.sequence(F.lit(1), F.greatest(F.octet_length(raw) - 1, F.lit(1)), F.lit(PIECE))
+        return F.transform(starts, lambda at: F.substring(raw, at, F.lit(PIECE + 1)).cast("string"))
+
+    return F.aggregate(let(token.cast("binary"), pieces), F.lit(0).cast("long"), lambda acc, x: acc + of(x))
 
 
 def scan(documents: DataFrame, weights: list[int], threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, found): the spans of each document, sorted by start and kind, as structs of start, rank of kind, end, text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = documents.select("doc_id", text.alias("text")).select("doc_id", "text", F.concat(*[_spans(F.col("text"), k, p, g, n) for k, (_, p, g, n) in enumerate(BASE)]).alias("base"))
-    tokens = F.filter(_spans(F.col("text"), 3, TOKENS, 0, TOKEN), lambda t: ~F.exists(F.col("base"), lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    added = F.filter(tokens, lambda t: ratio(t["text"], weights) >= threshold)
-    return base.select("doc_id", F.array_sort(F.concat("base", added)).alias("found"))
+    base = F.concat(*[_spans(text, k, p, g, n) for k, (_, p, g, n) in enumerate(BASE)])
+    random = lambda t: F.filter(t, lambda x: ratio(x["text"], weights) >= threshold)
+    added = lambda b: let(random(_spans(text, 3, TOKENS, 0, TOKEN)), lambda t: F.when(F.size(b) == 0, t).otherwise(_apart(t, b)))
+    return documents.select("doc_id", let(base, lambda b: F.array_sort(F.concat(b, added(b)))).alias("found"))
 
 
 def listed(found: Column, *kinds: str) -> Column:
