@@ -92,6 +92,18 @@ def merged(parts: DataFrame, bits: int, which: str) -> np.ndarray:
     return whole
 
 
+def built(keys: DataFrame, column: str, bits: int) -> np.ndarray:
+    """The filter of a column of 64-bit hashes."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Seen(bits)
+        for b in batches:
+            seen.enter(b.column(column).to_numpy(zero_copy_only=False).view(np.uint64))
+        yield from seen.segments()
+
+    return merged(keys.mapInArrow(build, SCHEMA), bits, "once")
+
+
 def contains(whole: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Flags of the hashes that may have been entered."""
     segment, bit = places(hashes, whole.shape[0] * SEGMENT)

@@ -87,6 +87,18 @@ j as (select k.*, rep.first_id is not null and k.doc_id > rep.first_id as gone f
 select any_value(doc_id) as doc_id, count(*)::bigint as n_lines, count(*) filter (gone)::bigint as n_dropped,
   sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) as kept_sha256
 from j group by r""",
+    # links within labels by cosine; components by the least id that reaches a vector over them
+    "op6_embedding_dedup": r"""
+with recursive e as (select vec_id, label, list_transform(embedding, lambda x: x::double) as v from embeddings),
+fine as (select vec_id, label, v, sqrt(list_dot_product(v, v)) as size from e
+  where vec_id is not null and label is not null and v is not null and len(v) > 0 and len(list_filter(v, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(v, lambda x: x <> 0)) > 0),
+l as (select a.vec_id as a, b.vec_id as b from fine a join fine b on a.label = b.label and a.vec_id <> b.vec_id and len(a.v) = len(b.v)
+  where list_dot_product(a.v, b.v) / (a.size * b.size) >= 0.93),
+r(node, root) as (select vec_id, vec_id from e union select l.b, r.root from r join l on l.a = r.node where r.root < l.b),
+c as (select node, min(root) as component_id from r group by node),
+n as (select a, count(*) as n_links from l group by a)
+select vec_id, coalesce(n_links, 0)::bigint as n_links, component_id, vec_id = component_id as kept
+from e join c on c.node = e.vec_id left join n on n.a = e.vec_id""",
     "op7_decontaminate": rf"""
 with d as (select row_number() over () as r, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
 b as (select cast(item_id as varchar) as item_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark where item_id is not null),
