@@ -37,12 +37,13 @@ from pyspark.sql import functions as F
 
 from relsift.llm import _bloom as bloom
 from relsift.llm import _text as T
+from relsift.llm._blocks import blocks
 from relsift.llm._graph import components, forest
 from relsift.llm._session import dropped, written
 
 COSINE = 0.93
 TABLES, FUNCTIONS, ROUNDS = 8, 2, 3
-CELL = 4096
+CELL = 1024
 AT_ONCE = 1 << 20
 #: Vectors hashed at a time: their rotations stay in a processor's cache.
 HASHED = 256
@@ -298,20 +299,6 @@ def bundled(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.
         yield keys(table), table
 
 
-def placed(spread: DataFrame, large: DataFrame) -> DataFrame:
-    """The rows of `probing` with cut, mine and other. Of a bucket in `large`, (l, d, c, cuts), row i, column j of its
-    cuts x cuts blocks is cut i * cuts + j: a row at home stands in a line of blocks as mine, and each in a column as other."""
-    spread = spread.join(large, (F.col("label") == F.col("l")) & (F.col("dim") == F.col("d")) & (F.col("cell") == F.col("c")), "left").drop("l", "d", "c")
-    k = F.coalesce("cuts", F.lit(1))
-    line, row = (F.pmod(F.xxhash64("node", F.lit(salt)), k).cast("int") for salt in (1, 2))
-    every = F.sequence(F.lit(0), k - 1)
-    place = lambda cut, mine, other: F.struct(cut.alias("cut"), mine.alias("mine"), other.alias("other"))
-    down = F.transform(every, lambda i: place(i * F.col("k") + F.col("column"), F.col("home") & (i == F.col("line")), F.lit(True)))
-    along = F.transform(F.filter(every, lambda j: F.col("home") & (j != F.col("column"))), lambda j: place(F.col("line") * F.col("k") + j, F.lit(True), F.lit(False)))
-    spread = spread.withColumns({"k": k, "line": line, "column": row})
-    return spread.select("label", "dim", "cell", "home", "node", "n", "vector", F.inline(F.when(F.col("k") == 1, F.array(place(F.lit(0), F.col("home"), F.lit(True)))).otherwise(F.concat(down, along))))
-
-
 def links(found: DataFrame, cosine: float = COSINE, hashing: Hashing = Hashing()) -> DataFrame:
     """(node, n_links, root): counts have n_links, links of the forest have a root and no count."""
     vectors = written(coded(found, hashing), "coded")
@@ -334,7 +321,9 @@ def links(found: DataFrame, cosine: float = COSINE, hashing: Hashing = Hashing()
                 bundle.link(cosine)
                 yield bundle.result()
 
-    sorted_ = placed(probing(vectors, known, hashing), large).repartition("label", "dim", "cell", "cut").sortWithinPartitions("label", "dim", "cell", "cut")
+    spread = probing(vectors, known, hashing).join(large, (F.col("label") == F.col("l")) & (F.col("dim") == F.col("d")) & (F.col("cell") == F.col("c")), "left")
+    placed = blocks(spread, F.coalesce("cuts", F.lit(1)), F.col("node"), F.col("home"), "label", "dim", "cell", "home", "node", "n", "vector")
+    sorted_ = placed.repartition("label", "dim", "cell", "cut").sortWithinPartitions("label", "dim", "cell", "cut")
     return sorted_.mapInArrow(compare, "node long, n_links long, root long")
 
 

@@ -14,7 +14,7 @@ anchor, the fingerprints at home there are compared with all that were replicate
 
 Equal fingerprints are one before the search, so groups of copies cost one row. Anchors are
 12,288 in all, hence their sizes are a small table: an anchor whose pairs exceed WORK is
-split by its home side into as many cells as needed, and no comparison is dropped. A cell
+cut into blocks by both sides, and no comparison is dropped. A block
 returns a spanning forest of its links and never all pairs.
 
 Defined results: null and empty texts have fingerprint 0 and are linked like any other;
@@ -35,14 +35,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relsift.llm import _text as T
+from relsift.llm._blocks import blocks
 from relsift.llm._graph import components, forest
 from relsift.llm._session import written
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 BLOCKS = ((0, 22), (22, 21), (43, 21))
 RADIUS, THRESHOLD = 3, 1
-#: Pairs in one cell at most, as planned from the anchors' sizes; bands leave about one in 1,400 of them to compare.
-WORK = 1 << 41
+#: Pairs in one block, as planned from the anchors' sizes. Bands leave about one in 1,400 of them to compare; where very
+#: many fingerprints share a band, all of them are still a task of minutes.
+WORK = 1 << 34
 #: Up to so many pairs, a cell compares all with all.
 ALL_WITH_ALL = 1 << 26
 #: Comparisons made at a time, which bounds memory.
@@ -173,26 +175,25 @@ def cell_links(mine: np.ndarray, all_here: np.ndarray) -> tuple[np.ndarray, np.n
 
 def links(distinct: DataFrame) -> DataFrame:
     """(a, b): links that connect the fingerprints (fp) at DISTANCE or fewer differing bits."""
-    spread = replicated(distinct)
+    spread = written(replicated(distinct), "replicas")
     sizes = spread.groupBy("cell").agg(F.count("*").alias("n"), F.count_if("home").alias("n_home"))
-    cuts = sizes.select("cell", F.ceil(F.col("n") * F.col("n_home") / WORK).cast("int").alias("cuts")).where("cuts > 0")
+    cuts = sizes.select("cell", F.ceil(F.sqrt(F.col("n") * F.col("n_home") / WORK)).cast("int").alias("cuts")).where("cuts > 0")
     # 12,288 rows at most, by construction
-    placed = spread.join(F.broadcast(cuts), "cell").withColumn("mine", F.when(F.col("home"), F.pmod(F.xxhash64("fp"), F.col("cuts"))).otherwise(-1).cast("int"))
-    placed = placed.select("cell", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"), "fp", "mine").select("cell", "cut", "fp", (F.col("mine") == F.col("cut")).alias("home"))
+    placed = blocks(spread.join(F.broadcast(cuts), "cell"), F.col("cuts"), F.col("fp"), F.col("home"), "cell", "fp")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by cell and cut; one cell's fingerprints are held at a time."""
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        """Rows come sorted by cell and cut; one block's fingerprints are held at a time."""
+        held: list[tuple[np.ndarray, ...]] = []
         key = None
 
         def close():
-            fps, at_home = (np.concatenate(x) for x in zip(*held))
-            a, b = cell_links(fps[at_home].view(np.uint64), fps.view(np.uint64))
+            fps, mine, other = (np.concatenate(x) for x in zip(*held))
+            a, b = cell_links(fps[mine].view(np.uint64), fps[other].view(np.uint64))
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
         for batch in batches:
             cell, cut, fps = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "cut", "fp"))
-            at_home = batch.column("home").to_numpy(zero_copy_only=False)
+            mine, other = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("mine", "other"))
             keys = cell.astype(np.int64) << 32 | cut
             edges = np.flatnonzero(np.diff(keys)) + 1
             for lo, hi in zip([0, *edges], [*edges, len(keys)]):
@@ -202,7 +203,7 @@ def links(distinct: DataFrame) -> DataFrame:
                     yield close()
                     held = []
                 key = keys[lo]
-                held.append((fps[lo:hi], at_home[lo:hi]))
+                held.append((fps[lo:hi], mine[lo:hi], other[lo:hi]))
         if held:
             yield close()
 
@@ -215,9 +216,9 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(links(distinct))
     joined = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    group = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    # written, so that both sides of the last join are plain exchanges, of which Spark can split a hot fingerprint
-    named = written(joined.join(group, "root").select("fp", "component_id"), "named")
+    # written, so that both sides of the joins are plain exchanges, of which Spark can split a hot root or fingerprint
+    group = written(joined.groupBy("root").agg(F.min("least").alias("component_id")), "group")
+    named = written(joined.join(group.hint("merge"), "root").select("fp", "component_id"), "named")
     return marked.join(named.hint("merge"), "fp")
 
 
