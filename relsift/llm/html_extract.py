@@ -12,7 +12,8 @@ the part it was written for. `fit` takes any list of (html, main blocks), so rea
 
 Defined results: null and empty html, and pages without blocks, have empty text. Repeated rows
 are extracted each by itself. Unclosed and stray tags, cut-off pages and bad references are read
-leniently; nothing is raised. Columns other than page_id, url and html are neither read nor returned.
+leniently; nothing is raised. A tag whose quote never closes ends at its first >. Time is in proportion to
+the page, however deep its elements lie. Columns other than page_id, url and html are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import html as entities
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -38,27 +40,94 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = frozenset("ul ol dl table article section main div body aside nav header footer form td th blockquote select".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)(?:>|$)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][A-Za-z0-9:-]*)", re.S)
+#: The rest of a tag, quoted values whole.
+REST = re.compile(r"(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+")
 NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Blocks that open with a paragraph closed by the next one.
 BREAKS_P = frozenset("p div ul ol dl table article section main aside nav header footer form h1 h2 h3 h4 h5 h6 blockquote pre hr figure fieldset address".split())
 
 
+class Node:
+    """An open element that text doesn't flow around, with the features that it adds to those of its ancestors."""
+
+    __slots__ = ("name", "own", "new", "above", "depth", "score")
+
+    def __init__(self, name: str, own: tuple, new: tuple, above: Node | None):
+        self.name, self.own, self.new, self.above = name, own, new, above
+        self.depth = above.depth + 1 if above else 1
+        self.score: float | None = None
+
+
 @dataclass
 class Block:
     text: str
-    path: tuple
+    within: Node | None
     linked: int
 
 
+class Page:
+    """The elements that are open at a place of a page; every step takes time in proportion to what it opens or closes."""
+
+    def __init__(self):
+        self.open: list[tuple[str, Node | None, int]] = []  # name, what it lies in or is, open SCOPES up to it
+        self.at: dict[str, list[int]] = {}
+        self.active: Counter = Counter()
+        self.links = 0
+
+    def node(self) -> Node | None:
+        return self.open[-1][1] if self.open else None
+
+    def scopes(self) -> int:
+        return self.open[-1][2] if self.open else 0
+
+    def push(self, name: str, words: tuple) -> None:
+        node = self.node()
+        if name not in INLINE:
+            own = (*(() if name in ("html", "body") else (f"in {name}",)), *(f"named {w}" for w in words))
+            node = Node(name, own, tuple(f for f in own if not self.active[f]), node)
+            self.active.update(own)
+        self.at.setdefault(name, []).append(len(self.open))
+        self.open.append((name, node, self.scopes() + (name in SCOPES)))
+        self.links += name == "a"
+
+    def close_to(self, k: int) -> None:
+        """Closes all elements from number k on."""
+        while len(self.open) > k:
+            name, node, _ = self.open.pop()
+            self.at[name].pop()
+            self.links -= name == "a"
+            if name not in INLINE:
+                self.active.subtract(node.own)
+
+    def last(self, *names: str) -> int:
+        """Number of the innermost open element of these names, or -1."""
+        return max((self.at[n][-1] for n in names if self.at.get(n)), default=-1)
+
+    def in_scope(self, k: int) -> bool:
+        """Whether no element of SCOPES was opened within number k."""
+        return self.scopes() == self.open[k][2]
+
+
+def _tag_end(page: str, at: int) -> tuple[int, int]:
+    """(end of the attributes, end of the tag) of a tag whose name ends at `at`."""
+    end = REST.match(page, at).end()
+    if page[end : end + 1] != ">":  # cut off, or a quote that never closes
+        end = page.find(">", at)
+        if end < 0:
+            return len(page), len(page)
+    return end, end + 1
+
+
 def blocks(page: str) -> list[Block]:
     """The leaf blocks of a page, in order."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple]] = []
     parts: list[str] = []
-    linked = in_link = 0
-    at, n = 0, len(page)
+    here = Page()
+    linked = at = 0
+    n = len(page)
+    endless: set[str] = set()
 
     def flush():
         nonlocal linked
@@ -66,22 +135,16 @@ def blocks(page: str) -> list[Block]:
             raw = "".join(parts)
             text = " ".join((entities.unescape(raw) if "&" in raw else raw).split())
             if text:
-                out.append(Block(text, tuple(x for x in stack if x[0] not in INLINE), min(linked, len(text))))
+                out.append(Block(text, here.node(), min(linked, len(text))))
             parts.clear()
         linked = 0
 
-    def close_to(k: int):
-        nonlocal in_link
-        for name, _ in stack[k:]:
-            in_link -= name == "a"
-        del stack[k:]
-
     while at < n:
         m = TOKEN.search(page, at)
         end = m.start() if m else n
         if end > at:
             parts.append(page[at:end])
-            if in_link:
+            if here.links:
                 linked += end - at
         if not m:
             break
@@ -90,54 +153,81 @@ def blocks(page: str) -> list[Block]:
         if not name:
             continue
         name = name.lower()
+        stop, after = _tag_end(page, at)
+        attributes, at = page[at:stop], after
         if m[1]:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
             if name not in INLINE:
                 flush()
-            if k >= 0 and not (name in INLINE and any(x[0] in SCOPES for x in stack[k + 1 :])):
-                close_to(k)
+            k = here.last(name)
+            if k >= 0 and (name not in INLINE or here.in_scope(k)):
+                here.close_to(k)
             continue
+        closed = attributes.endswith("/")
         if name in UNSEEN:
             if name not in INLINE:
                 flush()
-            if not m[4]:
-                stop = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-                at = stop.end() if stop else (n if name in ("script", "style", "title", "svg", "noscript", "template") else at)
+            if not closed:
+                found = None if name in endless else re.compile(rf"</{name}\s*>", re.I).search(page, at)
+                if found:
+                    at = found.end()
+                else:
+                    endless.add(name)
+                    at = n if name in ("script", "style", "title", "svg", "noscript", "template") else at
+            continue
+        if name == "br":
+            parts.append(" ")
             continue
-        if name in INLINE:
-            if name == "br":
-                parts.append(" ")
-                continue
-        else:
+        if name not in INLINE:
             flush()
             closes = CLOSES.get(name, ()) or (("p",) if name in BREAKS_P else ())
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in closes:
-                    close_to(i)
-                    if name not in ("tr", "td", "th"):
-                        break
-                elif stack[i][0] in SCOPES and not (stack[i][0] in ("td", "th") and name == "tr"):
+            while closes and (k := here.last(*closes)) >= 0 and _reaches(here, k, name):
+                here.close_to(k)
+                if name not in ("tr", "td", "th"):
                     break
-        if name in VOID or m[4]:
+        if name in VOID or closed:
             continue
         words: tuple = ()
-        if m[3] and "=" in m[3]:
-            words = tuple(sorted({p.lower() for g in NAMES.findall(m[3]) for p in PART.findall("".join(g))}))
-        in_link += name == "a"
-        stack.append((name, words))
+        if "=" in attributes:
+            words = tuple(sorted({p.lower() for g in NAMES.findall(attributes) for p in PART.findall("".join(g))}))
+        here.push(name, words)
     flush()
     return out
 
 
-def path_features(path: tuple) -> list[str]:
-    out = {f"in {name}" for name, _ in path if name not in ("html", "body")}
-    out |= {f"named {w}" for _, words in path for w in words}
-    if path:
-        out.add(f"leaf {path[-1][0]}")
-    out.add(f"deep {min(len(path), 6)}")
+def _reaches(here: Page, k: int, name: str) -> bool:
+    """Whether a tag closes element number k by itself: nothing between them keeps it in, but that a row closes cells."""
+    within = here.scopes() - here.open[k][2]
+    cell = here.open[k][0] in ("td", "th")
+    if name == "tr" and not cell:  # cells in between don't matter
+        return within - sum(1 for c in ("td", "th") for i in here.at.get(c, ()) if i > k) == 0
+    return within == 0
+
+
+def path_features(node: Node | None) -> list[str]:
+    """Features of the elements that a block lies in."""
+    out = [f"deep {min(node.depth if node else 0, 6)}"]
+    if node:
+        out.append(f"leaf {node.name}")
+    while node:
+        out += node.new
+        node = node.above
     return sorted(out)
 
 
+def path_score(node: Node | None, weight: dict) -> float:
+    """The sum of their weights; what the elements add is kept with them."""
+    if node is None:
+        return weight.get("deep 0", 0.0)
+    fresh = []
+    at = node
+    while at is not None and at.score is None:
+        fresh.append(at)
+        at = at.above
+    for one in reversed(fresh):
+        one.score = (one.above.score if one.above else 0.0) + sum(weight.get(f, 0.0) for f in one.new)
+    return node.score + weight.get(f"leaf {node.name}", 0.0) + weight.get(f"deep {min(node.depth, 6)}", 0.0)
+
+
 def text_features(b: Block, i: int, n: int) -> list[str]:
     size = b.text.count(" ") + 1
     last = b.text[-1]
@@ -166,45 +256,53 @@ def _log_sum(a: float, b: float) -> float:
     return high + math.log(math.exp(a - high) + math.exp(b - high))
 
 
+def expected(emit: list[float], c: Chain) -> tuple[float, list[float], np.ndarray, np.ndarray]:
+    """Forward-backward: (log of the sum over all paths, chance of main text at each block, expected steps, chances of the first state)."""
+    n, s = len(emit), c.step
+    ahead = [[c.opens[0], c.opens[1] + emit[0]]]
+    for t in range(1, n):
+        p = ahead[-1]
+        ahead.append([_log_sum(p[0] + s[0, 0], p[1] + s[1, 0]), _log_sum(p[0] + s[0, 1], p[1] + s[1, 1]) + emit[t]])
+    back = [[0.0, 0.0]]
+    for t in range(n - 1, 0, -1):
+        q = back[-1]
+        back.append([_log_sum(s[0, 0] + q[0], s[0, 1] + emit[t] + q[1]), _log_sum(s[1, 0] + q[0], s[1, 1] + emit[t] + q[1])])
+    back.reverse()
+    z = _log_sum(*ahead[-1])
+    main = [math.exp(ahead[t][1] + back[t][1] - z) for t in range(n)]
+    steps = np.zeros((2, 2))
+    for t in range(1, n):
+        for a in (0, 1):
+            for b in (0, 1):
+                steps[a, b] += math.exp(ahead[t - 1][a] + s[a, b] + (emit[t] if b else 0.0) + back[t][b] - z)
+    return z, main, steps, np.array([math.exp(ahead[0][k] + back[0][k] - z) for k in (0, 1)])
+
+
 def fit(pages: list[tuple[str, set[str]]], epochs: int = EPOCHS, rate: float = 0.3, decay: float = 1e-4) -> Chain:
     """Train on (html, texts of its main blocks) by stochastic gradient steps with AdaGrad rates."""
     data = []
     for page, main in pages:
         bs = blocks(page)
         if bs:
-            data.append(([path_features(b.path) + text_features(b, i, len(bs)) for i, b in enumerate(bs)], [int(b.text in main) for b in bs]))
+            data.append(([path_features(b.within) + text_features(b, i, len(bs)) for i, b in enumerate(bs)], [int(b.text in main) for b in bs]))
     c, seen = Chain(), {}
     step_seen, open_seen = np.full((2, 2), 1e-6), np.full(2, 1e-6)
     order = random.Random(SEED)
     for _ in range(epochs):
         order.shuffle(data)
         for rows, y in data:
-            emit = [sum(c.weight.get(f, 0.0) for f in row) for row in rows]
-            n, s = len(rows), c.step
-            ahead = [[c.opens[0], c.opens[1] + emit[0]]]
-            for t in range(1, n):
-                p = ahead[-1]
-                ahead.append([_log_sum(p[0] + s[0, 0], p[1] + s[1, 0]), _log_sum(p[0] + s[0, 1], p[1] + s[1, 1]) + emit[t]])
-            back = [[0.0, 0.0]]
-            for t in range(n - 1, 0, -1):
-                q = back[-1]
-                back.append([_log_sum(s[0, 0] + q[0], s[0, 1] + emit[t] + q[1]), _log_sum(s[1, 0] + q[0], s[1, 1] + emit[t] + q[1])])
-            back.reverse()
-            z = _log_sum(*ahead[-1])
-            g_step = np.zeros((2, 2))
-            for t in range(n):
-                g = y[t] - math.exp(ahead[t][1] + back[t][1] - z)
+            _, main, steps, opens = expected([sum(c.weight.get(f, 0.0) for f in row) for row in rows], c)
+            for row, truth, chance in zip(rows, y, main):
+                g = truth - chance
                 if abs(g) > 1e-4:
-                    for f in rows[t]:
+                    for f in row:
                         seen[f] = seen.get(f, 1e-6) + g * g
                         w = c.weight.get(f, 0.0)
                         c.weight[f] = w + rate / math.sqrt(seen[f]) * (g - decay * w)
-                if t:
-                    g_step[y[t - 1], y[t]] += 1
-                    for a in (0, 1):
-                        for b in (0, 1):
-                            g_step[a, b] -= math.exp(ahead[t - 1][a] + s[a, b] + (emit[t] if b else 0.0) + back[t][b] - z)
-            g_open = np.array([(y[0] == k) - math.exp(ahead[0][k] + back[0][k] - z) for k in (0, 1)])
+            g_step = -steps
+            for a, b in zip(y, y[1:]):
+                g_step[a, b] += 1
+            g_open = np.array([y[0] == 0, y[0] == 1]) - opens
             step_seen += g_step**2
             open_seen += g_open**2
             c.step = c.step + rate / np.sqrt(step_seen) * (g_step - decay * c.step)
@@ -230,21 +328,13 @@ def viterbi(emit: list[float], c: Chain) -> list[int]:
 
 
 def extractor(c: Chain):
-    """Main text of one page; scores of ancestor paths are kept, as they recur from page to page."""
-    known: dict[tuple, float] = {}
+    """Main text of one page."""
 
     def extract(page: str) -> str:
         bs = blocks(page)
         if not bs:
             return ""
-        emit = []
-        for i, b in enumerate(bs):
-            score = known.get(b.path)
-            if score is None:
-                if len(known) > 50_000:
-                    known.clear()
-                score = known[b.path] = sum(c.weight.get(f, 0.0) for f in path_features(b.path))
-            emit.append(score + sum(c.weight.get(f, 0.0) for f in text_features(b, i, len(bs))))
+        emit = [path_score(b.within, c.weight) + sum(c.weight.get(f, 0.0) for f in text_features(b, i, len(bs))) for i, b in enumerate(bs)]
         return "\n".join(b.text for b, y in zip(bs, viterbi(emit, c)) if y)
 
     return extract

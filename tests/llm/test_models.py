@@ -4,6 +4,7 @@
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -181,6 +182,13 @@ def test_html_blocks():
         "text <b>bold</b> end</div></p><p>5 < 6 > 4": ["text bold end", "5 < 6 > 4"],
         "<p title='a > b'>in</p><style>p{}</style><p>": ["in"],
         "<script>never closed <p>x": [],
+        '<p>one <a href="x>two</a> three</p>': ["one two three"],
+        "<p class='a>b</p><p>c": ["b", "c"],
+        "<p>a<b title=\"x>y\">c</b></p>": ["ac"],
+        "x<iframe>y<iframe>z": ["x", "y", "z"],
+        "<table><tr><td>a<td>b<tr><td>c<table><tr><td>d</table>e</table>f": ["a", "b", "c", "d", "e", "f"],
+        "<ul><li>a<ul><li>b</ul><li>c": ["a", "b", "c"],
+        "<b>a<div>b</b>c</div>d": ["a", "bc", "d"],
     }
     for page, texts in cases.items():
         assert [b.text for b in html_extract.blocks(page)] == texts, page
@@ -211,6 +219,97 @@ def test_html_extraction(ready):
     assert html_extract.main_text(pages.limit(0), chain).count() == 0
 
 
+def test_html_time_follows_the_page():
+    extract = html_extract.extractor(html_extract.Chain({"in div": 0.1, "named x": 1.0}))
+    deep = "".join(f"<div class=x{i}>t{i} " for i in range(30_000))
+    hostile = (deep, "<b>" + "<div>" * 20_000 + "</b></i></p><p>x" * 20_000, "<table>" + "<tr><td>x" * 20_000, "<iframe>x" * 30_000, "<a href=\"x'>y" * 30_001, "<b><p>" * 20_000, "<!--" * 30_000, "<a " * 30_000)
+    began = time.perf_counter()
+    for page in hostile:
+        extract(page)
+    assert time.perf_counter() - began < 60
+    bs = html_extract.blocks(deep)
+    assert len(bs) == 30_000 and bs[-1].within.depth == 30_000
+
+
+def test_path_scores_are_sums_of_path_features():
+    pages = [p for p, _ in html_extract.labelled_pages(20, seed=5)]
+    rng = random.Random(6)
+    for page in pages:
+        bs = html_extract.blocks(page)
+        weight = {f: rng.uniform(-1, 1) for b in bs for f in html_extract.path_features(b.within)}
+        for b in bs:
+            features = html_extract.path_features(b.within)
+            assert len(features) == len(set(features))
+            assert math.isclose(html_extract.path_score(b.within, weight), sum(weight[f] for f in features), abs_tol=1e-9)
+
+
+#: Pages by hand, in layouts of their own: (html, main text).
+BY_HAND = [
+    (
+        """<html><head><title>River</title><style>.x{}</style></head><body><div id="top-nav"><a href="/">Home</a> <a href="/news">News</a> <a href="/about">About us</a></div>
+        <div class="column main-column"><h1>The river rises again</h1><div class="byline">By <a href="/who">A. Writer</a></div>
+        <p>After three days of rain the river has reached the lower meadows, and the ferry has stopped running until further notice.</p>
+        <p>Farmers have moved their cattle to the hills. &ldquo;We have seen worse,&rdquo; said one of them, &ldquo;but not in May.&rdquo;</p>
+        <h2>What comes next</h2><p>The forecast promises two dry days, which should be enough for the water to fall below the dam.</p></div>
+        <div class="rail"><h4>Most read</h4><ul><li><a href="/1">Ten bridges</a></li><li><a href="/2">A quiet mill</a></li></ul></div>
+        <div class="cookie-bar">We use cookies. <button>Accept</button></div><div class="foot">&copy; 2020 The Valley Paper</div></body></html>""",
+        ["The river rises again", "After three days of rain", "Farmers have moved", "What comes next", "The forecast promises"],
+        ["Home", "Most read", "cookies", "2020"],
+    ),
+    (
+        """<body><table width=100%><tr><td class=menu><a href=a>Index</a><br><a href=b>Contact</a></td><td><h2>On sharpening planes</h2>
+        <p>A plane iron wants a flat back before anything else. Rub it on the stone until the scratches all run one way.<p>Then raise a burr along the bevel, turn the iron over, and take the burr off with a few light strokes.
+        <p>Strop it if you like; a fresh edge will take shavings that you can read a newspaper through.</td></tr></table>
+        <form action=/find><label>Search</label><input name=q><input type=submit></form>
+        <div id=comments><h3>2 comments</h3><p>Thanks, this helped me a lot!</p><p>I use a water stone instead.</p></div></body>""",
+        ["On sharpening planes", "A plane iron wants", "Then raise a burr", "Strop it if you like"],
+        ["Index", "Search", "this helped me", "water stone instead"],
+    ),
+]
+
+
+@pytest.mark.parametrize("page, inside, outside", BY_HAND, ids=["columns", "table"])
+def test_pages_by_hand(page, inside, outside):
+    text = html_extract.extractor(html_extract.fit(html_extract.labelled_pages()))(page)
+    lines = text.split("\n")
+    assert all(any(x.startswith(start) for x in lines) for start in inside), text
+    assert not any(x in text for x in outside), text
+
+
+def test_gradient_of_the_chain_is_that_of_its_likelihood():
+    """Forward-backward against all paths, and the gradient against differences of the log-likelihood."""
+    rng = np.random.default_rng(7)
+    c = html_extract.Chain({}, rng.normal(size=(2, 2)), rng.normal(size=2))
+    emit = rng.normal(size=6).tolist()
+    paths = [[n >> i & 1 for i in range(6)] for n in range(64)]
+
+    def score(y, e=emit, s=c.step, o=c.opens):
+        return o[y[0]] + sum(x for x, k in zip(e, y) if k) + sum(s[a, b] for a, b in zip(y, y[1:]))
+
+    whole = sum(math.exp(score(y)) for y in paths)
+    z, main, steps, opens = html_extract.expected(emit, c)
+    assert math.isclose(z, math.log(whole), rel_tol=1e-9)
+    for t in range(6):
+        assert math.isclose(main[t], sum(math.exp(score(y)) for y in paths if y[t]) / whole, rel_tol=1e-9)
+    truth = [0, 1, 1, 0, 1, 1]
+
+    def likelihood(e=emit, s=c.step, o=c.opens):
+        return score(truth, e, s, o) - html_extract.expected(e, html_extract.Chain({}, s, o))[0]
+
+    d = 1e-6
+    for t in range(6):
+        moved = [x + d * (k == t) for k, x in enumerate(emit)]
+        assert math.isclose((likelihood(e=moved) - likelihood()) / d, truth[t] - main[t], abs_tol=1e-4)
+    for a in (0, 1):
+        moved = c.opens + d * (np.arange(2) == a)
+        assert math.isclose((likelihood(o=moved) - likelihood()) / d, (truth[0] == a) - opens[a], abs_tol=1e-4)
+        for b in (0, 1):
+            moved = c.step.copy()
+            moved[a, b] += d
+            seen = sum((x, y) == (a, b) for x, y in zip(truth, truth[1:]))
+            assert math.isclose((likelihood(s=moved) - likelihood()) / d, seen - steps[a, b], abs_tol=1e-4)
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(2)
     c = html_extract.Chain({}, rng.normal(size=(2, 2)), rng.normal(size=2))
