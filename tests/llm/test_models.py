@@ -67,6 +67,96 @@ def test_labels_apart_are_never_learnt(ready):
     assert 0 < few < 30
 
 
+def test_repeated_ids_do_not_add_to_the_sample(ready):
+    rows = [(k % 7, f"text {k}") for k in range(700)]
+    docs = documents(ready, rows).withColumn("doc_id", F.col("doc_id").cast("int"))
+    table = ready.createDataFrame([(k, 1, k % 2) for k in range(7)], LABELS)
+    got = labelled_sample(docs.repartition(5), table, "toxic", F.lit(True), 10**6)
+    assert sorted(r.doc_id for r in got.collect()) == list(range(7))
+    assert sorted(got.collect()) == sorted(labelled_sample(docs.repartition(2), table, "toxic", F.lit(True), 10**6).collect())
+    assert toxicity.toxicity(docs, table, F.lit(True)).count() == quality.quality(docs, table, F.lit(True)).count() == 700
+
+
+def test_ftrl_is_what_a_plain_dense_version_gives():
+    """Every coordinate at every step, with a dense vector and no short cuts."""
+    rng = random.Random(2)
+    examples = [(np.array(sorted({rng.randrange(60) for _ in range(8)}), np.int32), int(rng.random() < 0.4)) for _ in range(120)]
+    alpha, beta, l1, l2, epochs = 0.5, 1.0, 1.5, 1.0, 4
+    z, n, z0, n0 = [0.0] * 60, [0.0] * 60, 0.0, 0.0
+    order = np.random.default_rng(1)
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(epochs):
+        for k in order.permutation(len(examples)):
+            at, y = examples[k]
+            x = [1.0 if i in set(at.tolist()) else 0.0 for i in range(60)]
+            w = [weight(i) for i in range(60)]
+            w0 = -z0 / ((beta + math.sqrt(n0)) / alpha)
+            p = 1 / (1 + math.exp(-(sum(a * b for a, b in zip(w, x)) + w0)))
+            for i in range(60):
+                g = (p - y) * x[i]
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+            sigma = (math.sqrt(n0 + (p - y) ** 2) - math.sqrt(n0)) / alpha
+            z0 += (p - y) - sigma * w0
+            n0 += (p - y) ** 2
+    m = toxicity.ftrl(examples, alpha, beta, l1, l2, epochs)
+    assert np.allclose(m.dense()[:60], [weight(i) for i in range(60)]) and 0 < len(m.slots) < 60
+    assert math.isclose(m.intercept, -z0 / ((beta + math.sqrt(n0)) / alpha))
+
+
+def test_scores_are_plain_sums(ready):
+    """A scorer's number from the model's weights, over features found word by word."""
+    rows, labels = labelled(120)
+    texts = [t.encode() for _, t in rows]
+    m = toxicity.ftrl([(toxicity.features([t])[0], y) for t, (_, _, y) in zip(texts, labels)])
+    dense = m.dense()
+    for t, got in zip(texts, toxicity.scorer(m)(texts)):
+        slots = set(toxicity.features([t])[0].tolist())
+        assert math.isclose(got, 1 / (1 + math.exp(-(sum(dense[s] for s in slots) + m.intercept))), rel_tol=1e-9)
+    line = quality.train([(quality.Slots().of(t), q) for t, (_, q, _) in zip(texts, labels)])
+    score = quality.scorer(line)
+    for t in texts:
+        slots = sorted(set(quality.Slots().of(t).tolist()))
+        margin = line.intercept + sum(line.weights[s] for s in slots) / math.sqrt(sum(line.ratios[s] ** 2 for s in slots))
+        assert math.isclose(score(t), 1 / (1 + math.exp(-(quality.STEEPNESS * margin + math.log(quality.THRESHOLD / (1 - quality.THRESHOLD))))), rel_tol=1e-9)
+
+
+def test_dual_descent_closes_the_gap():
+    """Log-count ratios by a plain count, and primal and dual objectives that meet at the optimum."""
+    rng = random.Random(5)
+    examples = []
+    for k in range(80):
+        base = 10 if k % 2 else 40
+        examples.append((np.array(sorted({base + rng.randrange(40) for _ in range(6)})), k % 2))
+    y = np.array([1 if t else -1 for _, t in examples])
+    counts = {k: np.full(1 << quality.BITS, quality.SMOOTHING) for k in (1, -1)}
+    for (at, _), k in zip(examples, y):
+        for i in at:
+            counts[k][i] += 1
+    ratios = np.log(counts[1] / counts[1].sum()) - np.log(counts[-1] / counts[-1].sum())
+    vectors = [(at, ratios[at] / np.sqrt((ratios[at] ** 2).sum())) for at, _ in examples]
+    cost = np.full(len(y), 0.7)
+    w, b = quality.descend(vectors, y, cost, epochs=2000)
+    margins = np.array([w[at] @ v + b for at, v in vectors])
+    primal = 0.5 * (w @ w + b * b) + (cost * np.maximum(0, 1 - y * margins)).sum()
+    x = np.zeros((len(y), 101))
+    for k, (at, v) in enumerate(vectors):
+        x[k, at], x[k, 100] = v, 1.0
+    # any feasible dual point is below the optimum: recover one from w by projected gradient in the dual
+    q = (x * y[:, None]) @ (x * y[:, None]).T
+    a = np.zeros(len(y))
+    for _ in range(20_000):
+        a = np.clip(a - 0.9 / np.linalg.norm(q, 2) * (q @ a - 1), 0, cost)
+    dual = a.sum() - 0.5 * a @ q @ a
+    assert abs(primal - dual) < 2e-2 * primal
+    model = quality.train(examples)
+    assert np.allclose(model.ratios, ratios)
+
+
 def test_rejecting_keeps_rows_whole(ready):
     rows, labels = labelled()
     docs = documents(ready, rows, extra=True)
