@@ -199,10 +199,10 @@ def proximity(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 LEAK = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items", pa.list_(pa.string())), ("items_sha256", pa.string())])
 
 
-def decontaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents with all their columns, and a struct `leak`: n_words, n_hit, n_items, items (sorted), items_sha256."""
+def decontaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, leak: str = "leak") -> DataFrame:
+    """The documents with all their columns, and a struct named as `leak` says: n_words, n_hit, n_items, items (sorted), items_sha256."""
     found = candidates(documents, benchmark, window)
-    rest = [c for c in documents.columns if c != "leak"]
+    rest = [c for c in documents.columns if c != leak]
     packed = _texts(documents, F.struct(*map(column, rest)).alias("whole")).drop("text")
     joined = packed.join(found.hint("shuffle_hash"), ["doc_id", "row"], "left").select("whole", F.col("whole.text").cast("string").alias("text"), "found")
 
@@ -226,6 +226,6 @@ def decontaminated(documents: DataFrame, benchmark: DataFrame, window: int = WIN
                     out.append({"n_words": int(last - first), "n_hit": 0 if hit is None else int(hit.sum()), "n_items": len(names), "items": names, "items_sha256": hashlib.sha256(",".join(names).encode()).hexdigest()})
             yield pa.RecordBatch.from_arrays([b.column("whole"), pa.array(out, LEAK)], ["whole", "leak"])
 
-    leak = "struct<n_words: long, n_hit: long, n_items: long, items: array<string>, items_sha256: string>"
-    out = joined.mapInArrow(verify, StructType([joined.schema["whole"]]).add("leak", DataType.fromDDL(leak)))
-    return out.select(*[column(c, "whole") for c in rest], "leak")
+    kind = DataType.fromDDL("struct<n_words: long, n_hit: long, n_items: long, items: array<string>, items_sha256: string>")
+    out = joined.mapInArrow(verify, StructType([joined.schema["whole"]]).add("leak", kind))
+    return out.select(*[column(c, "whole") for c in rest], F.col("leak").alias(leak))

@@ -100,9 +100,11 @@ def repeats(documents: DataFrame, bits: int | None = None) -> DataFrame:
     return held.join(first.hint("merge"), "digest").where("doc_id > first_id").groupBy("doc_id", "row").agg(F.collect_set("digest").alias("drops"))
 
 
-def line_dedup(documents: DataFrame, bits: int | None = None) -> DataFrame:
-    """The documents with text (repeated lines gone), n_lines before, and n_dropped, beside all other columns."""
-    others = [c for c in documents.columns if c not in ("text", "n_lines", "n_dropped")]
+def line_dedup(documents: DataFrame, bits: int | None = None, counts: bool = True) -> DataFrame:
+    """The documents with text (repeated lines gone), n_lines before, and n_dropped, beside all other columns; without
+    counts, the documents' own columns alone, whatever their names."""
+    made = ("n_lines", "n_dropped") if counts else ()
+    others = [c for c in documents.columns if c not in ("text", *made)]
     packed = _keyed(documents, F.struct(*map(column, others)).alias("rest"))
     joined = packed.join(repeats(documents, bits).hint("shuffle_hash"), ["doc_id", "row"], "left").select("rest", "text", "drops")
 
@@ -125,4 +127,4 @@ def line_dedup(documents: DataFrame, bits: int | None = None) -> DataFrame:
 
     out = joined.mapInArrow(cut, StructType([joined.schema["rest"]]).add("text", "string").add("n_lines", "long").add("n_dropped", "long"))
     ordered = [F.col("text") if c == "text" else column(c, "rest") for c in documents.columns if c in ("text", *others)]
-    return out.select(*ordered, "n_lines", "n_dropped")
+    return out.select(*ordered, *made)

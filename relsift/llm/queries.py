@@ -1,4 +1,7 @@
-"""The queries opN_<name>: each operator on its whole table, reduced to the columns agreed on."""
+"""The queries opN_<name>: each operator on its whole table, reduced to the columns agreed on.
+
+The query `pipeline` is corpus_pipeline.run, which uses this package and is not part of it.
+"""
 
 from __future__ import annotations
 
@@ -67,13 +70,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
-
-
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_quality, op4_line_dedup, op5_html_text, op6_embedding_dedup, op7_decontaminate, op8_mix, op9_simhash, op10_substring_dedup, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_quality, op4_line_dedup, op5_html_text, op6_embedding_dedup, op7_decontaminate, op8_mix, op9_simhash, op10_substring_dedup)}
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 

@@ -1,10 +1,12 @@
 """The pipeline's stages on rows with known fates, and the queries' columns."""
 
 import random
+from pathlib import Path
 
 from conftest_llm import documents, prose
 
 import corpus_pipeline
+from relsift.llm._session import shared_folder
 from relsift.llm.queries import ORACLES, QUERIES
 
 
@@ -41,11 +43,43 @@ def test_stages(ready, tmp_path):
     assert 1001 in seen["simhash"] and {1002, 1005} & set(seen["simhash"]) == {1002}  # two empty texts are alike
     assert 1000 not in seen["decontaminate"] and len(seen["decontaminate"]) == len(seen["simhash"]) - 1
     assert set(seen["mix"]) == set(seen["decontaminate"])
+    folder = Path(shared_folder(ready).removeprefix("file:"))
+    there = set(folder.iterdir())
     run = corpus_pipeline.run(ready, str(tmp_path))
     assert run.count() == len(seen["mix"])
+    assert [f.name.partition("-")[0] for f in set(folder.iterdir()) - there] == ["mix"]  # all else is deleted
     assert corpus_pipeline.ORACLE_SQL is None
 
 
+def test_stages_on_empty_tables(ready, tmp_path):
+    docs = documents(ready, [(1, "x")]).limit(0).drop("n_chars")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    ready.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    ready.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = corpus_pipeline.run(ready, str(tmp_path))
+    assert out.count() == 0 and out.columns == ["doc_id", "size", "source_size", "target", "taken"]
+
+
+def test_stages_on_odd_rows(ready, tmp_path):
+    """Nulls in every column, repeated rows and ids, columns of clashing names."""
+    from pyspark.sql import functions as F
+
+    rows = [(1, None), (1, None), (2, ""), (3, "the same text here"), (3, "the same text here"), (3, "another text of three"), (None, "no id, and a text"), (None, None)]
+    docs = documents(ready, rows).withColumn("source", F.lit(None).cast("string")).withColumn("lang", F.lit(None).cast("string"))
+    docs = docs.select("*", *[F.lit(c).alias(c) for c in ("leak", "size", "taken", "__", "fp", "n_dropped", "a b")])
+    ready.createDataFrame([(None, None, None), (1, None, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    ready.createDataFrame([(None, "x"), (1, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        out = stage(ready, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert all(r[c] == c for r in got for c in ("leak", "size", "taken", "__", "fp", "n_dropped", "a b"))
+        assert len(got) == (8 if name != "simhash" else 7), name  # empty texts are one component; a component without an id keeps the rows without one
+    assert corpus_pipeline.stage_mix(ready, docs, str(tmp_path)).count() == 8
+
+
 def test_registry():
-    assert len([q for q in QUERIES if q.startswith("op")]) == 10 and "pipeline" in QUERIES
+    import __spark_entry__
+
+    assert len([q for q in QUERIES if q.startswith("op")]) == 10 and "pipeline" in __spark_entry__.queries()
     assert set(ORACLES) < set(QUERIES)
