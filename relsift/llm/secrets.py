@@ -61,7 +61,7 @@ def running(a: Column) -> Column:
 def _spans(text: Column, rank: int, pattern: str, group: int, least: int) -> Column:
     """All matches of the pattern, leftmost and not overlapping, whose group has the least length.
 
-    One pass sets marks around the matches; split there, the text is gap, match, gap and so on, and the parts'
+    Most texts have none, which is asked first. One pass sets marks around the matches; split there, the text is gap, match, gap and so on, and the parts'
     lengths add up to the matches' places."""
     marked = F.regexp_replace(F.translate(text, MARK, OTHER), F.lit(pattern), F.lit(MARK + "$0" + MARK))
     value = lambda part: F.regexp_extract(part, pattern, group) if group else part
@@ -72,7 +72,7 @@ def _spans(text: Column, rank: int, pattern: str, group: int, least: int) -> Col
         kept = F.filter(every, lambda x: (x["i"] % 2 == 1) & (F.length(value(x["text"])) >= least))
         return F.transform(kept, lambda x: F.struct(*(x[c].alias(c) for c in ("start", "rank", "end", "text")))).cast(SPAN)
 
-    return let(F.split(marked, MARK, -1), of)
+    return F.when(text.rlike(pattern), let(F.split(marked, MARK, -1), of)).otherwise(F.array().cast(SPAN))
 
 
 def _apart(tokens: Column, base: Column) -> Column:
