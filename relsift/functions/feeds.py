@@ -84,7 +84,7 @@ def project_slug(urls: Column, home_page: Column) -> Column:
 def check_summary(checks: Column) -> Column:
     """The four named checks with their scores."""
     found = F.transform(F.filter(checks, lambda c: c["name"].isin(*KEY_CHECKS)), lambda c: F.concat_ws("=", c["name"], F.coalesce(c["score"].cast("string"), F.lit("?"))))
-    return F.when(F.size(found) > 0, F.array_join(found, ", ")).otherwise("No key checks found.")
+    return F.when(F.size(found) > 0, F.array_join(found, ", ")).otherwise("none of the main checks")
 
 
 def osv(pairs: DataFrame, advisories: DataFrame) -> DataFrame:
@@ -92,7 +92,7 @@ def osv(pairs: DataFrame, advisories: DataFrame) -> DataFrame:
     found = pairs.join(advisories.select("ecosystem", "package", F.col("version").alias("to_version"), "ids", F.lit(True).alias("known")), ["ecosystem", "package", "to_version"], "left")
     ids = F.col("ids")
     name = _say(F.col("package"), "@", F.col("to_version"))
-    details = F.when(ids.isNull(), "OSV query failed: no response").when(F.size(ids) == 0, _say("No advisories found for ", name, ".")).otherwise(_say("Found ", F.size(ids).cast("string"), " advisory/ies: ", advisory_preview(ids)))
+    details = F.when(ids.isNull(), "The lookup of advisories had no answer.").when(F.size(ids) == 0, _say(name, " has no advisories.")).otherwise(_say("Advisories (", F.size(ids).cast("string"), "): ", advisory_preview(ids)))
     url = F.when(ids.isNotNull(), _say("https://osv.dev/list?q=", F.col("package")))
     return found.select("pair_id", feed_row("osv", advisory_status(ids), details, url=url, advisory_ids=F.coalesce(ids, F.array().cast("array<string>"))).alias("feed"))
 
@@ -103,10 +103,10 @@ def rekor(pairs: DataFrame, identities: DataFrame) -> DataFrame:
     both = pairs.join(side("from_version", "old", "old_url"), ["ecosystem", "package", "from_version"], "left").join(side("to_version", "new", "url"), ["ecosystem", "package", "to_version"], "left")
     old, new = F.col("old"), F.col("new")
     details = (
-        F.when(new.isNull(), _say("No Sigstore provenance attestation found for ", F.col("package"), "@", F.col("to_version"), "."))
-        .when(old.isNull(), _say("Signing identity: ", new, ". No attestation for ", F.col("package"), "@", F.col("from_version"), " to compare against."))
-        .when(old == new, _say("Signing identity: ", new, ". Matches previous release."))
-        .otherwise(_say("Signing identity: ", new, ". Changed from ", old, "."))
+        F.when(new.isNull(), _say(F.col("package"), "@", F.col("to_version"), " has no attestation."))
+        .when(old.isNull(), _say("Signed by ", new, "; ", F.col("package"), "@", F.col("from_version"), " has nothing to compare it with."))
+        .when(old == new, _say("Signed by ", new, ", like the release before."))
+        .otherwise(_say("Signed by ", new, ", the release before by ", old, "."))
     )
     return both.select("pair_id", feed_row("rekor", identity_status(old, new), details, url=F.when(new.isNotNull(), F.col("url")), signing_identity=new, signing_identity_changed=old != new).alias("feed"))
 
@@ -116,10 +116,10 @@ def scorecard(pairs: DataFrame, repos: DataFrame, cards: DataFrame) -> DataFrame
     both = pairs.join(repos, ["ecosystem", "package"], "left").join(cards.withColumn("known", F.lit(True)), "slug", "left")
     score = F.coalesce("score", "aggregate_score").cast("double")
     details = (
-        F.when(F.col("slug").isNull(), _say("Could not resolve GitHub repo for ", F.col("package"), ". Scorecard requires a GitHub repository."))
-        .when(F.col("known").isNull(), _say("No Scorecard data found for ", F.col("package"), "."))
-        .when(score.isNull(), _say("Scorecard response missing score for ", F.col("slug"), "."))
-        .otherwise(_say("Score: ", F.format_string("%.1f", score), "/10. ", check_summary(F.coalesce("checks", F.array().cast(dict(cards.dtypes)["checks"])))))
+        F.when(F.col("slug").isNull(), _say(F.col("package"), " names no repository that could have a scorecard."))
+        .when(F.col("known").isNull(), _say(F.col("package"), " has no scorecard."))
+        .when(score.isNull(), _say("The scorecard of ", F.col("slug"), " has no score."))
+        .otherwise(_say(F.format_string("%.1f", score), " of 10; ", check_summary(F.coalesce("checks", F.array().cast(dict(cards.dtypes)["checks"])))))
     )
     url = F.when(F.col("known"), _say("https://scorecard.dev/viewer/?uri=github.com/", F.col("slug")))
     return both.select("pair_id", feed_row("scorecard", scorecard_status(score), details, url=url, scorecard_score=score).alias("feed"))
@@ -135,17 +135,17 @@ def new_deps(pairs: DataFrame, added: DataFrame, stats: DataFrame) -> DataFrame:
     n = F.size(F.coalesce("new_dependencies", F.array().cast("array<string>")))
     status = F.when(n == 0, CLEAN).when(F.col("resolved").isNull(), NO_DATA).when(F.size("low") > 0, SUSPICIOUS).otherwise(CLEAN)
     details = (
-        F.when(n == 0, "No new dependencies in this release.")
-        .when(F.col("resolved").isNull(), _say("Could not look up any of ", n.cast("string"), " new dependency/ies."))
-        .when(F.size("low") > 0, _say("Low-scrutiny new dependency/ies: ", F.array_join("low", ", "), "."))
-        .otherwise(_say(F.col("resolved").cast("string"), " new dependency/ies checked; none looks low-scrutiny."))
+        F.when(n == 0, "No dependency is new.")
+        .when(F.col("resolved").isNull(), _say("None of the new dependencies (", n.cast("string"), ") could be looked up."))
+        .when(F.size("low") > 0, _say("Little-known new dependencies: ", F.array_join("low", ", "), "."))
+        .otherwise(_say("New dependencies looked up (", F.col("resolved").cast("string"), "): none is little-known."))
     )
     return all_.select("pair_id", feed_row("new_deps", status, details).alias("feed"))
 
 
 def no_feeds(pairs: DataFrame) -> DataFrame:
     """All four feeds without data."""
-    off = lambda n: feed_row(n, F.lit(NO_DATA), F.lit("Feeds disabled."))
+    off = lambda n: feed_row(n, F.lit(NO_DATA), F.lit("Feeds are off."))
     return pairs.select("pair_id", F.array(*map(off, FEEDS)).alias("feed_results"))
 
 

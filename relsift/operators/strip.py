@@ -1,113 +1,64 @@
 """Whole-line and block comments out of diffs, before they are read by a scorer.
 
-Lines are judged behind their diff marker, and a block comment goes only if it opens a line,
-closes in the same run of body lines, and nothing follows its closer. Line counts of the diff
-stay those of the real change.
+A diff is a text, and what goes from it is a pattern: lines behind a diff marker that hold a comment as a
+whole, or run from where one opens a line to where it closes, with nothing after the closer and no header or
+unmarked line between. One replacement a language takes them all, in the JVM. Line counts of the diff stay
+those of the real change.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import groupby
+import re
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relsift.operators.tree import suffix
 
-#: How comments open, and blocks close, by extension.
-SLASHES = (".js", ".mjs", ".cjs", ".jsx", ".ts", ".tsx")
-HASHES = (".py", ".pyi", ".sh", ".ps1")
-BATCH = (".bat", ".cmd")
-BLOCKS = {**{e: (("/*", "*/"),) for e in SLASHES}, **{e: (('"""', '"""'), ("'''", "'''")) for e in (".py", ".pyi")}, ".ps1": (("<#", "#>"),)}
-HEADERS = ("--- ", "+++ ", "@@ ")
+#: Extensions, how their comments open as patterns, and how blocks open and close.
+LINES = {(".js", ".mjs", ".cjs", ".jsx", ".ts", ".tsx"): "//", (".py", ".pyi", ".sh", ".ps1"): "#(?!!)", (".bat", ".cmd"): "(?i:rem[ \t]|::)"}
+BLOCKS = {(".js", ".mjs", ".cjs", ".jsx", ".ts", ".tsx"): (("/*", "*/"),), (".py", ".pyi"): (('"""', '"""'), ("'''", "'''")), (".ps1",): (("<#", "#>"),)}
+#: Fixed value: what a line of a diff that is no source begins with.
+HEADERS = r"--- |\+\+\+ |@@ "
 UNTOUCHED = "[diff skipped"
 
+#: A blank that ends no line, as Python sees it.
+BLANK = r"[ \t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]*+"
+#: From the newline before a line to its marker, and what may follow a line.
+BEGIN, END = rf"\n(?!{HEADERS})[-+ ]{BLANK}", r"(?=\n|\z)"
 
-def line_comment(line: Column, extension: Column) -> Column:
-    """Whether a source line, without its marker, is a comment as a whole."""
-    bare = F.trim(line)
-    return (
-        F.when(extension.isin(*SLASHES), bare.startswith("//"))
-        .when(extension.isin(*HASHES), bare.startswith("#") & ~bare.startswith("#!"))
-        .when(extension.isin(*BATCH), F.lower(bare).rlike("^(rem[ \t]|::)"))
-        .otherwise(F.lit(False))
-    )
 
+def _pattern(extension: str) -> str:
+    """What goes from a diff that begins with a newline: each line together with the newline before it."""
+    kinds = []
+    for opener, closer in next((b for e, b in BLOCKS.items() if extension in e), ()):
+        shut = re.escape(closer)
+        # up to the first closer, over as many lines as have a marker and are no headers; possessive, so nothing is tried twice
+        inside = rf"(?:(?!{shut})(?:[^\n]|\n(?!{HEADERS})(?=[-+ ])))*+"
+        kinds.append(rf"{re.escape(opener)}{inside}{shut}{BLANK}")
+    kinds += [rf"{b}[^\n]*+" for e, b in LINES.items() if extension in e]
+    return f"{BEGIN}(?:{'|'.join(kinds)}){END}"
 
-def _opens_line_comment(bare: str, extension: str) -> bool:
-    if extension in SLASHES:
-        return bare.startswith("//")
-    if extension in HASHES:
-        return bare.startswith("#")
-    return extension in BATCH and bare.lower().startswith(("rem ", "rem\t", "::"))
 
+def without_comments(diff: Column, extension: Column) -> Column:
+    """The diff without comments (C12-C14); of kinds of files that aren't known, and of placeholders, unchanged."""
+    text = F.concat(F.lit("\n"), diff)
+    out = diff
+    for extensions in LINES:
+        for e in extensions:
+            out = F.when(extension == e, F.substring(F.regexp_replace(text, F.lit(_pattern(e)), F.lit("")), 2, 2**31 - 1)).otherwise(out)
+    return F.when(diff.startswith(UNTOUCHED), diff).otherwise(out)
 
-class _Body:
-    """A run of diff lines between headers; `source[i]` is line i behind its marker, None where there is none."""
 
-    def __init__(self, lines: list[str], extension: str):
-        self.lines, self.extension = lines, extension
-        self.source = [x[1:] if x[:1] in ("+", "-", " ") else None for x in lines]
-
-    def block_from(self, i: int) -> int:
-        """Number of lines of the block comment that line i opens, 0 if it opens none that closes cleanly."""
-        bare = self.source[i].strip()
-        found = next(((o, c) for o, c in BLOCKS.get(self.extension, ()) if bare.startswith(o)), None)
-        if not found:
-            return 0
-        text = bare[len(found[0]) :]
-        for j in range(i, len(self.lines)):
-            if j > i:
-                text = self.source[j]
-            if text is None:
-                return 0
-            before, closer, after = text.partition(found[1])
-            if closer:
-                return 0 if after.strip() else j - i + 1
-        return 0
-
-    def kept(self) -> list[str]:
-        out, i = [], 0
-        while i < len(self.lines):
-            bare = (self.source[i] or "").strip()
-            gone = 0
-            if bare and not bare.startswith("#!"):
-                gone = self.block_from(i) or int(_opens_line_comment(bare, self.extension))
-            if not gone:
-                out.append(self.lines[i])
-            i += gone or 1
-        return out
-
-
-def strip_text(path: str, diff: str | None) -> tuple[str | None, int]:
-    """(diff without comments, lines removed)."""
-    name = path.rpartition("/")[2]
-    dot = name.rfind(".")
-    extension = name[dot:].lower() if dot > 0 else ""
-    if not diff or diff.startswith(UNTOUCHED) or extension not in SLASHES + HASHES + BATCH:
-        return diff, 0
-    lines = diff.split("\n")
-    out: list[str] = []
-    for header, run in groupby(lines, lambda x: x.startswith(HEADERS)):
-        run = list(run)
-        out += run if header else _Body(run, extension).kept()
-    return "\n".join(out), len(lines) - len(out)
+def _newlines(text: Column) -> Column:
+    return F.length(text) - F.length(F.translate(text, "\n", ""))
 
 
 def stripped(diffs: DataFrame) -> DataFrame:
     """Diffs with comments gone from unified_diff, and comment_lines_stripped beside (C11)."""
-    other = [c for c in diffs.columns if c not in ("unified_diff", "comment_lines_stripped")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            made = [strip_text(p, d) for p, d in zip(b.column("path").to_pylist(), b.column("unified_diff").to_pylist())]
-            text, gone = zip(*made) if made else ((), ())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in other), pa.array(text, pa.string()), pa.array(gone, pa.int64())], [*other, "unified_diff", "comment_lines_stripped"])
-
-    kinds = ", ".join(f"{c} {t}" for c, t in diffs.select(*other).dtypes)
-    # only files with known comments cross to Python
-    has = suffix(F.col("path")).isin(*SLASHES, *HASHES, *BATCH) & F.col("unified_diff").isNotNull()
-    done = diffs.where(has).select(*other, "unified_diff").mapInArrow(run, f"{kinds}, unified_diff string, comment_lines_stripped long")
-    return done.unionByName(diffs.where(~has).select(*other, "unified_diff", F.lit(0).cast("long").alias("comment_lines_stripped")))
+    diff = F.col("unified_diff")
+    left = F.col("__left")
+    # a diff of which nothing is left had a line more than it had newlines
+    gone = F.when((left == "") & (diff != ""), _newlines(diff) + 1).otherwise(_newlines(diff) - _newlines(left))
+    found = diffs.withColumn("__left", without_comments(diff, suffix(F.col("path"))))
+    return found.withColumns({"comment_lines_stripped": F.coalesce(gone, F.lit(0)).cast("long"), "unified_diff": left}).drop("__left")

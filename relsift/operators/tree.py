@@ -120,7 +120,7 @@ def added_body(text: Column) -> Column:
 
 
 def oversize_note(size: Column, settings: Settings = Settings()) -> Column:
-    """Placeholder of a file too large to compare."""
+    """Placeholder of a file too large to compare (C03b); a fixed value, as stored reports hold it."""
     return F.concat(F.lit("[diff skipped: file size "), size.cast("string"), F.lit(f" bytes exceeds max_diff_file_bytes={settings.max_diff_file_bytes}]"))
 
 

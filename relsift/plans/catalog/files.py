@@ -10,15 +10,16 @@ from relsift.plans.catalog import query, table
 from relsift.settings import Settings
 
 #: part as two trees: a file is p_partkey, its text p_name, which changes in the second where the key is a multiple of 3.
+#: Every part is on one side at least: multiples of 7 are new, those of 5 that aren't are gone.
 _TREES = """
 a as (select p_partkey, p_name from part where p_partkey % 7 <> 0),
-b as (select p_partkey, case when p_partkey % 3 = 0 then p_name || '*' else p_name end as p_name from part where p_partkey % 5 <> 0)"""
+b as (select p_partkey, case when p_partkey % 3 = 0 then p_name || '*' else p_name end as p_name from part where p_partkey % 5 <> 0 or p_partkey % 7 = 0)"""
 
 
 def _trees(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
     new = F.when(F.col("p_partkey") % 3 == 0, F.concat("p_name", F.lit("*"))).otherwise(F.col("p_name"))
-    return part.where("p_partkey % 7 <> 0"), part.where("p_partkey % 5 <> 0").select("p_partkey", new.alias("p_name"))
+    return part.where("p_partkey % 7 <> 0"), part.where("p_partkey % 5 <> 0 or p_partkey % 7 = 0").select("p_partkey", new.alias("p_name"))
 
 
 def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,23 +35,37 @@ def tree_compare(spark, sf_dir):
     return _compared(spark, sf_dir)
 
 
-@query(f"with {_TREES} select p_partkey, p_name from b anti join a using (p_partkey) order by p_partkey")
+@query(f"with {_TREES} select p_partkey, p_name from b anti join a using (p_partkey)")
 def tree_compare_added(spark, sf_dir):
-    a, b = _trees(spark, sf_dir)
-    return b.join(a, "p_partkey", "left_anti").orderBy("p_partkey")
+    return _compared(spark, sf_dir).where(F.col("status") == tree.ADDED).select("p_partkey", F.col("to_p_name").alias("p_name"))
 
 
-@query(f"with {_TREES} select p_partkey, p_name from a anti join b using (p_partkey) order by p_partkey")
+@query(f"with {_TREES} select p_partkey, p_name from a anti join b using (p_partkey)")
 def tree_compare_removed(spark, sf_dir):
-    a, b = _trees(spark, sf_dir)
-    return a.join(b, "p_partkey", "left_anti").orderBy("p_partkey")
+    return _compared(spark, sf_dir).where(F.col("status") == tree.REMOVED).select("p_partkey", F.col("from_p_name").alias("p_name"))
+
+
+def _two_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as files of two releases, a pair a document; every third one's text changes in the second."""
+    docs = table(spark, sf_dir, "documents")
+    new = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    side = lambda name, text: docs.select(F.col("doc_id").cast("string").alias("pair_id"), F.lit(name).alias("side"), F.lit("f.js").alias("path"), text.cast("binary").alias("content"))
+    return tree.with_facts(side("from", F.col("text")).unionAll(side("to", new)))
 
 
-@query("""with b as (select doc_id, case when doc_id % 3 = 0 then text || '!' else text end as new_text, text from documents)
-select doc_id, sha256(new_text) as to_sha256 from b where sha256(text) <> sha256(new_text)""")
+@query("""select cast(doc_id as varchar) as pair_id, octet_length(encode(text))::bigint + 1 as to_size, 'modified' as change_type from documents where doc_id % 3 = 0""")
 def unchanged_skip(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("from_sha256"), F.sha2(F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("to_sha256"))
-    return docs.where("from_sha256 <> to_sha256").select("doc_id", "to_sha256")
+    """Files of equal bytes are skipped by the engine's own comparison."""
+    return tree.tree_changes(_two_releases(spark, sf_dir)).select("pair_id", "to_size", "change_type")
+
+
+@query("""select cast(doc_id as varchar) as pair_id, octet_length(encode(text)) + 1 > 8000 as oversized,
+  case when octet_length(encode(text)) + 1 > 8000 then '[diff skipped: file size ' || (octet_length(encode(text)) + 1) || ' bytes exceeds max_diff_file_bytes=8000]' end as note from documents where doc_id % 3 = 0""")
+def oversize_changes(spark, sf_dir):
+    """Changed files over the limit are told by their digests, and get a placeholder."""
+    small = Settings(max_diff_file_bytes=8000)
+    found = tree.file_diffs(_two_releases(spark, sf_dir), small)
+    return found.select("pair_id", "oversized", F.when(F.col("oversized"), F.col("unified_diff")).alias("note"))
 
 
 @query("select doc_id, n_chars, '[diff skipped: file size ' || n_chars || ' bytes exceeds max_diff_file_bytes=8000]' as note from documents where n_chars > 8000")
@@ -86,10 +101,20 @@ def added_file_body(spark, sf_dir):
     return docs.select("doc_id", tree.added_body(F.col("text")).alias("body"), F.size(tree.lines_of(F.col("text"))).cast("long").alias("lines_added"))
 
 
-@query()
+@query(f"with {_PAIRS} select cast(doc_id as varchar) || '.js' as path, from_text <> to_text as changed, true as old_rebuilt, true as new_rebuilt from p where from_id is not null")
 def unified_diff(spark, sf_dir):
+    """The engine's diffs, checked by what they must give back: the lines that a text has more of than its diff removes
+    or adds, counted as multisets, are those of the other text."""
     pairs = release_pairs(spark, sf_dir).select(F.col("source").alias("pair_id"), F.concat(F.col("doc_id").cast("string"), F.lit(".js")).alias("path"), "from_text", "to_text")
-    return tree.unified_diffs(pairs)
+    made = tree.unified_diffs(pairs).select("path", "unified_diff", "lines_added", "lines_removed")
+    size = lambda c: F.size(F.split(c, "\n"))
+    last = lambda c: F.when(F.col(c).endswith("\n") | (F.col(c) == ""), 1).otherwise(0)
+    both = pairs.join(made, "path")
+    lines = F.filter(F.split("unified_diff", "\n"), lambda x: x.rlike("^[-+ ]") & ~x.rlike(r"^(---|\+\+\+) [ab]/"))
+    grown = (size("to_text") - last("to_text")) - (size("from_text") - last("from_text"))
+    marked = lambda m: F.size(F.filter("body", lambda x: x.startswith(m)))
+    text = lambda c, m: F.forall(F.filter("body", lambda x: x.startswith(m)), lambda x: F.contains(F.col(c), F.substring(x, 2, 2**31 - 1)))
+    return both.withColumn("body", lines).select("path", (F.col("unified_diff") != "").alias("changed"), ((marked("+") - marked("-") == grown) & text("from_text", "-") & text("from_text", " ")).alias("old_rebuilt"), (text("to_text", "+") & text("to_text", " ")).alias("new_rebuilt"))
 
 
 #: Lines of documents as source files: every fourth is made a comment of its file's kind, kinds go by doc_id.
@@ -102,18 +127,30 @@ f as (select doc_id, case ext when '.js' then starts_with(trim(line), '//') when
   when '.bat' then regexp_matches(lower(trim(line)), '^(rem[ \\t]|::)') else false end as gone from c)
 select doc_id, count(*) filter (where gone)::bigint as removed, count(*) filter (where not gone)::bigint as kept from f group by doc_id""")
 def comment_strip(spark, sf_dir):
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.expr(_EXT).alias("ext"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    """Documents as diffs of new files."""
+    lines = F.split("text", "\n")
     mark = F.expr("case ext when '.js' then '  // ' when '.py' then '# ' when '.bat' then 'Rem ' else '# ' end")
-    line = F.when(F.col("pos") % 4 == 1, F.concat(mark, F.col("line"))).otherwise(F.col("line"))
-    gone = lines.select("doc_id", strip.line_comment(line, F.col("ext")).alias("gone"))
-    return gone.groupBy("doc_id").agg(F.count_if("gone").alias("removed"), F.count_if(~F.col("gone")).alias("kept"))
+    made = F.array_join(F.transform(lines, lambda x, i: F.concat(F.lit("+"), F.when(i % 4 == 1, F.concat(F.col("mark"), x)).otherwise(x))), "\n")
+    docs = table(spark, sf_dir, "documents").withColumn("ext", F.expr(_EXT)).withColumn("mark", mark)
+    diffs = docs.select("doc_id", F.size(lines).alias("n"), F.concat(F.lit("f"), F.col("ext")).alias("path"), made.alias("unified_diff"))
+    gone = F.col("comment_lines_stripped")
+    return strip.stripped(diffs).select("doc_id", gone.alias("removed"), (F.col("n") - gone).cast("long").alias("kept"))
+
+
+_BLOCK = _EXT.replace("'.bat'", "'.ps1'")
 
 
-@query()
+@query(f"""with d as (select doc_id, {_BLOCK} as ext from documents)
+select doc_id, ext <> '.md' as known, case when ext = '.md' then 0 else 3 end::bigint as gone,
+  sha256(case when ext = '.md' then concat_ws(chr(10), '+/* head', '+ more', '+ end */', '') else '' end || concat_ws(chr(10), '+tail = 1', '+/* open', '+x')) as left_sha256 from d""")
 def comment_block_strip(spark, sf_dir):
-    """Each document as the diff of a new file that opens with a block comment of three lines."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("pair_id"), F.concat(F.lit("f"), F.expr(_EXT.replace("'.bat'", "'.ps1'"))).alias("path"), F.concat(F.lit("+/* head\n+ more\n+ end */\n"), tree.added_body(F.col("text"))).alias("unified_diff"))
-    return strip.stripped(docs).select("pair_id", "path", "comment_lines_stripped")
+    """A diff for each document: a block comment of three lines in its kind's signs, a line that stays, and a block that never closes."""
+    docs = table(spark, sf_dir, "documents").withColumn("ext", F.expr(_BLOCK))
+    opens = F.when(F.col("ext") == ".py", "'''").when(F.col("ext") == ".ps1", "<#").otherwise("/*")
+    shuts = F.when(F.col("ext") == ".py", "'''").when(F.col("ext") == ".ps1", "#>").otherwise("*/")
+    body = F.concat(F.lit("+"), opens, F.lit(" head\n+ more\n+ end "), shuts, F.lit("\n+tail = 1\n+/* open\n+x"))
+    diffs = docs.select("doc_id", F.concat(F.lit("f"), F.col("ext")).alias("path"), body.alias("unified_diff"))
+    return strip.stripped(diffs).select("doc_id", (F.col("path") != "f.md").alias("known"), F.col("comment_lines_stripped").alias("gone"), F.sha2("unified_diff", 256).alias("left_sha256"))
 
 
 #: The fold as a recursion over each source's documents in order: which chunk, and how full it is.
@@ -137,8 +174,8 @@ def chunk_cap(spark, sf_dir):
     return chunk.packed_rows(table(spark, sf_dir, "documents"), "source", "doc_id", "n_chars", 4000, most=3)
 
 
-@query("""select doc_id, case when length(text) > 2000 then substr(text, 1, 1800) || chr(10) || '[... diff truncated head-first at the 500-token chunk budget: 1800 of ' || length(text)
- || ' chars shown, ' || (length(text) - 1800) || ' omitted ...]' || chr(10) else text end as block from documents""")
+@query("""select doc_id, case when length(text) > 2000 then substr(text, 1, 1800) || chr(10) || '[cut: 1800 of ' || length(text)
+ || ' characters fit into 500 tokens, ' || (length(text) - 1800) || ' are left out]' || chr(10) else text end as block from documents""")
 def head_truncate(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", chunk.truncated(F.col("text"), budget=2000).alias("block"))
 
@@ -153,11 +190,11 @@ def segment_hard_split(spark, sf_dir):
 j as (select coalesce(a.p_partkey, b.p_partkey) as k, {_STATUS} as status from a full join b on a.p_partkey = b.p_partkey),
 g as (select k % 25 as grp, list_sort(list('p' || k) filter (where status = 'added')) as added, list_sort(list('p' || k) filter (where status = 'removed')) as removed,
   count(*) filter (where status = 'modified') as modified from j group by k % 25)
-select grp as grp, '# Package Diff — Metadata Summary' || chr(10) || chr(10) || 'Files added:    ' || coalesce(len(added), 0) || chr(10) || 'Files removed:  ' || coalesce(len(removed), 0) || chr(10)
- || 'Files modified: ' || modified || chr(10) || 'Total changed lines: ' || (modified * 2) || chr(10) || chr(10)
- || case when len(added) > 0 then '## New files' || chr(10) || array_to_string(list_transform(added, lambda x: '  + ' || x), chr(10)) || chr(10) || chr(10) else '' end
- || case when len(removed) > 0 then '## Removed files' || chr(10) || array_to_string(list_transform(removed, lambda x: '  - ' || x), chr(10)) || chr(10) || chr(10) else '' end
- || '# File-level diffs follow' || chr(10) as preamble from g""")
+select grp as grp, '# What the release changes' || chr(10) || chr(10) || 'added files: ' || coalesce(len(added), 0) || chr(10) || 'removed files: ' || coalesce(len(removed), 0) || chr(10)
+ || 'modified files: ' || modified || chr(10) || 'changed lines: ' || (modified * 2) || chr(10) || chr(10)
+ || case when len(added) > 0 then '## Added' || chr(10) || array_to_string(list_transform(added, lambda x: '  + ' || x), chr(10)) || chr(10) || chr(10) else '' end
+ || case when len(removed) > 0 then '## Removed' || chr(10) || array_to_string(list_transform(removed, lambda x: '  - ' || x), chr(10)) || chr(10) || chr(10) else '' end
+ || '# Diffs' || chr(10) as preamble from g""")
 def preamble(spark, sf_dir):
     rows = _compared(spark, sf_dir).select((F.col("p_partkey") % 25).alias("grp"), "status", F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("path"))
     kind = lambda k: F.sort_array(F.collect_list(F.when(F.col("status") == k, F.col("path")))).alias(f"files_{k}")

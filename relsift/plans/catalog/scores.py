@@ -134,8 +134,8 @@ def reweight(spark, sf_dir):
 
 @query("""with g as (select source, list_sort(list('d' || doc_id) filter (where n_chars > 8000)) as big, count(*) as n from documents group by source),
 t as (select source, n, big, case when len(big) > 5 then array_to_string(big[1:5], ', ') || ' and ' || (len(big) - 5) || ' more' else array_to_string(big, ', ') end as shown from g)
-select source, concat_ws('|', case when len(big) > 0 then len(big) || ' file(s) exceeded the per-file diff size limit and were never shown to the LLM: ' || shown || '. Nothing in them contributed to the LLM score.' end,
- 'The diff was split into ' || n || ' chunks scored independently; each dimension''s score is the maximum across chunks, and the summary reflects only the last chunk.') as caveats from t where n > 1""")
+select source, concat_ws('|', case when len(big) > 0 then len(big) || ' file(s) are over the size limit of a diff, so no scorer read them: ' || shown || '. The score says nothing of them.' end,
+ case when n > 1 then n || ' chunks were rated apart: a dimension has the highest of its ratings, and the summary is the last chunk''s.' end) as caveats from t""")
 def caveats(spark, sf_dir):
     """Large documents of a source as skipped files, its documents as chunks."""
     g = table(spark, sf_dir, "documents").groupBy("source").agg(F.sort_array(F.collect_list(F.when(F.col("n_chars") > 8000, F.concat(F.lit("d"), F.col("doc_id").cast("string"))))).alias("skipped_files"), F.count("*").alias("n"))

@@ -1,6 +1,7 @@
 """Trees, diffs, comment stripping and chunks."""
 
 import difflib
+import random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -68,39 +69,55 @@ def test_line_changes_as_multisets(spark):
     assert {tuple(r) for r in tree.multiset_line_changes(df).collect()} == {(1, 1, 2), (2, 0, 0)}
 
 
-def stripped(path, body):
-    return strip.strip_text(path, body)
+def strip_all(spark, rows):
+    """(text left, lines gone) of (path, diff)."""
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, path string, unified_diff string")
+    return [(r.unified_diff, r.comment_lines_stripped) for r in strip.stripped(df).orderBy("k").collect()]
 
 
-def test_comments():
-    js = "@@ -1 +1 @@\n+// gone\n+code() // stays\n-  // gone\n /* block\n+ inner\n  end */\n+/* tail */ code\n+/* one */\n+/* open\n@@ -9 @@\n+*/"
-    text, gone = stripped("a/b.js", js)
-    assert gone == 6
-    assert text == "@@ -1 +1 @@\n+code() // stays\n+/* tail */ code\n+/* open\n@@ -9 @@\n+*/"
-    assert stripped("x.py", '+#! /bin/sh\n+# c\n+"""doc"""\n+x = 1') == ("+#! /bin/sh\n+x = 1", 2)
-    assert stripped("x.bat", "+REM a\n+rem\tb\n+::c\n+remote") == ("+remote", 3)
-    assert stripped("x.ps1", "+<# a\n+b #>\n+# c\n+d") == ("+d", 3)
-    assert stripped("x.md", "+# title") == ("+# title", 0)
-    assert stripped("x.js", "[diff skipped: // x]") == ("[diff skipped: // x]", 0)
-    assert stripped("x.js", None) == (None, 0)
-    # a removed line that looks like a header ends the run (kept as it is)
-    assert stripped("x.js", "+/* a\n--- b\n+*/")[1] == 0
+JS = "@@ -1 +1 @@\n+// gone\n+code() // stays\n-  // gone\n /* block\n+ inner\n  end */\n+/* tail */ code\n+/* one */\n+/* open\n@@ -9 @@\n+*/"
 
+STRIPPED = [
+    ("a/b.js", JS, "@@ -1 +1 @@\n+code() // stays\n+/* tail */ code\n+/* open\n@@ -9 @@\n+*/", 6),
+    ("x.py", '+#! /bin/sh\n+# c\n+"""doc"""\n+x = 1', "+#! /bin/sh\n+x = 1", 2),
+    ("x.bat", "+REM a\n+rem\tb\n+::c\n+remote", "+remote", 3),
+    ("x.ps1", "+<# a\n+b #>\n+# c\n+d", "+d", 3),
+    ("x.PY", "+'''a\n-b'''  \n c", " c", 2),
+    ("x.md", "+# title", "+# title", 0),
+    ("x.js", "[diff skipped: // x]", "[diff skipped: // x]", 0),
+    ("x.js", None, None, 0),
+    ("x.js", "", "", 0),
+    ("x.js", "+// all", "", 1),
+    ("x.js", "+// all\n+//", "", 2),
+    ("x.js", "+/*/\n+x */", "", 2),
+    ("x.js", "+/* a */ /* b */", "+/* a */ /* b */", 0),
+    ("x.js", "+\xa0// wide blank\x85+more\n+x", "+x", 1),
+    ("x.js", "// no marker\n+x", "// no marker\n+x", 0),
+    # a removed line that looks like a header, and a line without a marker, end the run
+    ("x.js", "+/* a\n--- b\n+*/", "+/* a\n--- b\n+*/", 0),
+    ("x.js", "+/* a\n\n+*/", "+/* a\n\n+*/", 0),
+    ("x.js", "+/* one\n+ two */\n+a", "+a", 2),
+    ("x.js", "+/*\n" + "+ a long comment\n" * 50_000 + "+*/\n+x", "+x", 50_002),
+]
 
-def test_real_diffs_keep_block_comments():
-    old, new = "a\n", "/* one\n two */\na\n"
-    text, _, _ = tree._diff_texts(old, new, "x.js")
-    assert stripped("x.js", text)[1] == 0  # every other line is empty, so the block isn't contiguous
-    assert stripped("x.js", "+/* one\n+ two */\n+a") == ("+a", 2)
 
+def test_comments(spark):
+    assert strip_all(spark, [r[:2] for r in STRIPPED]) == [r[2:] for r in STRIPPED]
 
-@given(st.lists(st.text("ab#/*\n +-", max_size=12), max_size=30))
-def test_stripping_only_removes_lines(lines):
-    body = "\n".join(lines)
-    text, gone = strip.strip_text("x.js", body)
-    left = iter(body.split("\n"))
-    assert gone == body.count("\n") - text.count("\n") or text == body or gone == len(body.split("\n"))
-    assert all(any(x == y for y in left) for x in (text.split("\n") if text else []))
+
+def test_real_diffs_keep_block_comments(spark):
+    text, _, _ = tree._diff_texts("a\n", "/* one\n two */\na\n", "x.js")
+    assert strip_all(spark, [("x.js", text)])[0][1] == 0  # every other line is empty, so the block isn't contiguous
+
+
+def test_stripping_only_removes_lines(spark):
+    r = random.Random(8)
+    bodies = ["\n".join("".join(r.choice("ab#/*\n +-") for _ in range(r.randrange(12))) for _ in range(r.randrange(30))) for _ in range(400)]
+    for body, (text, gone) in zip(bodies, strip_all(spark, [("x.js", b) for b in bodies])):
+        left = iter(body.split("\n"))
+        kept = text.split("\n") if text or not gone else []
+        assert gone == len(body.split("\n")) - len(kept) or (gone == 0 and text == body)
+        assert all(any(x == y for y in left) for x in kept)
 
 
 @given(st.text("abc\n", max_size=200), st.integers(1, 40))
@@ -140,11 +157,11 @@ def chunked(spark, rows, s, split=False):
 
 def test_chunks(spark):
     head, kept = chunked(spark, [("from", "a.md", "x")], Settings())
-    assert len(head) == 1 and kept.chunks_sent_to_llm == 1 and head[0].startswith("# Package Diff — Metadata Summary\n")
+    assert len(head) == 1 and kept.chunks_sent_to_llm == 1 and head[0].startswith("# What the release changes\n")
     body = "\n".join(f"line {i} of a long file" for i in range(10_000))
     cut, kept = chunked(spark, [("to", "big.js", body), ("to", "small.js", "x")], Settings(max_tokens_per_chunk=1000))
     assert kept.diff_truncated and kept.truncated_files == ["big.js"]
-    assert "truncated head-first at the 1000-token chunk budget: 3800 of" in cut[0]
+    assert "[cut: 3800 of " in cut[0]
     parts, kept = chunked(spark, [("to", "big.js", body[:30_000])], Settings(max_tokens_per_chunk=1000), split=True)
     assert kept.split_files == ["big.js"] and not kept.truncated_files and kept.chunks_sent_to_llm == len(parts) > 5
     for line in body[:29_000].split("\n")[:-1]:
@@ -156,7 +173,7 @@ def test_chunks(spark):
 def test_chunk_cap_names_what_is_dropped(spark):
     rows = [("to", f"f{i:02}.js", "y" * 3000) for i in range(30)]
     out, kept = chunked(spark, rows, Settings(max_tokens_per_chunk=1000, max_chunks_per_analysis=3))
-    sent = {f"f{i:02}.js" for i in range(30) if any(f"ADDED: f{i:02}.js" in c for c in out)}
+    sent = {f"f{i:02}.js" for i in range(30) if any(f"## f{i:02}.js (added" in c for c in out)}
     assert len(out) == 3 == kept.chunks_sent_to_llm
     assert sent | set(kept.files_not_analyzed) == {r[1] for r in rows} and not sent & set(kept.files_not_analyzed)
 

@@ -44,7 +44,7 @@ def test_dimension_floor(spark):
     assert (r.llm_base_score, r.risk_score, r.severity) == (20.0, 30.0, "MEDIUM")
     m = r.score_modifiers[0]
     assert (m.source, m.rule, m.delta) == ("llm", "definitive_dimension_floor", 10.0)
-    assert m.note == "resource_exhaustion scored 10.0/10 at confidence 1.00 — raised score to floor 30"
+    assert m.note == "resource_exhaustion at 10.0 of 10 with confidence 1.00: score lifted to 30"
     for d in (dims([0, 0, 0, 0, 0, 8.9], 1.0), dims([0, 0, 0, 0, 0, 10], 0.8), dims([0, 0, 0, 0, 0, 10], [0.9] * 5 + [None])):
         assert not score(spark, d).score_modifiers
     assert score(spark, dims([9, 9.5, 0, 0, 0, 9.5], [0.9] * 6)).score_modifiers == []  # above the floor anyway
@@ -75,7 +75,7 @@ def test_caveats(spark):
     df = spark.createDataFrame([(names, ["t"], False, ["s"], ["n"], 3, True, 4), ([], [], False, [], [], 1, False, 0)], s)
     got = [r[0] for r in df.select(scoring.caveats(F.struct(*df.columns))).collect()]
     assert len(got[0]) == 6 and got[1] == []
-    assert "f0, f1, f2, f3, f4 and 2 more" in got[0][0] and "head-first" in got[0][1] and "after 3 chunk(s)" in got[0][3]
+    assert "f0, f1, f2, f3, f4 and 2 more" in got[0][0] and "cut to the head" in got[0][1] and "with 3 chunk(s)" in got[0][3]
 
 
 def response(*rated, summary="s"):
@@ -123,7 +123,7 @@ def test_feeds(spark):
     adv = spark.createDataFrame([("npm", "mal", "2", ["GHSA-1", "MAL-1"]), ("npm", "sus", "2", [f"GHSA-{i}" for i in range(7)]), ("npm", "ok", "2", [])], "ecosystem string, package string, version string, ids array<string>")
     got = {r.pair_id: r.feed for r in feeds.osv(p, adv).collect()}
     assert {k: v.status for k, v in got.items()} == {"mal": "malicious", "sus": "suspicious", "ok": "clean", "down": "no_data"}
-    assert got["sus"].details == "Found 7 advisory/ies: GHSA-0, GHSA-1, GHSA-2, GHSA-3, GHSA-4 (and 2 more)"
+    assert got["sus"].details == "Advisories (7): GHSA-0, GHSA-1, GHSA-2, GHSA-3, GHSA-4 (and 2 more)"
     ids = spark.createDataFrame([("npm", "mal", "1", "a", "u"), ("npm", "mal", "2", "b", "u"), ("npm", "ok", "1", "a", "u"), ("npm", "ok", "2", "a", "u"), ("npm", "sus", "2", "n", "u")], "ecosystem string, package string, version string, identity string, url string")
     got = {r.pair_id: (r.feed.status, r.feed.signing_identity_changed) for r in feeds.rekor(p, ids).collect()}
     assert got == {"mal": ("suspicious", True), "ok": ("clean", False), "sus": ("clean", None), "down": ("no_data", None)}
