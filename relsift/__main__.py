@@ -7,15 +7,19 @@ from __future__ import annotations
 
 import argparse
 import json
+import logging
 import sys
 
 from relsift.plans import render
+from relsift.plans.release import timed
 
 
 def session():
     from pyspark.sql import SparkSession
 
-    return SparkSession.builder.appName("relsift").config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+    from relsift.session import prepare
+
+    return prepare(SparkSession.builder.appName("relsift").config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false").getOrCreate())
 
 
 def arguments(argv=None) -> argparse.Namespace:
@@ -27,9 +31,10 @@ def arguments(argv=None) -> argparse.Namespace:
         diff.add_argument(name)
     diff.add_argument("--strip-comments", action="store_true")
     diff.add_argument("--split-large-files", action="store_true")
-    scan = kinds.add_parser("scan", help="list a lockfile's dependencies and their predecessors")
+    scan = kinds.add_parser("scan", help="compare a lockfile's dependencies with their predecessors")
     scan.add_argument("lockfile")
     scan.add_argument("--releases", required=True, help="Parquet of package, version, published_at")
+    scan.add_argument("--archives", help="folder of archives, named package-version as registries do; without it dependencies are listed and not scored")
     scan.add_argument("--limit", type=int, default=25, help="0: all")
     report = kinds.add_parser("report", help="show a saved report")
     report.add_argument("file")
@@ -53,7 +58,7 @@ def run(args: argparse.Namespace) -> int:
         pair = ("pair", args.ecosystem, args.package, args.from_version, args.to_version)
         pairs = spark.createDataFrame([pair], "pair_id string, ecosystem string, package string, from_version string, to_version string")
         side = lambda path, name: archives.archive_files(spark, path, Settings.from_env()).select(F.lit("pair").alias("pair_id"), F.lit(name).alias("side"), "file_name", "content", "error")
-        files = release.files_of_archives(side(args.from_archive, "from").unionByName(side(args.to_archive, "to")), Settings.from_env())
+        files = release.files_of_archives(side(args.from_archive, "from").unionByName(side(args.to_archive, "to")), Settings.from_env()).persist()
         df = release.reports(pairs, files, settings=Settings.from_env(), strip_comments=args.strip_comments, split_large=args.split_large_files)
         if (bad := df.select("error").where("error is not null").first()) is not None:
             raise ValueError(bad.error)
@@ -69,7 +74,16 @@ def run(args: argparse.Namespace) -> int:
         if (bad := lockfiles.malformed(files).first()) is not None:
             raise ValueError(bad.error)
         locked = lockfiles.parse_lockfiles(files).select(F.col("name").alias("package"), "version")
-        entries = history.scan_entries(history.sorted_limit(locked, ["package", "version"], args.limit), spark.read.parquet(args.releases)).orderBy("package", "to_version")
+        releases = spark.read.parquet(args.releases)
+        if args.archives:
+            settings = Settings.from_env()
+            found = archives.archive_files(spark, args.archives, settings).drop("path")
+            load = lambda pairs: release.files_of_archives(release.archives_of(pairs, found), settings).persist()  # noqa: E731  archives are unpacked once
+            (kind,) = [r[0] for r in files.select(lockfiles.ecosystem_of(F.col("file_name"))).collect()]
+            rows = [r.asDict() for r in release.scan(locked.withColumnRenamed("package", "name"), releases, load, kind, args.limit, settings=settings).collect()]  # as many as are printed
+            render.emit("\n".join(json.dumps(r) for r in rows) if args.format == "json" else render.scan_text(rows), args.output)
+            return int(args.threshold is not None and any(r["risk_score"] is not None and r["risk_score"] > args.threshold for r in rows))
+        entries = history.scan_entries(history.sorted_limit(locked, ["package", "version"], args.limit), releases).orderBy("package", "to_version")
         render.emit("\n".join(render.json_lines(entries)) if args.format == "json" else "\n".join(render.plain(f"{r.package} {r.from_version or '-'} -> {r.to_version} {r.error or ''}").rstrip() for r in entries.collect()), args.output)
         return 0
     lines = render.json_lines(df)
@@ -80,11 +94,15 @@ def run(args: argparse.Namespace) -> int:
 def main(argv=None) -> int:
     args = arguments(argv)
     render.log_to_stderr(args.verbose)
+    seconds: dict[str, float] = {}
     try:
-        return run(args)
+        with timed(seconds, "total_seconds"):
+            return run(args)
     except Exception as e:  # noqa: BLE001  the exit code tells
         render.emit(render.error_text(str(e), args.format == "json"))
         return 2
+    finally:
+        logging.getLogger("relsift").info("%s took %s s", args.command, seconds.get("total_seconds"))
 
 
 if __name__ == "__main__":

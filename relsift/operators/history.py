@@ -42,8 +42,13 @@ def last_versions(versions: Column, n: int = 10) -> Column:
 
 def scan_entries(locked: DataFrame, releases: DataFrame) -> DataFrame:
     """(package, from_version, to_version, error): one row a dependency; an error where there is nothing to compare with."""
-    found = locked_with_predecessor(locked, releases)
-    error = F.when(F.col("previous_version").isNull(), F.concat(F.lit("no earlier published version of "), F.col("package"), F.lit("@"), F.col("version")))
+    found = locked_with_predecessor(locked, releases).join(releases.select("package", "version").distinct().withColumn("there", F.lit(True)), ["package", "version"], "left")
+    # the last versions of packages whose pinned version isn't there, and of no others
+    lost = found.where("there is null").select("package").distinct()
+    known = releases.join(lost, "package", "left_semi").groupBy("package").agg(F.array_join(last_versions(F.collect_set("version")), ", ").alias("known"))
+    found = found.join(known, "package", "left")
+    unknown = F.when(F.col("there").isNull() & F.col("known").isNotNull(), F.concat("package", F.lit(" has no version "), "version", F.lit("; its last ones are "), "known"))
+    error = F.when(F.col("previous_version").isNull(), F.coalesce(unknown, F.concat(F.lit("no earlier published version of "), F.col("package"), F.lit("@"), F.col("version"))))
     return found.select("package", F.col("previous_version").alias("from_version"), F.col("version").alias("to_version"), error.alias("error"))
 
 

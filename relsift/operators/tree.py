@@ -163,6 +163,12 @@ def has_native(files: DataFrame) -> DataFrame:
     return files.groupBy("pair_id", "side").agg(F.bool_or((name == NATIVE_NAME) | suffix(F.col("path")).isin(*NATIVE_EXTENSIONS) | F.coalesce(built, F.lit(False))).alias("native"))
 
 
+def digests(files: DataFrame) -> DataFrame:
+    """(pair_id, side, digest) of whole trees: of paths and the files' own digests, in order of paths."""
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("path", "sha256"))), lambda x: F.concat_ws(":", x["path"], x["sha256"]))
+    return files.groupBy("pair_id", "side").agg(F.sha2(F.array_join(listed, "\n"), 256).alias("digest"))
+
+
 def multiset_line_changes(pairs: DataFrame) -> DataFrame:
     """(key, lines_added, lines_removed) of (key, from_text, to_text): lines counted as multisets, all in the JVM.
 

@@ -63,14 +63,15 @@ def dependency_sets(spark, sf_dir):
 @query("""with e as (select conv_id, min(turn) as a, max(turn) as z from conversations group by conv_id),
 f as (select distinct conv_id, role from conversations join e using (conv_id) where turn = a),
 l as (select distinct conv_id, role from conversations join e using (conv_id) where turn = z)
-select conv_id, role as hook from l anti join f using (conv_id, role)""")
+select conv_id, case role when 'system' then 'preinstall' when 'user' then 'install' when 'assistant' then 'postinstall' end as hook from l anti join f using (conv_id, role) where role in ('system', 'user', 'assistant')""")
 def new_hooks(spark, sf_dir):
     """Roles of a conversation's last turn that its first doesn't have, as hooks of two manifests."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
     ends = c.groupBy("conv_id").agg(F.min("turn").alias("a"), F.max("turn").alias("z"))
-    roles = lambda at: F.collect_set(F.when(F.col("turn") == F.col(at), F.col("role")))
+    hook = F.create_map(*map(F.lit, ("system", "preinstall", "user", "install", "assistant", "postinstall")))
+    roles = lambda at: F.collect_set(F.when(F.col("turn") == F.col(at), F.try_element_at(hook, F.col("role"))))
     both = c.join(ends, "conv_id").groupBy("conv_id").agg(roles("a").alias("old"), roles("z").alias("new"))
-    return both.select("conv_id", F.explode(F.array_except("new", "old")).alias("hook"))
+    return both.select("conv_id", F.explode(metadata.new_hooks(F.col("old"), F.col("new"))).alias("hook"))
 
 
 _PIN_LINES = "case p_partkey % 5 when 0 then replace(p_name, ' ', '-') || '==' || p_size || '.0' when 1 then replace(p_name, ' ', '_') || '[extra] == 1.' || p_size || '  # note' when 2 then replace(p_name, ' ', '.') || '>=' || p_size when 3 then '-r ' || p_name || '==1' else replace(p_name, ' ', '') || '==' || p_size || '.*' end"
@@ -104,18 +105,10 @@ def lock_key_name(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", lockfiles.lock_key_name(F.expr(_KEYS)).alias("name"))
 
 
-@query("""with recursive e as (select 'r' || r_regionkey as child, cast(null as varchar) as parent from region union all
-  select 'n' || n_nationkey, 'r' || n_regionkey from nation union all select 'c' || c_custkey, 'n' || c_nationkey from customer),
-t as (select child, 0 as depth, child as path from e where parent is null union all
-  select e.child, t.depth + 1, t.path || '/' || e.child from e join t on e.parent = t.child)
-select child as name, depth::integer as depth, path from t""")
+@query("""select 'c' || c_custkey || '/package-lock.json' as file_name, 'npm' as ecosystem, unnest(['r' || n_regionkey, 'n' || n_nationkey, 'c' || c_custkey]) as name,
+  unnest(['1.0', '2.0', c_custkey || '.0']) as version from customer join nation on c_nationkey = n_nationkey""")
 def recursive_flatten(spark, sf_dir):
-    """A nested tree of regions, nations and customers, flattened level by level."""
-    for name in ("region", "nation", "customer"):
-        table(spark, sf_dir, name).createOrReplaceTempView(f"__{name}")
-    return spark.sql("""
-        with recursive e(child, parent) as (select 'r' || r_regionkey, cast(null as string) from __region union all
-          select 'n' || n_nationkey, 'r' || n_regionkey from __nation union all select 'c' || c_custkey, 'n' || c_nationkey from __customer),
-        t(child, depth, path) as (select child, 0, child from e where parent is null union all
-          select e.child, t.depth + 1, t.path || '/' || e.child from e join t on e.parent = t.child)
-        select child as name, depth, path from t""")
+    """A lockfile of nested dependencies for each customer, in its nation, in its region, read by the engine's parser."""
+    both = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    text = F.format_string('{"dependencies": {"r%d": {"version": "1.0", "dependencies": {"n%d": {"version": "2.0", "dependencies": {"c%d": {"version": "%d.0"}}}}}}}', "n_regionkey", "n_nationkey", "c_custkey", "c_custkey")
+    return lockfiles.npm_lock_pins(both.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit("/package-lock.json")).alias("file_name"), text.alias("text")))

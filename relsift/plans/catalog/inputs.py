@@ -162,8 +162,10 @@ def score_bar(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", score.alias("score"), scoring.score_bar(score).alias("bar"))
 
 
-@query("""with d as (select source, list_sort(list(sha256(text))) as h from documents group by source) select source, sha256(array_to_string(h, chr(10))) as digest from d""")
+@query("""select source as pair_id, cast(doc_id // 1000 as varchar) as side,
+  sha256(string_agg(doc_id || ':' || sha256(text), chr(10) order by cast(doc_id as varchar))) as digest from documents group by source, doc_id // 1000""")
 def tree_digest(spark, sf_dir):
-    """Digest of a source's documents in a fixed order, whatever order they come in."""
-    g = table(spark, sf_dir, "documents").groupBy("source").agg(F.sort_array(F.collect_list(F.sha2("text", 256))).alias("h"))
-    return g.select("source", F.sha2(F.array_join("h", "\n"), 256).alias("digest"))
+    """Digests of trees: a source's documents of a thousand ids are a tree, and an id is a path."""
+    docs = table(spark, sf_dir, "documents")
+    files = docs.select(F.col("source").alias("pair_id"), F.floor(F.col("doc_id") / 1000).cast("string").alias("side"), F.col("doc_id").cast("string").alias("path"), F.sha2("text", 256).alias("sha256"))
+    return tree.digests(files)

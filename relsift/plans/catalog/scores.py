@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relsift.functions import feeds, scoring
+from relsift.functions import evaluation, feeds, scoring
 from relsift.operators import history, scorers, tree
 from relsift.plans import release
 from relsift.plans.catalog import query, table
@@ -26,7 +26,11 @@ def max_score_per_dim(spark, sf_dir):
 
 @query("select conv_id, arg_max(text, turn) as llm_summary from conversations group by conv_id")
 def last_summary(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max_by("text", "turn").alias("llm_summary"))
+    """Turns of a conversation as a scorer's responses to chunks; the engine takes the last one's summary."""
+    rated = F.array(F.struct(F.lit("obfuscation").alias("name"), F.lit(1.0).alias("score"), F.lit(0.5).alias("confidence"), F.lit("").alias("reasoning")))
+    raw = F.to_json(F.struct(rated.alias("dimensions"), F.col("text").alias("summary")), {"ignoreNullFields": "false"})
+    responses = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("pair_id"), F.col("turn").alias("chunk_idx"), raw.alias("raw"), F.lit(None).cast("string").alias("error"))
+    return scorers.rated_dimensions(responses).select(F.col("pair_id").alias("conv_id"), "llm_summary")
 
 
 _DIM_ROWS = ", ".join(f"('{n}', {w})" for n, _, w in DIMENSIONS)
@@ -213,17 +217,14 @@ def threshold_exceeded(spark, sf_dir):
 select count(*) filter (where flagged and bad)::bigint as tp, count(*) filter (where flagged and not bad)::bigint as fp, count(*) filter (where not flagged and bad)::bigint as fn, count(*) filter (where not flagged and not bad)::bigint as tn from j""")
 def confusion_matrix(spark, sf_dir):
     j = table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") > 2000).alias("flagged")).join(table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 0).alias("bad")), "doc_id")
-    f, b = F.col("flagged"), F.col("bad")
-    return j.agg(F.count_if(f & b).alias("tp"), F.count_if(f & ~b).alias("fp"), F.count_if(~f & b).alias("fn"), F.count_if(~f & ~b).alias("tn"))
+    return evaluation.confusion(j, F.col("flagged"), F.col("bad"))
 
 
 @query("""select user_id, (floor(epoch(min(ts) filter (where event_type = 'error'))) - floor(epoch(min(ts) filter (where event_type = 'signup'))))::bigint as gap_seconds from events group by user_id
 having min(ts) filter (where event_type = 'error') is not null and min(ts) filter (where event_type = 'signup') is not null""")
 def detection_gap(spark, sf_dir):
-    first = lambda k: F.min(F.when(F.col("event_type") == k, F.col("ts")))
-    g = table(spark, sf_dir, "events").groupBy("user_id").agg(first("error").alias("e"), first("signup").alias("s")).where("e is not null and s is not null")
-    second = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
-    return g.select("user_id", (second("e") - second("s")).alias("gap_seconds"))
+    kind = F.col("event_type")
+    return evaluation.detection_gap(table(spark, sf_dir, "events"), "user_id", "ts", kind == "signup", kind == "error")
 
 
 #: How a release's size becomes dimension scores here is a harness of ours, and no rule of the engine.

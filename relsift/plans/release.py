@@ -14,7 +14,7 @@ from relsift.functions.scoring import caveats, scored
 from relsift.operators import chunk, history, metadata, scorers, strip, tree
 from relsift.schemas import SCHEMA_VERSION, SUMMARY
 from relsift.settings import Settings
-from relsift.sources import archives
+from relsift.sources import archives, fetch
 
 NAMES = ("pair_id", "ecosystem", "package", "from_version", "to_version")
 
@@ -76,8 +76,7 @@ def reports(pairs: DataFrame, files: DataFrame, feeds: DataFrame | None = None,
     summed = _with_bookkeeping(summed, kept)
     rated = scorers.rated_dimensions(scorer(pieces)) if scorer else scorers.stub(pairs)
     feeds = no_feeds(pairs) if feeds is None else feeds
-    whole = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "sha256"))), lambda x: F.concat_ws(":", x["path"], x["sha256"])), "\n"), 256)
-    digests = files.groupBy("pair_id", "side").agg(whole.alias("digest")).groupBy("pair_id").agg(F.max(F.when(F.col("side") == "from", F.col("digest"))).alias("from_version_sha256"), F.max(F.when(F.col("side") == "to", F.col("digest"))).alias("to_version_sha256"))
+    digests = tree.digests(files).groupBy("pair_id").agg(F.max(F.when(F.col("side") == "from", F.col("digest"))).alias("from_version_sha256"), F.max(F.when(F.col("side") == "to", F.col("digest"))).alias("to_version_sha256"))
     joined = pairs.select(*NAMES).join(summed, "pair_id").join(rated, "pair_id").join(feeds, "pair_id").join(digests, "pair_id", "left")
     if faults is not None:
         joined = joined.join(faults, "pair_id", "left").withColumn("error", F.coalesce("fault", "error")).drop("fault")
@@ -103,6 +102,31 @@ def scan(locked: DataFrame, releases: DataFrame, load: Callable[[DataFrame], Dat
     return entries.join(made, ["package", "to_version"], "left").select("package", "from_version", "to_version", "risk_score", "severity", F.coalesce("error", "failed").alias("error")).orderBy("package", "to_version")
 
 
+def files_of_requests(requests: DataFrame, settings: Settings = Settings(), opener=None) -> DataFrame:
+    """Files of artifacts that are downloaded and verified (S10, S11, P06, P07): requests are (pair_id, side, ecosystem,
+    file_name, url, integrity, shasum, sha256). What can't be had, or isn't what its registry says, is a row with an error."""
+    told = requests.select("pair_id", "side", "ecosystem", "integrity", "shasum", "sha256")
+    got = fetch.fetched(requests, settings, opener).join(told, ["pair_id", "side"])
+    content = F.col("content")
+    true = F.when(F.col("ecosystem") == "npm", fetch.npm_verified(content, F.col("integrity"), F.col("shasum"))).otherwise(fetch.pypi_verified(content, F.col("sha256")))
+    error = F.coalesce("error", F.when(~true, F.concat("file_name", F.lit(": its digest is not what the registry says"))))
+    return files_of_archives(got.select("pair_id", "side", "file_name", F.when(error.isNull(), content).alias("content"), error.alias("error")), settings)
+
+
+def archives_of(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """(pair_id, side, file_name, content, error) of both sides of the pairs, from archives (file_name, content, error) named as
+    registries name them; source archives go before wheels. A side without an archive is a row with an error."""
+    sides = pairs.select("pair_id", F.explode(F.array(*[F.struct(F.lit(s).alias("side"), "package", F.col(f"{s}_version").alias("version")) for s in ("from", "to")])).alias("s")).select("pair_id", "s.*")
+    same = lambda c: F.regexp_replace(F.lower(c), "[-_.+]+", "-")
+    wheel = F.lower("file_name").endswith(".whl")
+    stem = F.regexp_replace("file_name", r"(?i)\.(tgz|tar\.gz|tar\.bz2|tar\.xz|tar|zip|whl)$", "")
+    named = found.withColumn("key", same(F.when(wheel, F.regexp_replace(stem, "(-[^-]+){3}$", "")).otherwise(stem)))
+    named = history.best(named, ["key"], [wheel, F.col("file_name")])
+    joined = sides.withColumn("key", same(F.concat_ws("-", F.element_at(F.split("package", "/"), -1), "version"))).join(named, "key", "left")
+    missing = F.when(F.col("file_name").isNull(), F.concat_ws("", F.lit("no archive of "), "package", F.lit("@"), "version"))
+    return joined.select("pair_id", "side", "file_name", "content", F.coalesce("error", missing).alias("error"))
+
+
 def files_of_archives(found: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Files with their facts from archives (pair_id, side, file_name, content, and maybe error), and a row with an error for each that can't be had."""
     return tree.with_facts(archives.members(found, settings))

@@ -227,6 +227,14 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     spark.createDataFrame([("a", "0.9", "1"), ("a", "1.0", "2")], "package string, version string, published_at string").write.parquet(str(tmp_path / "rel"))
     assert cli.main(["scan", str(tmp_path / "requirements.txt"), "--releases", str(tmp_path / "rel")]) == 0
     assert "a 0.9 -> 1.0" in capsys.readouterr().out
+    folder = tmp_path / "archives"
+    folder.mkdir()
+    for v, text in (("0.9", b"x = 1"), ("1.0", b"x = 2")):
+        (folder / f"a-{v}.tar.gz").write_bytes(tgz({"a/mod.py": text}))
+    scan = ["scan", str(tmp_path / "requirements.txt"), "--releases", str(tmp_path / "rel"), "--archives", str(folder), "--limit", "0"]
+    assert cli.main([*scan, "--threshold", "3"]) == 1
+    lines = capsys.readouterr().out.splitlines()
+    assert "a 0.9 -> 1.0: 3.5 LOW" in lines and lines[-1].endswith(f"1 diffed, 0 flagged, {len(lines) - 2} errored")
     (tmp_path / "yarn.txt").write_text("x")
     assert cli.main(["scan", str(tmp_path / "yarn.txt"), "--releases", str(tmp_path / "rel")]) == 2
     with pytest.raises(SystemExit):

@@ -296,3 +296,56 @@ def test_diff_command_fails_on_lost_archives(spark, tmp_path, monkeypatch, capsy
         monkeypatch.setenv(limit, "1")
     assert cli.main(["diff", "npm", "p", "1", "2", str(tmp_path / "old.tgz"), str(tmp_path / "new.tgz"), "--format", "json"]) == code
     assert ("more than 1" in capsys.readouterr().out) == (code == 2)
+
+
+def test_artifacts_are_downloaded_verified_and_read(spark):
+    """Both registries, a digest that differs, a host that isn't allowed, a file that isn't there."""
+    import hashlib
+
+    from relsift.plans import release
+
+    good, other = tgz({"index.js": b"a"}), tgz({"index.js": b"b"})
+    pages = {"https://registry.npmjs.org/p-1.tgz": good, "https://registry.npmjs.org/p-2.tgz": other, "https://files.pythonhosted.org/q-1.tar.gz": good}
+
+    def opener(url):
+        return (200, {}, [pages[url]]) if url in pages else (404, {}, [])
+
+    sha1, sha256 = hashlib.sha1(good).hexdigest(), hashlib.sha256(good).hexdigest()
+    rows = [
+        ("ok", "from", "npm", "p-1.tgz", "https://registry.npmjs.org/p-1.tgz", None, sha1, None),
+        ("other", "to", "npm", "p-2.tgz", "https://registry.npmjs.org/p-2.tgz", None, sha1, None),
+        ("none", "to", "npm", "p-3.tgz", "https://registry.npmjs.org/p-3.tgz", None, sha1, None),
+        ("host", "to", "npm", "p-1.tgz", "https://elsewhere.example.org/p-1.tgz", None, sha1, None),
+        ("py", "to", "pypi", "q-1.tar.gz", "https://files.pythonhosted.org/q-1.tar.gz", None, None, sha256),
+        ("bare", "to", "pypi", "q-1.tar.gz", "https://files.pythonhosted.org/q-1.tar.gz", None, None, None),
+    ]
+    requests = spark.createDataFrame(rows, "pair_id string, side string, ecosystem string, file_name string, url string, integrity string, shasum string, sha256 string")
+    got = {r.pair_id: r for r in release.files_of_requests(requests, opener=opener).collect()}
+    assert (got["ok"].path, got["ok"].text, got["py"].text) == ("index.js", "a", "a") and got["ok"].error is got["py"].error is None
+    assert "digest" in got["other"].error and "digest" in got["bare"].error and "status 404" in got["none"].error and got["host"].error
+    assert all(got[k].path is None for k in ("other", "none", "host", "bare"))
+
+
+def test_archives_of_pairs_by_their_names(spark):
+    from relsift.plans import release
+
+    names = ["left-pad-1.0.0.tgz", "Left_Pad-1.1.0.tgz", "core-2.0.0.tgz", "My_Pkg-1.0-py3-none-any.whl", "my.pkg-1.0.tar.gz", "my_pkg-1.1-py3-none-any.whl"]
+    found = spark.createDataFrame([(n, n.encode(), None) for n in names], "file_name string, content binary, error string")
+    pairs = spark.createDataFrame([("l", "left-pad", "1.0.0", "1.1.0"), ("c", "@scope/core", "1.9.0", "2.0.0"), ("p", "my-pkg", "1.0", "1.1")], "pair_id string, package string, from_version string, to_version string")
+    got = {(r.pair_id, r.side): (r.file_name, r.error) for r in release.archives_of(pairs, found).collect()}
+    assert got == {
+        ("l", "from"): ("left-pad-1.0.0.tgz", None), ("l", "to"): ("Left_Pad-1.1.0.tgz", None),
+        ("c", "from"): (None, "no archive of @scope/core@1.9.0"), ("c", "to"): ("core-2.0.0.tgz", None),
+        ("p", "from"): ("my.pkg-1.0.tar.gz", None), ("p", "to"): ("my_pkg-1.1-py3-none-any.whl", None),
+    }
+
+
+def test_unknown_versions_are_told_with_the_last_ones(spark):
+    from relsift.operators import history
+
+    releases = spark.createDataFrame([("a", f"1.{k}", f"{k:02}") for k in range(12)], "package string, version string, published_at string")
+    locked = spark.createDataFrame([("a", "1.5"), ("a", "1.0"), ("a", "9.9"), ("b", "1")], "package string, version string")
+    got = {(r.package, r.to_version): (r.from_version, r.error) for r in history.scan_entries(locked, releases).collect()}
+    assert got[("a", "1.5")] == ("1.4", None)
+    assert got[("a", "1.0")][1] == "no earlier published version of a@1.0" and got[("b", "1")][1] == "no earlier published version of b@1"
+    assert got[("a", "9.9")][1] == "a has no version 9.9; its last ones are 1.10, 1.11, 1.2, 1.3, 1.4, 1.5, 1.6, 1.7, 1.8, 1.9"
