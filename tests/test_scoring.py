@@ -131,7 +131,7 @@ def test_feeds(spark):
     cards = spark.createDataFrame([("o/a", 3.9, None, [("Maintained", 4), ("Other", 1)]), ("o/b", None, 8.0, [])], "slug string, score double, aggregate_score double, checks array<struct<name:string,score:int>>")
     got = {r.pair_id: r.feed for r in feeds.scorecard(p, repos, cards).collect()}
     assert {k: v.status for k, v in got.items()} == {"mal": "suspicious", "ok": "clean", "sus": "no_data", "down": "no_data"}
-    assert got["mal"].details == "Score: 3.9/10. Maintained=4"
+    assert got["mal"].details == "3.9 of 10; Maintained=4"
     added = spark.createDataFrame([("mal", ["fresh", "old"]), ("ok", []), ("sus", ["nowhere"])], "pair_id string, new_dependencies array<string>")
     stats = spark.createDataFrame([("npm", "fresh", 2, 1), ("npm", "old", 90, 5)], "ecosystem string, package string, versions long, maintainers long")
     got = {r.pair_id: r.feed.status for r in feeds.new_deps(p, added, stats).collect()}
