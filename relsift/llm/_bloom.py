@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 HASHES = 4
 #: A key's bits all lie in one segment of so many bits.
@@ -16,6 +17,8 @@ SEGMENT = 1 << 17
 #: Bits of a filter: least, and most (32 MB, which is what a broadcast may weigh).
 MIN_BITS, MAX_BITS = 1 << 20, 1 << 28
 BITS_A_KEY = 10
+#: Bits of a plain bit map are 2 to this power.
+MAP_BITS = 24
 
 
 def bits_for(n: int) -> int:
@@ -108,3 +111,19 @@ def contains(whole: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Flags of the hashes that may have been entered."""
     segment, bit = places(hashes, whole.shape[0] * SEGMENT)
     return np.all((whole[segment, bit >> 3] >> (7 - (bit & 7))) & 1, axis=0)
+
+
+def bit_map(terms: DataFrame, bits: int = MAP_BITS) -> np.ndarray:
+    """2**bits flags, packed, set for the low bits of the column term; made by tasks in parts of 4 KB, 2 MB in all at 24 bits."""
+    slot = F.col("term").bitwiseAND((1 << bits) - 1) + 1  # Spark numbers positions from 1 on
+    parts = terms.select(F.bitmap_bucket_number(slot).alias("part"), F.bitmap_bit_position(slot).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("flags"))
+    packed = np.zeros((1 << bits) >> 3, np.uint8)
+    for row in parts.collect():
+        packed[(row.part - 1) * len(row.flags) : row.part * len(row.flags)] = np.frombuffer(row.flags, np.uint8)
+    return packed
+
+
+def asked(packed: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which of the 64-bit h may be in the map."""
+    slot = (h & np.uint64(len(packed) * 8 - 1)).astype(np.int64)
+    return (packed[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0

@@ -30,12 +30,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str, kept: bool = False) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage is cut, and any lost executor's part is read again.
 
     An open `scratch` deletes it in the end, unless it is kept."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch = path

@@ -35,12 +35,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
 
+from relsift.llm import _bloom as bloom
 from relsift.llm import _text as T
 from relsift.llm._session import column, written
 
 WINDOW = 10
 RAREST = 2
-MAP_BITS = 24
 NULL_ID = -(1 << 63)
 
 
@@ -74,21 +74,6 @@ def digest(words: T.Words, at: int, n: int) -> bytes:
     return xxhash.xxh3_128_digest(b" ".join([words.data[a:z] for a, z in zip(words.starts[at : at + n], words.ends[at : at + n])]))
 
 
-def bit_map(terms: DataFrame) -> np.ndarray:
-    """2**MAP_BITS flags, packed, set for the low bits of the terms; made by tasks in parts of 4 KB, 2 MB in all."""
-    slot = F.col("term").bitwiseAND((1 << MAP_BITS) - 1) + 1  # Spark numbers positions from 1 on
-    parts = terms.select(F.bitmap_bucket_number(slot).alias("part"), F.bitmap_bit_position(slot).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("flags"))
-    packed = np.zeros((1 << MAP_BITS) >> 3, np.uint8)
-    for row in parts.collect():
-        packed[(row.part - 1) * len(row.flags) : row.part * len(row.flags)] = np.frombuffer(row.flags, np.uint8)
-    return packed
-
-
-def asked(packed: np.ndarray, h: np.ndarray) -> np.ndarray:
-    slot = (h & np.uint64((1 << MAP_BITS) - 1)).astype(np.int64)
-    return (packed[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
-
-
 def _texts(documents: DataFrame, *more: Column) -> DataFrame:
     text = F.col("text").cast("string")
     return documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("row"), *more)
@@ -96,7 +81,7 @@ def _texts(documents: DataFrame, *more: Column) -> DataFrame:
 
 def document_counts(documents: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, df): in how many rows of documents each of the terms stands."""
-    shared = documents.sparkSession.sparkContext.broadcast(bit_map(terms))
+    shared = documents.sparkSession.sparkContext.broadcast(bloom.bit_map(terms))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -105,7 +90,7 @@ def document_counts(documents: DataFrame, terms: DataFrame) -> DataFrame:
             for lo, hi in T.slices(texts):
                 words = T.Words([t.lower() for t in texts[lo:hi]], T.NON_WORD)
                 h, owner = term_hash(words), words.owner()
-                on = asked(shared.value, h)
+                on = bloom.asked(shared.value, h)
                 names, number = np.unique(h[on], return_inverse=True)
                 pairs = np.unique(number.astype(np.int64) << 32 | owner[on])
                 seen.append(names)
@@ -120,7 +105,7 @@ def document_counts(documents: DataFrame, terms: DataFrame) -> DataFrame:
 
 def positional_index(documents: DataFrame, terms: DataFrame) -> DataFrame:
     """Postings (term, doc_id, row, positions) of the terms (and of few others) in all documents."""
-    shared = documents.sparkSession.sparkContext.broadcast(bit_map(terms))
+    shared = documents.sparkSession.sparkContext.broadcast(bloom.bit_map(terms))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -129,7 +114,7 @@ def positional_index(documents: DataFrame, terms: DataFrame) -> DataFrame:
             for lo, hi in T.slices(texts):
                 words = T.Words([t.lower() for t in texts[lo:hi]], T.NON_WORD)
                 h, owner = term_hash(words), words.owner()
-                at = np.flatnonzero(asked(shared.value, h))
+                at = np.flatnonzero(bloom.asked(shared.value, h))
                 if not len(at):
                     continue
                 at = at[np.lexsort((h[at], owner[at]))]

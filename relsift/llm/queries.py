@@ -8,9 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relsift.llm import decontaminate, embedding_dedup, html_extract, line_dedup, mixing, quality, secrets, simhash, substring_dedup, toxicity
+from relsift.llm import decontaminate, embedding_dedup, html_extract, line_dedup, mixing, quality, secrets, simhash, substring_dedup, toxicity, warc
 from relsift.llm._labels import held_out
-from relsift.llm._session import prepare
+from relsift.llm._session import new_folder, prepare
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,7 +70,13 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_quality, op4_line_dedup, op5_html_text, op6_embedding_dedup, op7_decontaminate, op8_mix, op9_simhash, op10_substring_dedup)}
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(prepare(spark), "warc")
+    warc.archive(_table(spark, sf_dir, "pages"), folder)
+    return warc.pages(spark, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_quality, op4_line_dedup, op5_html_text, op6_embedding_dedup, op7_decontaminate, op8_mix, op9_simhash, op10_substring_dedup, op11_warc)}
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -137,4 +143,13 @@ kept as (select r, string_agg(word, ' ' order by p) as text from words anti join
 n as (select r, count(*) as n_removed from gone group by r)
 select doc_id, len(w)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(text, '')) as kept_sha256
 from d left join kept using (r) left join n using (r)""",
+    # base32 of the hex digits, five of them being four letters
+    "op11_warc": r"""
+with d as (select page_id, url, row_number() over () as r, coalesce(html, '') as p from pages),
+o as (select *, row_number() over (partition by p order by page_id desc nulls last, url desc nulls last, r) as nth, first_value(page_id) over (partition by p order by page_id desc nulls last, url desc nulls last, r) as head from d),
+h as (select *, list_transform(range(8), lambda g: ('0x' || substr(sha1(p), 5 * g + 1, 5))::bigint) as five from o)
+select page_id, strlen(p)::bigint as payload_bytes,
+  list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((five[i // 4 + 1] >> (15 - 5 * (i % 4))) & 31)::int + 1, 1)), 'string_agg', '') as payload_digest,
+  case when nth = 1 then 'response' else 'revisit' end as record_type, case when nth > 1 then head end as refers_to
+from h""",
 }
