@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relsift.llm import decontaminate, embedding_dedup, html_extract, line_dedup, mixing, quality, secrets, simhash, substring_dedup, toxicity, warc
+from relsift.llm import decontaminate, embedding_dedup, html_extract, line_dedup, mixing, quality, secrets, simhash, substring_dedup, tokenizer_alignment, toxicity, warc
 from relsift.llm._labels import held_out
 from relsift.llm._session import new_folder, prepare
 
@@ -76,7 +76,11 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.pages(spark, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_quality, op4_line_dedup, op5_html_text, op6_embedding_dedup, op7_decontaminate, op8_mix, op9_simhash, op10_substring_dedup, op11_warc)}
+def op13_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenizer_alignment.aligned(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_quality, op4_line_dedup, op5_html_text, op6_embedding_dedup, op7_decontaminate, op8_mix, op9_simhash, op10_substring_dedup, op11_warc, op13_align)}
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
