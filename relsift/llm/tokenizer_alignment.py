@@ -39,7 +39,7 @@ from relsift.llm._session import written
 
 BLOCK = 4 << 20
 #: A cache of more chunks, or characters, than this takes up only what a block holds twice; at three times as many it begins anew.
-MOST_CHUNKS, MOST_CHARS = 500_000, 1 << 24
+MOST_CHUNKS, MOST_CHARS = 250_000, 1 << 23
 #: Where a text may be cut: the character before is no white space of any kind.
 _CUT = re.compile(r"(?<=\S)(?= )")
 _ODD = re.compile(r"\s ")
@@ -294,8 +294,10 @@ def encoded(documents: DataFrame, a: str, b: str, block: int = BLOCK) -> DataFra
             for lo, hi in T.slices(texts, block):
                 made = tool.block(texts[lo:hi])
                 row = [task << 33 | number, ids.slice(lo, hi - lo), *made.pop("sums").T, *made.values()]
+                made.clear()
                 yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), *(pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, kind.value_type) if not isinstance(x, pa.Array) else x) for x, kind in zip(row[1:], _KINDS[1:]))], names=_NAMES)
                 number += 1
+        tool.clear()  # the worker process waits beside later stages' tasks: only the tokenizers stay
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.spark_partition_id().cast("long").alias("task"))
     return rows.mapInArrow(run, BLOCKS)
