@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relsift.llm import decontaminate, embedding_dedup, html_extract, line_dedup, mixing, quality, secrets, simhash, substring_dedup, tokenizer_alignment, toxicity, warc
+from relsift.llm import collocations, decontaminate, embedding_dedup, html_extract, line_dedup, mixing, quality, secrets, simhash, substring_dedup, tokenizer_alignment, toxicity, warc
 from relsift.llm._labels import held_out
 from relsift.llm._session import new_folder, prepare
 
@@ -76,11 +76,15 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.pages(spark, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def op13_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer_alignment.aligned(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_quality, op4_line_dedup, op5_html_text, op6_embedding_dedup, op7_decontaminate, op8_mix, op9_simhash, op10_substring_dedup, op11_warc, op13_align)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_quality, op4_line_dedup, op5_html_text, op6_embedding_dedup, op7_decontaminate, op8_mix, op9_simhash, op10_substring_dedup, op11_warc, op12_collocations, op13_align)}
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -156,4 +160,19 @@ select page_id, strlen(p)::bigint as payload_bytes,
   list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((five[i // 4 + 1] >> (15 - 5 * (i % 4))) & 31)::int + 1, 1)), 'string_agg', '') as payload_digest,
   case when nth = 1 then 'response' else 'revisit' end as record_type, case when nth > 1 then head end as refers_to
 from h""",
+    "op12_collocations": rf"""
+with p as (select coalesce(lang, 'und') as lang, row_number() over () as r, unnest(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) as piece from documents),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from p),
+n as (select lang, sum(len(w))::hugeint as n from w group by lang),
+g as (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from w, range(1, 6) t(k)),
+f as (select lang, k, list_slice(w, i, i + k - 1) as ws, count(*) as f from g where len(w) >= k group by all having count(*) >= 100),
+t as (select lang, k, ws, array_to_string(ws, ' ') as phrase, f from f),
+longer as (select lang, part as phrase, max(f) as most from (select lang, f, unnest([array_to_string(ws[1:k-1], ' '), array_to_string(ws[2:k], ' ')]) as part from t where k > 2) group by all),
+c as (select t.* from t left join longer using (lang, phrase) where k > 1 and (most is null or most < f)),
+cuts as (select lang, phrase, f as a, cut, array_to_string(ws[1:cut], ' ') as first, array_to_string(ws[cut+1:k], ' ') as rest from (select *, unnest(range(1, k)) as cut from c)),
+s as (select cuts.*, x.f as l, y.f as r, n.n, (1000::hugeint * a * n) // (x.f::hugeint * y.f) as score
+  from cuts join t x on x.lang = cuts.lang and x.phrase = first join t y on y.lang = cuts.lang and y.phrase = rest join n on n.lang = cuts.lang),
+b as (select * from s qualify row_number() over (partition by lang, phrase order by score, cut) = 1)
+select lang, rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score::bigint as score
+from (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from b) where rank <= 2000""",
 }
