@@ -139,11 +139,13 @@ def file_diffs(files: DataFrame, settings: Settings = Settings()) -> DataFrame:
     return rest.select("pair_id", "path", "change_type", count.alias("lines_added"), F.lit(0).cast("long").alias("lines_removed"), body.alias("unified_diff"), (F.col("oversized") & (F.col("change_type") != REMOVED)).alias("oversized")).unionByName(modified)
 
 
-def summaries(diffs: DataFrame) -> DataFrame:
-    """One row a pair: names by kind, sorted; diffs as modified then added by path (L01); total lines."""
+def summaries(diffs: DataFrame, texts: bool = True) -> DataFrame:
+    """One row a pair: names by kind, sorted; diffs as modified then added by path (L01); total lines.
+
+    Without texts the diffs are listed by path, kind and counts: a pair's row then follows its files' number and not their size."""
     kind = lambda k: F.sort_array(F.collect_list(F.when(F.col("change_type") == k, F.col("path"))))
     rank = F.when(F.col("change_type") == MODIFIED, 0).otherwise(1)
-    one = F.struct(rank.alias("rank"), F.col("path"), F.col("change_type"), F.col("lines_added"), F.col("lines_removed"), F.col("unified_diff"))
+    one = F.struct(rank.alias("rank"), F.col("path"), F.col("change_type"), F.col("lines_added"), F.col("lines_removed"), F.col("unified_diff") if texts else F.lit(None).cast("string").alias("unified_diff"))
     out = diffs.groupBy("pair_id").agg(
         kind(ADDED).alias("files_added"),
         kind(REMOVED).alias("files_removed"),

@@ -257,7 +257,7 @@ def release_reports(spark, sf_dir):
     """The whole plan, archives aside: a source is a package, the stub scorer rates."""
     docs = table(spark, sf_dir, "documents")
     pairs = docs.select(F.col("source").alias("pair_id")).distinct().select("pair_id", F.lit("npm").alias("ecosystem"), F.col("pair_id").alias("package"), F.lit("1").alias("from_version"), F.lit("2").alias("to_version"))
-    out = release.reports(pairs, tree.with_facts(release_files(docs)))
+    out = release.reports(pairs, tree.with_facts(release_files(docs)), texts=False)
     n = lambda c: F.size(f"diff_summary.files_{c}").cast("long").alias(f"n_{c}")
     return out.select("package", n("added"), n("removed"), n("modified"), "risk_score", "severity", scoring.decomposes(out).alias("decomposes"))
 

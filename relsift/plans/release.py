@@ -13,6 +13,7 @@ from relsift.functions.feeds import no_feeds
 from relsift.functions.scoring import caveats, scored
 from relsift.operators import chunk, history, metadata, scorers, strip, tree
 from relsift.schemas import SCHEMA_VERSION, SUMMARY
+from relsift.session import written
 from relsift.settings import Settings
 from relsift.sources import archives, fetch
 
@@ -29,15 +30,20 @@ def timed(into: dict, name: str):
         into[name] = round(time.monotonic() - began, 3)
 
 
-def diff_summaries(pairs: DataFrame, files: DataFrame, settings: Settings = Settings(), strip_comments: bool = False) -> DataFrame:
-    """(pair_id, summary) of pairs whose files are (pair_id, side, path, text, size, sha256)."""
+def diffs_of(files: DataFrame, settings: Settings = Settings(), strip_comments: bool = False) -> DataFrame:
+    """The files' diffs, as a table that summaries and chunks read."""
     diffs = tree.file_diffs(files, settings)
+    return written(strip.stripped(diffs) if strip_comments else diffs, "diffs")
+
+
+def diff_summaries(pairs: DataFrame, files: DataFrame, settings: Settings = Settings(), strip_comments: bool = False, diffs: DataFrame | None = None, texts: bool = True) -> DataFrame:
+    """(pair_id, summary) of pairs whose files are (pair_id, side, path, text, size, sha256)."""
+    diffs = diffs_of(files, settings, strip_comments) if diffs is None else diffs
     gone = None
     if strip_comments:
-        diffs = strip.stripped(diffs)
         gone = diffs.groupBy("pair_id").agg(F.sum("comment_lines_stripped").alias("comment_lines_stripped"))
         diffs = diffs.drop("comment_lines_stripped")
-    found = pairs.select("pair_id").join(tree.summaries(diffs), "pair_id", "left").join(metadata.metadata_diff(files), "pair_id", "left")
+    found = pairs.select("pair_id").join(tree.summaries(diffs, texts), "pair_id", "left").join(metadata.metadata_diff(files), "pair_id", "left")
     found = found.join(gone, "pair_id", "left") if gone is not None else found.withColumn("comment_lines_stripped", F.lit(0).cast("long"))
     kinds = dict(found.dtypes)
     empty = {"string": F.lit(""), "boolean": F.lit(False), "bigint": F.lit(0).cast("long")}
@@ -60,19 +66,21 @@ def _with_bookkeeping(summaries: DataFrame, kept: DataFrame) -> DataFrame:
     return summaries.join(kept, "pair_id").select("pair_id", s.alias("summary"))
 
 
-def reports(pairs: DataFrame, files: DataFrame, feeds: DataFrame | None = None, scorer: Callable[[DataFrame], DataFrame] | None = None, settings: Settings = Settings(), strip_comments: bool = False, split_large: bool = False, model: str = "stub") -> DataFrame:
+def reports(pairs: DataFrame, files: DataFrame, feeds: DataFrame | None = None, scorer: Callable[[DataFrame], DataFrame] | None = None, settings: Settings = Settings(), strip_comments: bool = False, split_large: bool = False, model: str = "stub", texts: bool = True) -> DataFrame:
     """One report a pair (lifecycle of a diff). scorer maps chunks to responses; without one the stub rates.
 
     feeds: (pair_id, feed_results); without them all are no_data. files may have a column error, as those
     of archives do: a pair with one is not compared. A pair with such an error, or whose scorer failed, has an
-    error and no score; the columns are those of a report, and pair_id and error.
+    error and no score; the columns are those of a report, and pair_id and error. texts: whether reports hold the diffs
+    themselves; chunks for the scorer do in any case.
     """
     faults = None
     if "error" in files.columns:
         faults = files.where("error is not null").groupBy("pair_id").agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws(" archive: ", "side", "error"))), "; ").alias("fault"))
         files = files.join(faults, "pair_id", "left_anti").drop("error")
-    summed = diff_summaries(pairs, files, settings, strip_comments)
-    pieces, kept = chunk.chunks(summed, settings, split_large)
+    diffs = diffs_of(files, settings, strip_comments)
+    summed = diff_summaries(pairs, files, settings, strip_comments, diffs, texts)
+    pieces, kept = chunk.chunks(summed, settings, split_large, diffs)
     summed = _with_bookkeeping(summed, kept)
     rated = scorers.rated_dimensions(scorer(pieces)) if scorer else scorers.stub(pairs)
     feeds = no_feeds(pairs) if feeds is None else feeds

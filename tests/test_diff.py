@@ -131,24 +131,6 @@ def test_giant_line_is_cut():
     assert [len(x) for x in chunk.segments("x" * 10_000, 3000)] == [3000, 3000, 3000, 1000] or "".join(chunk.segments("x" * 10_000, 3000)) == "x" * 10_000
 
 
-def fold(sizes, budget, most, base, restart):
-    out, used, k = [], base, 0
-    for n in sizes:
-        if used + n > budget and used > base:
-            k, used = k + 1, base + restart + n
-        else:
-            used += n
-        out.append(k if most is None or k < most else -1)
-    return out
-
-
-@settings(max_examples=8, deadline=None)
-@given(st.lists(st.integers(0, 50), max_size=20), st.integers(10, 60), st.sampled_from([None, 2]), st.integers(0, 9))
-def test_packing(spark_session, sizes, budget, most, base):
-    df = spark_session.createDataFrame([(sizes,)], "s array<int>")
-    assert df.select(chunk.pack(F.col("s"), budget, most=most, base=base, restart=3)).first()[0] == fold(sizes, budget, most, base, 3)
-
-
 def chunked(spark, rows, s, split=False):
     summed = release.diff_summaries(pairs(spark), files(spark, rows), s)
     out, kept = chunk.chunks(summed, s, split)
