@@ -2,69 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-from pathlib import Path
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from relsift.session import prepare  # noqa: F401  for the queries
-
-#: Paths written since each open `scratch` began.
-_OPEN: list[list[DataFrame]] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, spark.checkpoint.dir; a folder of our own only where it is unset and all runs on this machine."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if spark.sparkContext.master.partition("[")[0] != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = Path(tempfile.mkdtemp(prefix="relsift-")).as_uri()
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str, kept: bool = False) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage is cut, and any lost executor's part is read again.
-
-    An open `scratch` deletes it in the end, unless it is kept."""
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.scratch = path
-    if _OPEN and not kept:
-        _OPEN[-1].append(out)
-    return out
-
-
-def dropped(*tables: DataFrame) -> None:
-    """Deletes tables made by `written` that nothing will read again, to spare the shared folder."""
-    for t in tables:
-        spark = t.sparkSession
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t.scratch)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-@contextmanager
-def scratch() -> Iterator[None]:
-    """Deletes all tables that operators write within it. Results are lazy and read them: write results inside."""
-    _OPEN.append([])
-    try:
-        yield
-    finally:
-        dropped(*_OPEN.pop())
+from relsift.session import dropped, new_folder, prepare, scratch, shared_folder, written  # noqa: F401  for this subpackage
 
 
 def column(name: str, of: str | None = None) -> Column:

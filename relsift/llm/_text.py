@@ -66,6 +66,17 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def strings(values: list[bytes | None]) -> pa.Array:
+    """A string column of these bytes as they are. What isn't UTF-8 stays so: it is neither checked nor mended."""
+    made = pa.array(values, pa.binary())
+    return pa.StringArray.from_buffers(len(made), *made.buffers()[1:], made.buffers()[0], made.null_count)
+
+
+def code_points(text: bytes) -> int:
+    """Characters of UTF-8; of other bytes, those that don't continue one."""
+    return len(text) if text.isascii() else int(np.count_nonzero(np.frombuffer(text, np.uint8) & 0xC0 != 0x80))
+
+
 def slices(texts: list[bytes], limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges holding at most limit bytes each, or one longer text alone."""
     lo = size = 0

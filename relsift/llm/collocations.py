@@ -99,12 +99,6 @@ def _languages(batch: pa.RecordBatch) -> Iterator[tuple[str, Pieces]]:
                 yield lang, pieces
 
 
-def _strings(values: list[bytes]) -> pa.Array:
-    """A string column of these bytes, valid UTF-8 or not."""
-    made = pa.array(values, pa.binary())
-    return pa.StringArray.from_buffers(len(made), *made.buffers()[1:])
-
-
 def _rows(documents: DataFrame) -> DataFrame:
     return documents.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
 
@@ -116,7 +110,7 @@ def word_counts(documents: DataFrame) -> DataFrame:
         held: dict[tuple[str, bytes], list[int]] = {}
 
         def flushed() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in held]), _strings([k[1] for k in held]), pa.array([v[0] for v in held.values()], pa.int64()), pa.array([v[1] for v in held.values()], pa.int64())], ["lang", "phrase", "term", "f"])
+            out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in held]), T.strings([k[1] for k in held]), pa.array([v[0] for v in held.values()], pa.int64()), pa.array([v[1] for v in held.values()], pa.int64())], ["lang", "phrase", "term", "f"])
             held.clear()
             return out
 
@@ -184,7 +178,7 @@ def projections(documents: DataFrame, words: np.ndarray, pairs: np.ndarray, long
         held: dict[tuple[str, bytes], int] = {}
 
         def flushed() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in held]), _strings([k[1] for k in held]), pa.array(list(held.values()), pa.int64())], ["lang", "words", "weight"])
+            out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in held]), T.strings([k[1] for k in held]), pa.array(list(held.values()), pa.int64())], ["lang", "words", "weight"])
             held.clear()
             return out
 
@@ -215,7 +209,7 @@ def grown(projected: DataFrame, least: int) -> DataFrame:
             langs, weight = b.column("lang").dictionary_encode(), b.column("weight").to_numpy()
             data = T.as_bytes(b.column("words"))
             out = intervals(langs.indices.to_numpy(), data, weight, least)
-            yield pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array([o[0] for o in out], pa.int64())), _strings([o[1] for o in out]), pa.array([o[1].count(b" ") + 1 for o in out], pa.int32()), pa.array([o[2] for o in out], pa.int64())], ["lang", "phrase", "size", "f"])
+            yield pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array([o[0] for o in out], pa.int64())), T.strings([o[1] for o in out]), pa.array([o[1].count(b" ") + 1 for o in out], pa.int32()), pa.array([o[2] for o in out], pa.int64())], ["lang", "phrase", "size", "f"])
 
     ordered = projected.repartitionByRange("lang", "words").sortWithinPartitions("lang", "words")
     return ordered.mapInArrow(run, "lang string, phrase string, size int, f long").groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).where(F.col("f") >= least)

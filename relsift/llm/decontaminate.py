@@ -12,7 +12,8 @@ window. The steps:
    (2 MB), which may let a term too many through and never one too few.
 4. Each window's lists, shifted by its terms' offsets, are intersected from the rarest term
    on: what is left are (window, doc_id, start).
-5. An exact check of the few candidates on the documents' words, by 128-bit digests.
+5. An exact check of the few candidates on the documents' words, by 128-bit digests. Items are joined to windows that passed it, and
+   never travel with candidates.
 
 Documents meet their candidates by doc_id, so a passage that very many documents hold costs
 each of them a short list. Nothing is paired document by document.
@@ -25,7 +26,6 @@ pass through `decontaminated`, save that a column leak of the input gives way to
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -145,18 +145,16 @@ def starts(index: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def owners(windows: DataFrame) -> DataFrame:
-    """(digest, items): the items that have a window."""
-    return windows.groupBy("digest").agg(F.collect_set("item_id").alias("items"))
+    """(digest, item_id), each once."""
+    return windows.select("digest", "item_id").distinct()
 
 
-def candidates(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, row, found): each text's list of windows that the index places in it, with their items."""
-    windows = written(item_windows(benchmark, window), "windows")
+def candidates(documents: DataFrame, windows: DataFrame) -> DataFrame:
+    """(doc_id, row, found): each text's list (n, digest, start) of windows that the index places in it, at most its words' number."""
     counts = document_counts(documents, windows.select(F.explode("terms").alias("term")))
     chosen = written(rarest_terms(windows, counts), "chosen")
     index = written(positional_index(documents, chosen.select("term")), "index")
-    placed = starts(index, chosen).join(owners(windows), "digest")
-    return placed.groupBy("doc_id", "row").agg(F.collect_list(F.struct("n", "digest", "start", "items")).alias("found"))
+    return starts(index, chosen).groupBy("doc_id", "row").agg(F.collect_list(F.struct("n", "digest", "start")).alias("found"))
 
 
 def proximity(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, terms: int = 4, slop: int = 3) -> DataFrame:
@@ -178,39 +176,60 @@ def proximity(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     near = anchors.join(placed.drop("least", "of"), ["digest", "doc_id", "row"]).where(F.abs(F.col("at") - F.col("start")) <= slop)
     met = near.groupBy("doc_id", "row", "digest", "start", "by", "least").agg(F.bit_count(F.bit_or(F.expr("shiftleft(1, rank - 1)"))).cast("long").alias("n_terms"), F.min("rank").alias("first"))
     met = met.where("n_terms >= least and first = by").join(owners(windows), "digest")
-    return met.select(F.nullif("doc_id", F.lit(NULL_ID)).alias("doc_id"), F.explode("items").alias("item_id"), "digest", "start", "n_terms")
+    return met.select(F.nullif("doc_id", F.lit(NULL_ID)).alias("doc_id"), "item_id", "digest", "start", "n_terms")
 
 
-LEAK = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items", pa.list_(pa.string())), ("items_sha256", pa.string())])
+HITS = "struct<n_words: long, n_hit: long, windows: array<binary>>"
 
 
-def decontaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, leak: str = "leak") -> DataFrame:
-    """The documents with all their columns, and a struct named as `leak` says: n_words, n_hit, n_items, items (sorted), items_sha256."""
-    found = candidates(documents, benchmark, window)
-    rest = [c for c in documents.columns if c != leak]
-    packed = _texts(documents, F.struct(*map(column, rest)).alias("whole")).drop("text")
-    joined = packed.join(found.hint("shuffle_hash"), ["doc_id", "row"], "left").select("whole", F.col("whole.text").cast("string").alias("text"), "found")
+def verified(documents: DataFrame, windows: DataFrame) -> DataFrame:
+    """(whole, hits): all columns of documents, and as HITS says the words, those hit, and the windows that occur, each once.
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Texts meet their candidates once. Of a slice of texts the candidates are flat arrays; items play no part here.
+    """
+    packed = _texts(documents, F.struct(*map(column, documents.columns)).alias("whole")).drop("text")
+    joined = packed.join(candidates(documents, windows).hint("shuffle_hash"), ["doc_id", "row"], "left").select("whole", F.col("whole.text").cast("string").alias("text"), "found")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, found = T.as_bytes(b.column("text")), b.column("found")
-            out = []
+            texts = T.as_bytes(b.column("text"))
             for lo, hi in T.slices(texts):
                 words = T.Words([t.lower() for t in texts[lo:hi]], T.NON_WORD)
-                for i in range(lo, hi):
-                    first, last = words.first[i - lo], words.first[i - lo + 1]
-                    hit, items = None, set()
-                    if found[i].is_valid:
-                        hit = np.zeros(last - first, bool)
-                        for c in found[i].as_py():
-                            at, n = first + c["start"], c["n"]
-                            if at + n <= last and digest(words, at, n) == c["digest"]:
-                                hit[c["start"] : c["start"] + n] = True
-                                items.update(c["items"])
-                    names = sorted(items, key=str.encode)
-                    out.append({"n_words": int(last - first), "n_hit": 0 if hit is None else int(hit.sum()), "n_items": len(names), "items": names, "items_sha256": hashlib.sha256(",".join(names).encode()).hexdigest()})
-            yield pa.RecordBatch.from_arrays([b.column("whole"), pa.array(out, LEAK)], ["whole", "leak"])
-
-    kind = DataType.fromDDL("struct<n_words: long, n_hit: long, n_items: long, items: array<string>, items_sha256: string>")
-    out = joined.mapInArrow(verify, StructType([joined.schema["whole"]]).add("leak", kind))
-    return out.select(*[column(c, "whole") for c in rest], F.col("leak").alias(leak))
+                found = b.column("found").slice(lo, hi - lo)
+                flat, sizes = found.flatten(), found.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                n, start = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("n", "start"))
+                digests, owner = flat.field("digest"), np.repeat(np.arange(hi - lo), sizes)
+                at = words.first[owner] + start
+                inside = at + n <= words.first[owner + 1]
+                true = np.array([bool(ok) and digest(words, i, k) == digests[j].as_py() for j, (ok, i, k) in enumerate(zip(inside.tolist(), at.tolist(), n.tolist()))], bool)
+                # words from the first to the last of a window, by differences
+                marks = np.zeros(len(words) + 1, np.int64)
+                np.add.at(marks, at[true], 1)
+                np.add.at(marks, (at + n)[true], -1)
+                hit = np.concatenate([[0], np.cumsum(np.cumsum(marks[:-1]) > 0)])
+                kept = digests.filter(pa.array(true))
+                # a window that stands in a text twice is told once
+                number = kept.dictionary_encode().indices.to_numpy(zero_copy_only=False) if len(kept) else np.empty(0, np.int64)
+                _, once = np.unique(owner[true] * (len(kept) + 1) + number, return_index=True)
+                bounds = np.searchsorted(owner[true][once], np.arange(hi - lo + 1)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(bounds), kept.take(pa.array(once)).cast(pa.binary()))
+                hits = pa.StructArray.from_arrays([pa.array(np.diff(words.first).astype(np.int64)), pa.array(np.diff(hit[words.first]).astype(np.int64)), lists], ["n_words", "n_hit", "windows"])
+                yield pa.RecordBatch.from_arrays([b.column("whole").slice(lo, hi - lo), hits], ["whole", "hits"])
+
+    return joined.mapInArrow(run, StructType([joined.schema["whole"]]).add("hits", DataType.fromDDL(HITS)))
+
+
+def leaks(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(doc_id, n_words, n_hit, items, n_items, items_sha256) of each document: items are sorted, and joined to what occurs at the very end."""
+    windows = written(item_windows(benchmark, window), "windows")
+    hits = verified(documents.select("doc_id", "text"), windows)
+    found = written(hits.select("whole.doc_id", "hits.*").withColumn("id", F.monotonically_increasing_id()), "hits")
+    named = found.select("id", F.explode("windows").alias("digest")).join(owners(windows), "digest").groupBy("id").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    items = F.coalesce("items", F.array().cast("array<string>"))
+    return found.join(named, "id", "left").select("doc_id", "n_words", "n_hit", items.alias("items"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"))
+
+
+def decontaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, leak: str = "leak") -> DataFrame:
+    """The documents with all their columns, and a struct named as `leak` says: n_words, n_hit, and windows, digests of those that occur."""
+    out = verified(documents.select(*[column(c) for c in documents.columns if c != leak]), written(item_windows(benchmark, window), "windows"))
+    return out.select(*[column(c, "whole") for c in documents.columns if c != leak], F.col("hits").alias(leak))

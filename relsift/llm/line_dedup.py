@@ -44,7 +44,7 @@ def line_keys(text: bytes) -> tuple[list[bytes], list[bytes]]:
     """(lines, keys); a key too short to count is empty."""
     lines = text.split(b"\n")
     keys = [x.strip(STRIPPED).lower() for x in lines]
-    return lines, [k if len(k) >= MIN_CHARS and (k.isascii() or len(k.decode()) >= MIN_CHARS) else b"" for k in keys]
+    return lines, [k if len(k) >= MIN_CHARS and T.code_points(k) >= MIN_CHARS else b"" for k in keys]
 
 
 def distinct_hashes(text: bytes) -> np.ndarray:
@@ -123,7 +123,7 @@ def line_dedup(documents: DataFrame, bits: int | None = None, counts: bool = Tru
                 texts.append(b"\n".join(kept))
                 lines_before.append(len(lines))
                 dropped.append(len(lines) - len(kept))
-            yield pa.RecordBatch.from_arrays([b.column("rest"), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(lines_before, pa.int64()), pa.array(dropped, pa.int64())], ["rest", "text", "n_lines", "n_dropped"])
+            yield pa.RecordBatch.from_arrays([b.column("rest"), T.strings(texts), pa.array(lines_before, pa.int64()), pa.array(dropped, pa.int64())], ["rest", "text", "n_lines", "n_dropped"])
 
     out = joined.mapInArrow(cut, StructType([joined.schema["rest"]]).add("text", "string").add("n_lines", "long").add("n_dropped", "long"))
     ordered = [F.col("text") if c == "text" else column(c, "rest") for c in documents.columns if c in ("text", *others)]

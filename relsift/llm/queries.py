@@ -53,8 +53,8 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = decontaminate.decontaminated(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
-    return out.select("doc_id", "leak.n_words", "leak.n_hit", "leak.n_items", "leak.items_sha256", (F.col("leak.n_hit") > 0).alias("contaminated"))
+    out = decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

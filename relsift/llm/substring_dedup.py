@@ -256,7 +256,7 @@ def substring_dedup(documents: DataFrame, span: int = SPAN) -> DataFrame:
                 n_words.append(len(words))
                 n_removed.append(len(words) - len(kept))
                 texts.append(b" ".join(kept))
-            yield pa.RecordBatch.from_arrays([b.column("rest"), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], ["rest", "text", "n_words", "n_removed"])
+            yield pa.RecordBatch.from_arrays([b.column("rest"), T.strings(texts), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], ["rest", "text", "n_words", "n_removed"])
 
     kind = StructType([joined.schema["rest"]]).add("text", "string").add("n_words", "long").add("n_removed", "long")
     out = joined.mapInArrow(cut, kind)

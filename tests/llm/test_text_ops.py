@@ -134,9 +134,11 @@ def test_decontamination(ready):
     ]
     for benchmark in (items, [], [(1, None)]):
         b = ready.createDataFrame(benchmark, "item_id long, text string")
+        want = brute_leaks(docs, benchmark)
+        assert rows_of(decontaminate.leaks(documents(ready, docs, extra=True).repartition(4), b), "doc_id", "n_words", "n_hit", "n_items", "items_sha256") == want
         out = decontaminate.decontaminated(documents(ready, docs, extra=True).repartition(4), b)
-        got = rows_of(out.select("doc_id", "leak.*"), "doc_id", "n_words", "n_hit", "n_items", "items_sha256")
-        assert got == brute_leaks(docs, benchmark)
+        got = out.selectExpr("doc_id", "leak.n_words", "leak.n_hit", "size(leak.windows) > 0 as some")
+        assert rows_of(got, "doc_id", "n_words", "n_hit", "some") == sorted(((*r[:3], r[3] > 0) for r in want), key=repr)
     assert out.where("row <> 'mine' or found <> 'mine'").count() == 0
     assert decontaminate.decontaminated(documents(ready, docs).limit(0), b).count() == 0
 
@@ -394,3 +396,18 @@ def test_components_of_hubs_without_a_single_task(ready):
         got = {r.node: r.root for r in find(ready.createDataFrame(edges, "a long, b long"), alone).collect()}
         assert got == {i: 0 for e in edges if e[0] < 20_000 for i in e if i} | {20_001 + i: 20_000 for i in range(70)}
 
+
+def test_bytes_that_are_no_utf8(ready):
+    """They are kept as they are; a byte that begins nothing counts as a character."""
+    made = "select cast({} as long) doc_id, cast(unhex('{}') as string) text, 'en' lang, 's' source, 0L n_chars"
+    line = b"ten \xff chars\xc3"
+    words = b" ".join(b"w%d\xfe" % i for i in range(50))
+    rows = [(1, line + b"\nmine"), (2, line + b"\nother"), (3, words), (4, b"x " + words)]
+    docs = ready.sql(" union all ".join(made.format(i, t.hex()) for i, t in rows))
+    got = {r.doc_id: (bytes(r.t), r.n_dropped) for r in line_dedup.line_dedup(docs).selectExpr("doc_id", "cast(text as binary) t", "n_dropped").collect()}
+    assert got == {1: (rows[0][1], 0), 2: (b"other", 1), 3: (words, 0), 4: (b"x " + words, 0)}
+    got = {r.doc_id: (bytes(r.t), r.n_removed) for r in substring_dedup.substring_dedup(docs).selectExpr("doc_id", "cast(text as binary) t", "n_removed").collect()}
+    assert got[3] == (words, 0) and got[4] == (b"x", 50)
+    items = ready.sql("select 1L item_id, cast(unhex('{}') as string) text".format(words.hex()))
+    assert {r.doc_id: r.n_hit for r in decontaminate.leaks(docs, items).collect()} == {1: 0, 2: 0, 3: 50, 4: 50}
+    assert mixing.mixed(docs).count() == simhash.near_duplicates(docs).count() == 4
