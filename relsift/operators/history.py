@@ -5,11 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from relsift.session import written
+
 
 def predecessors(releases: DataFrame, by: list[str], order: list[str], version: str) -> DataFrame:
-    """Adds previous_version: the one published just before, by time and not by version number; null for the first."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return releases.withColumn("previous_version", F.lag(version).over(w))
+    """Adds previous_version: the one published just before, by time and not by version number; null for the first.
+
+    Rows are sorted by package and time and dealt by range, so that a package with very many releases is several tasks' work;
+    each range's last release of a package is carried to the next range that has it.
+    """
+    ordered = releases.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumns({"__part": F.spark_partition_id(), "__n": F.monotonically_increasing_id()})
+    ordered = written(ordered, "releases")
+    # one package within one range
+    own = Window.partitionBy("__part", *by).orderBy("__n")
+    near = ordered.withColumns({"__first": F.row_number().over(own) == 1, "__near": F.lag(version).over(own)})
+    lasts = ordered.groupBy("__part", *by).agg(F.max_by(version, "__n").alias("__last"))
+    # a row a range and package
+    carried = lasts.withColumn("__far", F.lag("__last").over(Window.partitionBy(*by).orderBy("__part"))).where("__far is not null")
+    a, b = near.alias("a"), carried.alias("b")
+    on = F.col("a.__first") & (F.col("a.__part") == F.col("b.__part"))
+    for c in by:
+        on &= F.equal_null(F.col(f"a.{c}"), F.col(f"b.{c}"))
+    return a.join(b, on, "left").select(*[F.col(f"a.{c}") for c in releases.columns], F.when(F.col("a.__first"), F.col("b.__far")).otherwise(F.col("a.__near")).alias("previous_version"))
 
 
 def locked_with_predecessor(locked: DataFrame, releases: DataFrame) -> DataFrame:

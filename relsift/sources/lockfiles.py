@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from relsift.session import new_folder
+
 #: Fixed value: an exact pin; a wildcard's trailing dot is none.
 PIN = r"^([A-Za-z0-9][A-Za-z0-9._-]*?)(?:\[[^\]]*\])?\s*==\s*([A-Za-z0-9.!+_-]+)"
 #: Ranges that no registry serves.
@@ -55,34 +57,26 @@ def requirements_pins(files: DataFrame) -> DataFrame:
 def yarn_pins(files: DataFrame) -> DataFrame:
     """Both yarn formats (S20, W05): a column-0 line ending in a colon names specifiers, its two-space version line the version.
 
-    Lines are folded into entries in the JVM; a file's lines stay together as one array.
+    Only these lines become rows; a version belongs to the last line at column 0 before it, and of several the last counts.
     """
-    kind = "struct<specs:string,version:string>"
-
-    def step(acc: Column, line: Column) -> Column:
-        blank = (F.trim(line) == "") | F.ltrim(line).startswith("#")
-        head = ~blank & ~line.rlike(r"^\s")
-        key = F.trim(F.regexp_replace(F.rtrim(line), ":$", ""))
-        named = F.when(F.rtrim(line).endswith(":") & (key != "__metadata"), key).otherwise("")
-        version = F.regexp_extract(line, r'^ {2}version[: ]\s*"?(\d[^"]*?)"?\s*$', 1)
-        closed = F.when(acc["version"] != "", F.concat(acc["out"], F.array(F.struct(acc["specs"].alias("specs"), acc["version"].alias("version"))))).otherwise(acc["out"])
-        return F.struct(
-            F.when(head, named).otherwise(acc["specs"]).alias("specs"),
-            F.when(head, "").when(~blank & (version != ""), version).otherwise(acc["version"]).alias("version"),
-            F.when(head, closed).otherwise(acc["out"]).alias("out"),
-        )
-
-    start = F.struct(F.lit("").alias("specs"), F.lit("").alias("version"), F.array().cast(f"array<{kind}>").alias("out"))
-    lines = F.concat(F.split("text", "\r\n|\n|\r"), F.array(F.lit("end")))
-    entries = files.select("file_name", F.explode(F.aggregate(lines, start, step, lambda a: a["out"])).alias("e"))
-    specs = entries.select("file_name", F.explode(F.split("e.specs", ",")).alias("spec"), F.col("e.version").alias("version"))
+    line = F.col("line")
+    blank = (F.trim(line) == "") | F.ltrim(line).startswith("#")
+    head = ~blank & ~line.rlike(r"^\s")
+    key = F.trim(F.regexp_replace(F.rtrim(line), ":$", ""))
+    named = F.when(F.rtrim(line).endswith(":") & (key != "__metadata"), key).otherwise("")
+    version = F.regexp_extract(line, r'^ {2}version[: ]\s*"?(\d[^"]*?)"?\s*$', 1)
+    told = _lines(files).select("file_name", "pos", F.when(head, F.struct("pos", named.alias("specs"))).alias("head"), F.when(~head & ~blank & (version != ""), version).alias("version")).where("head is not null or version is not null")
+    # a file is one text, which bounds its lines
+    before = Window.partitionBy("file_name").orderBy("pos")
+    carried = told.withColumn("head", F.last("head", True).over(before)).where("version is not null")
+    entries = carried.groupBy("file_name", "head").agg(F.max_by("version", "pos").alias("version"))
+    specs = entries.select("file_name", F.explode(F.split("head.specs", ",")).alias("spec"), "version")
     name = specifier_name(F.regexp_replace(F.trim("spec"), '^"+|"+$', ""))
     return specs.select("file_name", F.lit("npm").alias("ecosystem"), name.alias("name"), "version").where("name is not null").distinct()
 
 
 def npm_lock_pins(files: DataFrame) -> DataFrame:
-    """package-lock of all versions (S18, S19): the packages map, or else the nested dependencies, flattened level by level in SQL."""
-    spark = files.sparkSession
+    """package-lock of all versions (S18, S19): the packages map, or else the nested dependencies, flattened level by level."""
     parsed = files.select("file_name", F.try_parse_json("text").alias("j"))
     packages = F.try_variant_get("j", "$.packages", "map<string,variant>")
     flat = parsed.select("file_name", F.explode(packages).alias("key", "v")).select(
@@ -93,17 +87,30 @@ def npm_lock_pins(files: DataFrame) -> DataFrame:
     )
     new = flat.where("not link and name is not null and version <> ''").select("file_name", "name", "version")
     # variants don't recurse, their JSON text does
-    nested = parsed.where(packages.isNull()).select("file_name", F.to_json(F.try_variant_get("j", "$.dependencies", "variant")).alias("deps"))
-    nested.createOrReplaceTempView("__nested_locks")
-    old = spark.sql("""
-        with recursive tree(file_name, name, version, deps) as (
-            select file_name, cast(null as string), cast(null as string), deps from __nested_locks where deps is not null
-            union all
-            select t.file_name, k.key, try_variant_get(try_parse_json(k.value), '$.version', 'string'), get_json_object(k.value, '$.dependencies')
-            from tree t, lateral explode(from_json(t.deps, 'map<string,string>')) as k(key, value)
-            where t.deps is not null)
-        select file_name, name, version from tree where name is not null and version <> ''""")
-    return new.unionByName(old).select("file_name", F.lit("npm").alias("ecosystem"), "name", "version").distinct()
+    nested = parsed.where(packages.isNull()).select("file_name", F.to_json(F.try_variant_get("j", "$.dependencies", "variant")).alias("deps")).where("deps is not null")
+    return new.unionByName(_flattened(nested)).select("file_name", F.lit("npm").alias("ecosystem"), "name", "version").distinct()
+
+
+def _flattened(nested: DataFrame) -> DataFrame:
+    """(file_name, name, version) of nested dependencies (file_name, deps), of any number and depth.
+
+    Level by level: the frontier of a level is a written table that holds what stands below, and the next level
+    reads it alone, until none is left.
+    """
+    spark = nested.sparkSession
+    folder = new_folder(spark, "levels")
+    kind = "file_name string, name string, version string, deps string"
+    level = 0
+    while True:
+        inner = nested.select("file_name", F.explode(F.from_json("deps", "map<string,string>")).alias("name", "value"))
+        rows = inner.select("file_name", "name", F.try_variant_get(F.try_parse_json("value"), "$.version", "string").alias("version"), F.get_json_object("value", "$.dependencies").alias("deps"))
+        rows.write.parquet(f"{folder}/level={level}")
+        made = spark.read.schema(kind).parquet(f"{folder}/level={level}")
+        nested = made.where("deps is not null").select("file_name", "deps")
+        if nested.isEmpty():
+            break
+        level += 1
+    return spark.read.schema(kind).parquet(folder).where("name is not null and version <> ''").select("file_name", "name", "version")
 
 
 def parse_lockfiles(files: DataFrame) -> DataFrame:

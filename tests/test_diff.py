@@ -97,6 +97,10 @@ STRIPPED = [
     ("x.js", "+/* a\n--- b\n+*/", "+/* a\n--- b\n+*/", 0),
     ("x.js", "+/* a\n\n+*/", "+/* a\n\n+*/", 0),
     ("x.js", "+/* one\n+ two */\n+a", "+a", 2),
+    ("x.js", "+/* a\n" * 300_000 + "+x", "+/* a\n" * 300_000 + "+x", 0),  # openers that never close
+    ("x.js", "+/* a\n" * 100_000 + "+ */ x", "+/* a\n" * 100_000 + "+ */ x", 0),
+    ("x.py", "+\'\'\' a \"\"\" b\n+c \'\'\'\n+x", "+x", 2),
+    ("x.js", "+/* a */\n+/* b */ c\n+// d\n+/* e", "+/* b */ c\n+/* e", 2),
     ("x.js", "+/*\n" + "+ a long comment\n" * 50_000 + "+*/\n+x", "+x", 50_002),
 ]
 

@@ -349,3 +349,52 @@ def test_unknown_versions_are_told_with_the_last_ones(spark):
     assert got[("a", "1.5")] == ("1.4", None)
     assert got[("a", "1.0")][1] == "no earlier published version of a@1.0" and got[("b", "1")][1] == "no earlier published version of b@1"
     assert got[("a", "9.9")][1] == "a has no version 9.9; its last ones are 1.10, 1.11, 1.2, 1.3, 1.4, 1.5, 1.6, 1.7, 1.8, 1.9"
+
+
+def test_nested_lockfiles_of_any_number_and_depth(spark):
+    """Beyond the row limit of recursive SQL, which is set low here, and deep."""
+    deep = '{"version": "1.0"}'
+    for i in range(60):
+        deep = f'{{"version": "{i}.0", "dependencies": {{"d{i}": {deep}}}}}'
+    text = f'{{"lockfileVersion": 1, "dependencies": {{"top": {deep}, "other": {{"version": "2.0"}}}}}}'
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "100")
+    try:
+        files = spark.range(200).selectExpr("concat(id, '/package-lock.json') file_name").withColumn("text", F.lit(text))
+        out = lockfiles.npm_lock_pins(files)
+        assert out.count() == 200 * 62
+        assert {(r.name, r.version) for r in out.where("file_name = '7/package-lock.json'").collect()} == {("top", "59.0"), ("other", "2.0"), ("d0", "1.0"), *((f"d{i}", f"{i - 1}.0") for i in range(1, 60))}
+        assert not [t for t in spark.catalog.listTables() if t.isTemporary and "lock" in t.name]
+        assert lockfiles.npm_lock_pins(files.limit(0)).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
+
+
+def test_yarn_lock_of_very_many_lines(spark):
+    import time
+
+    n = 250_000
+    text = "".join(f'"p{i}@^1.0.0":\n  version "1.{i}"\n  resolved "x"\n\n' for i in range(n))
+    began = time.time()
+    assert lockfiles.yarn_pins(spark.createDataFrame([("yarn.lock", text)], "file_name string, text string")).count() == n
+    assert time.time() - began < 60
+    odd = "  version 9.9\n__metadata:\n  version: 8\na@1, b@2:\n  version: 1.0\n  version: 1.1\nnoversion@1:\n  x y\nno colon\n  version 3.0\n"
+    got = lockfiles.yarn_pins(spark.createDataFrame([("yarn.lock", odd)], "file_name string, text string")).collect()
+    assert {(r.name, r.version) for r in got} == {("a", "1.1"), ("b", "1.1")}
+
+
+def test_predecessors_across_ranges(spark):
+    """A package that fills several ranges, ties aside, has the plain window's predecessors."""
+    from pyspark.sql import Window
+
+    from relsift.operators import history
+
+    rows = spark.range(5000).selectExpr("case when id % 3 = 0 then null when id % 3 = 1 then 'hot' else concat('p', id % 50) end as k", "id * 7919 % 5003 as t", "concat('v', id) as v")
+    parts = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = history.predecessors(rows, ["k"], ["t"], "v")
+        want = rows.withColumn("previous_version", F.lag("v").over(Window.partitionBy("k").orderBy("t")))
+        assert got.columns == want.columns and got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+        assert history.predecessors(rows.limit(0), ["k"], ["t"], "v").count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", parts)
