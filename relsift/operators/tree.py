@@ -7,13 +7,13 @@ hashes, so texts reach the Python diff only for files that changed.
 
 from __future__ import annotations
 
-import difflib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from relsift.operators import diffing
 from relsift.settings import Settings
 
 #: Extensions of the files that are compared.
@@ -83,25 +83,37 @@ def _diff_texts(old: str, new: str, path: str) -> tuple[str, int, int]:
     Lines keep their ends and are joined by newlines, so every other line is empty (D5), and
     changed lines that begin with ++ or -- are not counted (D7).
     """
-    lines = list(difflib.unified_diff(old.splitlines(True), new.splitlines(True), "a/" + path, "b/" + path, lineterm=""))
+    lines = diffing.unified(old.splitlines(True), new.splitlines(True), path)
     plus = sum(x[:1] == "+" and x[:3] != "+++" for x in lines)
     minus = sum(x[:1] == "-" and x[:3] != "---" for x in lines)
     return "\n".join(lines), plus, minus
 
 
-DIFFED = "pair_id string, path string, unified_diff string, lines_added long, lines_removed long"
-
-
-def unified_diffs(changed: DataFrame) -> DataFrame:
-    """Unified diffs of (pair_id, path, from_text, to_text), in Arrow batches."""
+def unified_diffs(changed: DataFrame, *kept: str) -> DataFrame:
+    """Unified diffs of (pair_id, path, from_text, to_text), in Arrow batches; kept: further columns that stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = [_diff_texts(old or "", new or "", path) for path, old, new in zip(*(b.column(c).to_pylist() for c in ("path", "from_text", "to_text")))]
             text, plus, minus = zip(*made) if made else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column("pair_id"), b.column("path"), pa.array(text, pa.string()), pa.array(plus, pa.int64()), pa.array(minus, pa.int64())], ["pair_id", "path", "unified_diff", "lines_added", "lines_removed"])
+            stay = ("pair_id", "path", *kept)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in stay), pa.array(text, pa.string()), pa.array(plus, pa.int64()), pa.array(minus, pa.int64())], [*stay, "unified_diff", "lines_added", "lines_removed"])
+
+    asked = changed.select("pair_id", "path", "from_text", "to_text", *[c for c in kept if c not in ("from_text", "to_text")])
+    more = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in asked.select(*kept).schema) if kept else ""
+    return asked.mapInArrow(run, f"pair_id string, path string, {more}unified_diff string, lines_added long, lines_removed long")
+
+
+def rebuilt(diffs: DataFrame) -> DataFrame:
+    """(pair_id, path, changed, text): new texts from (pair_id, path, from_text, unified_diff); null where a diff doesn't fit its old text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            old, diff = (b.column(c).to_pylist() for c in ("from_text", "unified_diff"))
+            made = [None if d is None else diffing.patched(o or "", d) for o, d in zip(old, diff)]
+            yield pa.RecordBatch.from_arrays([b.column("pair_id"), b.column("path"), pa.array([bool(d) for d in diff]), pa.array(made, pa.string())], ["pair_id", "path", "changed", "text"])
 
-    return changed.select("pair_id", "path", "from_text", "to_text").mapInArrow(run, DIFFED)
+    return diffs.select("pair_id", "path", "from_text", "unified_diff").mapInArrow(run, "pair_id string, path string, changed boolean, text string")
 
 
 #: What ends a line for Python's splitlines once newlines are universal.

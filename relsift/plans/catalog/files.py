@@ -101,20 +101,11 @@ def added_file_body(spark, sf_dir):
     return docs.select("doc_id", tree.added_body(F.col("text")).alias("body"), F.size(tree.lines_of(F.col("text"))).cast("long").alias("lines_added"))
 
 
-@query(f"with {_PAIRS} select cast(doc_id as varchar) || '.js' as path, from_text <> to_text as changed, true as old_rebuilt, true as new_rebuilt from p where from_id is not null")
+@query(f"with {_PAIRS} select cast(doc_id as varchar) || '.js' as path, from_text <> to_text as changed, sha256(to_text) as new_sha256 from p where from_id is not null")
 def unified_diff(spark, sf_dir):
-    """The engine's diffs, checked by what they must give back: the lines that a text has more of than its diff removes
-    or adds, counted as multisets, are those of the other text."""
+    """The engine's diffs, checked by what they must give back: the new text, from the old one and the diff alone."""
     pairs = release_pairs(spark, sf_dir).select(F.col("source").alias("pair_id"), F.concat(F.col("doc_id").cast("string"), F.lit(".js")).alias("path"), "from_text", "to_text")
-    made = tree.unified_diffs(pairs).select("path", "unified_diff", "lines_added", "lines_removed")
-    size = lambda c: F.size(F.split(c, "\n"))
-    last = lambda c: F.when(F.col(c).endswith("\n") | (F.col(c) == ""), 1).otherwise(0)
-    both = pairs.join(made, "path")
-    lines = F.filter(F.split("unified_diff", "\n"), lambda x: x.rlike("^[-+ ]") & ~x.rlike(r"^(---|\+\+\+) [ab]/"))
-    grown = (size("to_text") - last("to_text")) - (size("from_text") - last("from_text"))
-    marked = lambda m: F.size(F.filter("body", lambda x: x.startswith(m)))
-    text = lambda c, m: F.forall(F.filter("body", lambda x: x.startswith(m)), lambda x: F.contains(F.col(c), F.substring(x, 2, 2**31 - 1)))
-    return both.withColumn("body", lines).select("path", (F.col("unified_diff") != "").alias("changed"), ((marked("+") - marked("-") == grown) & text("from_text", "-") & text("from_text", " ")).alias("old_rebuilt"), (text("to_text", "+") & text("to_text", " ")).alias("new_rebuilt"))
+    return tree.rebuilt(tree.unified_diffs(pairs, "from_text")).select("path", "changed", F.sha2("text", 256).alias("new_sha256"))
 
 
 #: Lines of documents as source files: every fourth is made a comment of its file's kind, kinds go by doc_id.
