@@ -81,5 +81,5 @@ def test_stages_on_odd_rows(ready, tmp_path):
 def test_registry():
     import __spark_entry__
 
-    assert len([q for q in QUERIES if q.startswith("op")]) == 10 and "pipeline" in __spark_entry__.queries()
+    assert len([q for q in QUERIES if q.startswith("op")]) == 13 and "pipeline" in __spark_entry__.queries()
     assert set(ORACLES) < set(QUERIES)
