@@ -143,9 +143,9 @@ def new_deps(pairs: DataFrame, added: DataFrame, stats: DataFrame) -> DataFrame:
     return all_.select("pair_id", feed_row("new_deps", status, details).alias("feed"))
 
 
-def no_feeds(pairs: DataFrame) -> DataFrame:
+def no_feeds(pairs: DataFrame, why: str = "Feeds are off.") -> DataFrame:
     """All four feeds without data."""
-    off = lambda n: feed_row(n, F.lit(NO_DATA), F.lit("Feeds are off."))
+    off = lambda n: feed_row(n, F.lit(NO_DATA), F.lit(why))
     return pairs.select("pair_id", F.array(*map(off, FEEDS)).alias("feed_results"))
 
 

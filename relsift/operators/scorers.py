@@ -7,6 +7,8 @@ prompt to text, called in Arrow batches on as many partitions as may call at onc
 
 from __future__ import annotations
 
+import asyncio
+import inspect
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,6 +17,9 @@ from pyspark.sql import functions as F
 
 from relsift.functions.scoring import stub_dimensions
 from relsift.schemas import DIMENSIONS
+from relsift.settings import Settings
+from relsift.sources.calls import in_order
+from relsift.sources.fetch import limited, with_retry
 
 RESPONSE = "struct<dimensions:array<struct<name:string,score:double,confidence:string,reasoning:string>>,summary:string>"
 
@@ -31,17 +36,38 @@ def prompt(content: str) -> str:
     return f"{INSTRUCTIONS}\n<<<DIFF\n{content.replace('<<<DIFF', '').replace('DIFF>>>', '')}\nDIFF>>>"
 
 
-def live(chunks: DataFrame, complete: Callable[[str], str], concurrency: int = 4) -> DataFrame:
-    """Responses of `complete(prompt)`; a failure is an error of its pair."""
+class RateLimited(Exception):
+    """What a scorer's client raises when its service asks for fewer calls, with the seconds to wait if it names them."""
+
+    status = 429
+
+    def __init__(self, message: str = "asked too often", wait: float | None = None):
+        super().__init__(message)
+        self.wait = wait
+
+
+def live(chunks: DataFrame, complete: Callable[[str], str], concurrency: int = 4, at_once: int = 1, settings: Settings = Settings()) -> DataFrame:
+    """Responses of `complete(prompt)`; a failure is an error of its chunk, and so of its pair.
+
+    Chunks are in so many partitions, and each task has at most so many calls under way, whose responses come in the
+    chunks' order. A call that fails with status 429 is made again, after as long as its exception's `wait` says, at most
+    max_retries times. `complete` may be a coroutine function. A chunk without content is asked with an empty one."""
+
+    def one(r: dict) -> dict:
+        def call() -> str:
+            got = complete(prompt(r["content"] or ""))
+            return asyncio.run(got) if inspect.iscoroutine(got) else got
+
+        try:
+            raw, error = with_retry(call, limited, settings), None
+        except Exception as e:  # noqa: BLE001
+            raw, error = None, str(e) or type(e).__name__
+        return {"pair_id": r["pair_id"], "chunk_idx": r["chunk_idx"], "raw": raw, "error": error}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                try:
-                    raw, error = complete(prompt(r["content"])), None
-                except Exception as e:  # noqa: BLE001
-                    raw, error = None, str(e)
-                yield pa.RecordBatch.from_pylist([{"pair_id": r["pair_id"], "chunk_idx": r["chunk_idx"], "raw": raw, "error": error}], pa.schema([("pair_id", pa.string()), ("chunk_idx", pa.int32()), ("raw", pa.string()), ("error", pa.string())]))
+        kind = pa.schema([("pair_id", pa.string()), ("chunk_idx", pa.int32()), ("raw", pa.string()), ("error", pa.string())])
+        for answer in in_order(one, (r for b in batches for r in b.to_pylist()), at_once):
+            yield pa.RecordBatch.from_pylist([answer], kind)
 
     return chunks.repartition(concurrency).select("pair_id", F.col("chunk_idx").cast("int").alias("chunk_idx"), "content").mapInArrow(run, "pair_id string, chunk_idx int, raw string, error string")
 

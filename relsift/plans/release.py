@@ -6,14 +6,14 @@ import time
 from collections.abc import Callable
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relsift.functions.feeds import no_feeds
 from relsift.functions.scoring import caveats, scored
 from relsift.operators import chunk, history, metadata, scorers, strip, tree
-from relsift.schemas import SCHEMA_VERSION, SUMMARY
-from relsift.session import written
+from relsift.schemas import SCHEMA_VERSION, SUMMARY, TIMINGS
+from relsift.session import Stage, side_by_side, written
 from relsift.settings import Settings
 from relsift.sources import archives, fetch
 
@@ -30,6 +30,18 @@ def timed(into: dict, name: str):
         into[name] = round(time.monotonic() - began, 3)
 
 
+def timings(log: list[Stage], total: float) -> Column:
+    """A report's timings from the log of the stages that were written for it (X06). The scorer and the feeds overlap, and
+    analysis is the span of both; what is neither they, nor files, nor the report is counted as diffing."""
+    of = lambda *names: [s for s in log if s.name in names]
+    sums = lambda found: sum(s.seconds for s in found)
+    both = of("responses", "feeds")
+    span = max(s.began + s.seconds for s in both) - min(s.began for s in both) if both else 0.0
+    diffing = [s for s in log if s.name not in ("files", "responses", "feeds", "answers", "added", "report")]
+    seconds = {"fetch": sums(of("files")), "diff": sums(diffing), "llm": sums(of("responses")), "feeds": sums(of("feeds")), "analysis": span, "total": total}
+    return F.struct(*[F.lit(round(v, 3)).alias(f"{k}_seconds") for k, v in seconds.items()]).cast(TIMINGS)
+
+
 def diffs_of(files: DataFrame, settings: Settings = Settings(), strip_comments: bool = False) -> DataFrame:
     """The files' diffs, as a table that summaries and chunks read."""
     diffs = tree.file_diffs(files, settings)
@@ -66,10 +78,19 @@ def _with_bookkeeping(summaries: DataFrame, kept: DataFrame) -> DataFrame:
     return summaries.join(kept, "pair_id").select("pair_id", s.alias("summary"))
 
 
-def reports(pairs: DataFrame, files: DataFrame, feeds: DataFrame | None = None, scorer: Callable[[DataFrame], DataFrame] | None = None, settings: Settings = Settings(), strip_comments: bool = False, split_large: bool = False, model: str = "stub", texts: bool = True) -> DataFrame:
+def _or_failed(responses: DataFrame | Exception, pieces: DataFrame) -> DataFrame:
+    """The responses, or one error a chunk where their job failed."""
+    if isinstance(responses, Exception):
+        return pieces.select("pair_id", "chunk_idx", F.lit(None).cast("string").alias("raw"), F.lit(str(responses)).alias("error"))
+    return responses
+
+
+def reports(pairs: DataFrame, files: DataFrame, feeds: DataFrame | Callable[[DataFrame, DataFrame], DataFrame] | None = None, scorer: Callable[[DataFrame], DataFrame] | None = None, settings: Settings = Settings(), strip_comments: bool = False, split_large: bool = False, model: str = "stub", texts: bool = True) -> DataFrame:
     """One report a pair (lifecycle of a diff). scorer maps chunks to responses; without one the stub rates.
 
-    feeds: (pair_id, feed_results); without them all are no_data. files may have a column error, as those
+    feeds: (pair_id, feed_results), or a function that looks them up for (pairs, (pair_id, new_dependencies)); without them
+    all are no_data. Such a function and a scorer run at the same time; if looking up fails, all feeds are no_data, and if
+    the scorer's job fails, all pairs have its error. files may have a column error, as those
     of archives do: a pair with one is not compared. A pair with such an error, or whose scorer failed, has an
     error and no score; the columns are those of a report, and pair_id and error. texts: whether reports hold the diffs
     themselves; chunks for the scorer do in any case.
@@ -82,7 +103,17 @@ def reports(pairs: DataFrame, files: DataFrame, feeds: DataFrame | None = None,
     summed = diff_summaries(pairs, files, settings, strip_comments, diffs, texts)
     pieces, kept = chunk.chunks(summed, settings, split_large, diffs)
     summed = _with_bookkeeping(summed, kept)
-    rated = scorers.rated_dimensions(scorer(pieces)) if scorer else scorers.stub(pairs)
+    makers: dict[str, Callable[[], DataFrame]] = {}
+    if scorer:
+        makers["responses"] = lambda: scorer(pieces)
+    if callable(feeds):
+        added = written(summed.select("pair_id", F.col("summary.new_dependencies").alias("new_dependencies")), "added")
+        makers["feeds"] = lambda: feeds(pairs, added)
+    made = side_by_side(pairs.sparkSession, makers)
+    rated = scorers.rated_dimensions(_or_failed(made["responses"], pieces)) if scorer else scorers.stub(pairs)
+    if callable(feeds):
+        looked_up = made["feeds"]
+        feeds = no_feeds(pairs, f"The lookup failed: {looked_up}") if isinstance(looked_up, Exception) else looked_up
     feeds = no_feeds(pairs) if feeds is None else feeds
     digests = tree.digests(files).groupBy("pair_id").agg(F.max(F.when(F.col("side") == "from", F.col("digest"))).alias("from_version_sha256"), F.max(F.when(F.col("side") == "to", F.col("digest"))).alias("to_version_sha256"))
     joined = pairs.select(*NAMES).join(summed, "pair_id").join(rated, "pair_id").join(feeds, "pair_id").join(digests, "pair_id", "left")
@@ -113,8 +144,7 @@ def scan(locked: DataFrame, releases: DataFrame, load: Callable[[DataFrame], Dat
 def files_of_requests(requests: DataFrame, settings: Settings = Settings(), opener=None) -> DataFrame:
     """Files of artifacts that are downloaded and verified (S10, S11, P06, P07): requests are (pair_id, side, ecosystem,
     file_name, url, integrity, shasum, sha256). What can't be had, or isn't what its registry says, is a row with an error."""
-    told = requests.select("pair_id", "side", "ecosystem", "integrity", "shasum", "sha256")
-    got = fetch.fetched(requests, settings, opener).join(told, ["pair_id", "side"])
+    got = fetch.fetched(requests, settings, opener)
     content = F.col("content")
     true = F.when(F.col("ecosystem") == "npm", fetch.npm_verified(content, F.col("integrity"), F.col("shasum"))).otherwise(fetch.pypi_verified(content, F.col("sha256")))
     error = F.coalesce("error", F.when(~true, F.concat("file_name", F.lit(": its digest is not what the registry says"))))

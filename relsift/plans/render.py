@@ -29,13 +29,14 @@ def report_text(r: dict) -> str:
     d = r.get("diff_summary") or {}
     out = [f"{r['ecosystem']}: {r['package']} {r['from_version']} -> {r['to_version']}", f"risk {r['risk_score']:.1f}/100 {r['severity']}  {bar(r['risk_score'])}", "", "Dimensions"]
     out += [f"  {x['label']}: {x['score']:.1f}/10 (weight {x['weight']:.2f}) {x['reasoning']}" for x in r["dimensions"]]
-    out += ["", "Feeds"] + [f"  {x['source']}: {x['status']} {x['details']}" for x in r["feed_results"]]
+    out += ["", "Feeds"] + [f"  {x['source']}: {x['status']} {x['details']}" + (f" ({x['url']})" if x.get("url") else "") for x in r["feed_results"]]
     if r.get("score_modifiers"):
         out += ["", f"Modifiers (base {r['llm_base_score']:.1f})"] + [f"  {m['delta']:+.1f} {m['source']}/{m['rule']}: {m['note']}" for m in r["score_modifiers"]]
     if r.get("caveats"):
         out += ["", "Caveats"] + [f"  - {c}" for c in r["caveats"]]
     out += ["", "Diff", f"  +{len(d.get('files_added') or [])} -{len(d.get('files_removed') or [])} ~{len(d.get('files_modified') or [])} files, {d.get('total_diff_lines') or 0} changed lines"]
-    out += [f"  new dependency: {x}" for x in d.get("new_dependencies") or []] + [f"  new install hook: {x}" for x in d.get("new_install_hooks") or []]
+    out += [f"  new dependency: {x}" for x in d.get("new_dependencies") or []] + [f"  dependency gone: {x}" for x in d.get("removed_dependencies") or []] + [f"  new install hook: {x}" for x in d.get("new_install_hooks") or []]
+    out += [f"  {said}" for name, said in (("maintainer_changed", "maintainers differ"), ("native_addons_added", "native code is new")) if d.get(name)]
     out += ["", "Summary", f"  {r.get('llm_summary') or ''}"]
     return "\n".join(plain(x) for x in out)
 

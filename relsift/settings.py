@@ -28,6 +28,9 @@ class Settings:
     dependency_concurrency: int = 3
     npm_registry: str = "https://registry.npmjs.org"
     pypi_registry: str = "https://pypi.org/pypi"
+    osv_api: str = "https://api.osv.dev/v1"
+    pypi_integrity: str = "https://pypi.org/integrity"
+    scorecard_api: str = "https://api.securityscorecards.dev"
     extra_hosts: str = ""
 
     def __post_init__(self):
@@ -35,7 +38,7 @@ class Settings:
             value = getattr(self, name)
             if not low <= value <= high:
                 raise ValueError(f"{name} must be from {low} to {high}, not {value}")
-        for name in ("npm_registry", "pypi_registry"):
+        for name in ("npm_registry", "pypi_registry", "osv_api", "pypi_integrity", "scorecard_api"):
             object.__setattr__(self, name, getattr(self, name).rstrip("/"))
 
     @property

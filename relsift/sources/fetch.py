@@ -18,8 +18,27 @@ PYPI_HOSTS = ("pypi.org", "files.pythonhosted.org")
 MAX_REDIRECTS = 5
 
 
+#: Seconds that are waited at most for a service that asks for more time.
+MAX_WAIT = 120.0
+
+
 class Refused(Exception):
-    """A download that breaks a rule."""
+    """A download that breaks a rule, or that its service refuses: with the service's status, and the seconds it asks to wait."""
+
+    def __init__(self, message: str, status: int | None = None, wait: float | None = None):
+        super().__init__(message)
+        self.status, self.wait = status, wait
+
+
+def limited(e: Exception) -> bool:
+    """Whether a service said that it is asked too often."""
+    return getattr(e, "status", None) == 429
+
+
+def asked_wait(headers: dict) -> float | None:
+    """The seconds of a retry-after header; null where there is none, or it is a date."""
+    text = (headers.get("retry-after") or "").strip()
+    return float(text) if text.isdecimal() else None
 
 
 def check_url(url: str, hosts: tuple[str, ...] = ()) -> str:
@@ -56,6 +75,12 @@ def allowed_hosts(ecosystem: str, settings: Settings) -> tuple[str, ...]:
     return (NPM_HOSTS if ecosystem == "npm" else PYPI_HOSTS) + more
 
 
+def service_hosts(settings: Settings) -> tuple[str, ...]:
+    """Hosts that lookups may go to: those of the settings' services, the registries, and extra ones."""
+    own = (settings.npm_registry, settings.pypi_registry, settings.osv_api, settings.pypi_integrity, settings.scorecard_api)
+    return tuple(h for u in own if (h := urlsplit(u).hostname)) + allowed_hosts("npm", settings)
+
+
 def sri_matches(integrity: Column, content: Column) -> Column:
     """Whether any token of an integrity text is the content's digest."""
     hexes = {"sha512": F.sha2(content, 512), "sha384": F.sha2(content, 384), "sha256": F.sha2(content, 256)}
@@ -82,14 +107,17 @@ def pypi_verified(content: Column, sha256: Column) -> Column:
 
 
 def with_retry(call: Callable[[], object], limited: Callable[[Exception], bool], settings: Settings = Settings(), sleep=time.sleep):
-    """Calls again after 1, 2, 4 ... seconds while the failure is a rate limit."""
+    """Calls again after 1, 2, 4 ... seconds, or as many as the service asks for, while the failure is a rate limit.
+
+    A service that asks for more than MAX_WAIT seconds isn't waited for."""
     for attempt in range(settings.max_retries + 1):
         try:
             return call()
         except Exception as e:
-            if attempt == settings.max_retries or not limited(e):
+            wait = getattr(e, "wait", None)
+            if attempt == settings.max_retries or not limited(e) or (wait or 0) > MAX_WAIT:
                 raise
-            sleep(2**attempt)
+            sleep(2**attempt if wait is None else wait)
 
 
 def download(url: str, hosts: tuple[str, ...], opener: Callable[[str], tuple[int, dict, object]], most: int) -> bytes:
@@ -103,7 +131,7 @@ def download(url: str, hosts: tuple[str, ...], opener: Callable[[str], tuple[int
             url = urljoin(url, headers["location"])
             continue
         if status != 200:
-            raise Refused(f"status {status}: {url}")
+            raise Refused(f"status {status}: {url}", status, asked_wait(headers))
         if int(headers.get("content-length") or 0) > most:
             raise Refused(f"declares more than {most} bytes: {url}")
         out = bytearray()
@@ -119,35 +147,47 @@ def https_opener(settings: Settings = Settings()):
     """An opener over the standard library that doesn't follow redirects."""
     import http.client
 
-    def open_(url: str):
+    def open_(url: str, post: str | None = None):
         parts = urlsplit(url)
         connection = http.client.HTTPSConnection(parts.hostname, parts.port or 443, timeout=settings.http_timeout_seconds)
-        connection.request("GET", (parts.path or "/") + (f"?{parts.query}" if parts.query else ""))
+        where = (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
+        if post is None:
+            connection.request("GET", where)
+        else:
+            connection.request("POST", where, post.encode(), {"content-type": "application/json"})
         reply = connection.getresponse()
         return reply.status, {k.lower(): v for k, v in reply.getheaders()}, iter(lambda: reply.read(1 << 16), b"")
 
     return open_
 
 
+#: Columns of requests that `fetched` carries along, so that archives needn't meet them in a join.
+TOLD = ("ecosystem", "integrity", "shasum", "sha256")
+
+
 def fetched(requests, settings: Settings = Settings(), opener=None, concurrency: int | None = None):
-    """(pair_id, side, file_name, content, error) of requests (pair_id, side, ecosystem, file_name, url).
+    """(pair_id, side, file_name, content, error) of requests (pair_id, side, ecosystem, file_name, url) (S10, S11, X01, X03),
+    and what requests have of TOLD.
 
     The number of partitions bounds how many downloads run at once; a failure is a row's error.
     """
+    told = [c for c in TOLD if c in requests.columns]
+    kept = ["pair_id", "side", "file_name", *told]
 
     def run(batches):
         import pyarrow as pa
 
         get = opener or https_opener(settings)
-        kind = pa.schema([("pair_id", pa.string()), ("side", pa.string()), ("file_name", pa.string()), ("content", pa.binary()), ("error", pa.string())])
+        kind = pa.schema([(c, pa.string()) for c in kept] + [("content", pa.binary()), ("error", pa.string())])
         for b in batches:
             for r in b.to_pylist():
-                row = {k: r[k] for k in ("pair_id", "side", "file_name")} | {"content": None, "error": None}
+                row = {k: r[k] for k in kept} | {"content": None, "error": None}
                 try:
-                    row["content"] = with_retry(lambda: download(r["url"], allowed_hosts(r["ecosystem"], settings), get, settings.max_download_bytes), lambda e: "status 429" in str(e), settings)
+                    row["content"] = with_retry(lambda: download(r["url"] or "", allowed_hosts(r["ecosystem"], settings), get, settings.max_download_bytes), limited, settings)
                 except Exception as e:  # noqa: BLE001  one bad pair must not end the scan
                     row["error"] = str(e)
                 yield pa.RecordBatch.from_pylist([row], kind)
 
     spread = requests.repartition(concurrency or settings.dependency_concurrency)
-    return spread.select("pair_id", "side", "ecosystem", "file_name", "url").mapInArrow(run, "pair_id string, side string, file_name string, content binary, error string")
+    made = ", ".join(f"{c} string" for c in kept) + ", content binary, error string"
+    return spread.select(*kept, "url").mapInArrow(run, made)

@@ -82,6 +82,12 @@ def advisories(responses: DataFrame) -> DataFrame:
     return _json(responses).select("ecosystem", "package", "version", F.when(F.col("j").isNotNull(), ids).alias("ids"))
 
 
+def scorecards(responses: DataFrame) -> DataFrame:
+    """(slug, score, aggregate_score, checks) from answers (package, body) whose package is the repository's slug."""
+    at = lambda p, kind: F.try_variant_get("j", f"$.{p}", kind).alias(p)
+    return _json(responses).where("j is not null").select(F.col("package").alias("slug"), at("score", "double"), at("aggregate_score", "double"), at("checks", "array<struct<name:string,score:string>>"))
+
+
 def pypi_identities(responses: DataFrame) -> DataFrame:
     """(ecosystem, package, version, identity, url): the first bundle that names a publisher."""
     bundle = "struct<publisher:struct<kind:string,repository:string,workflow:string,environment:string>,attestations:array<struct<verification_material:struct<transparency_entries:array<struct<logIndex:string>>>>>>"
