@@ -13,11 +13,25 @@ from pyspark.sql import functions as F
 from relsift.functions import feeds, scoring
 from relsift.operators import metadata, tree
 from relsift.plans.catalog import query, table
-from relsift.sources import archives, lockfiles, manifests, registry
+from relsift.session import written
+from relsift.sources import archives, lockfiles, manifests, registry, services
 
 _NAME = "replace(p_name, ' ', '-')"
 
 
+@query("""select source as package, cast(doc_id as varchar) as version, case doc_id % 4 when 0 then 'no_data' when 1 then 'clean' when 2 then 'malicious' else 'suspicious' end as status,
+  case doc_id % 4 when 0 then null when 1 then '' else case doc_id % 4 when 2 then 'MAL-' else 'A-' end || substr(sha256(coalesce(text, '')), 1, 12) end as ids from documents""")
+def advisories_replayed(spark, sf_dir):
+    """A document as a version whose saved answer of advisories names its text's digest, none, or is a failure; the saved folder also
+    holds an answer of another kind for each, which the data source doesn't give."""
+    k, digest = F.col("doc_id") % 4, F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 12)
+    body = F.when(k == 1, "{}").when(k > 1, F.to_json(F.struct(F.array(F.struct(F.concat(F.when(k == 2, "MAL-").otherwise("A-"), digest).alias("id"))).alias("vulns"))))
+    docs = table(spark, sf_dir, "documents").select(F.lit(services.ADVISORIES).alias("kind"), F.lit("npm").alias("ecosystem"), F.col("source").alias("package"), F.col("doc_id").cast("string").alias("version"), body.alias("body"), F.when(k == 0, 500).otherwise(200).alias("status"), F.when(k == 0, "status 500").alias("error"))
+    saved = written(docs.unionByName(docs.withColumn("kind", F.lit(services.DOCUMENT))), "saved")
+    answers = services.register(spark).read.format(services.NAME).option("replay", saved.scratch).load().where(F.col("kind") == services.ADVISORIES)
+    return registry.advisories(answers).select("package", "version", feeds.advisory_status(F.col("ids")).alias("status"), F.array_join("ids", ",").alias("ids"))
+
+
 @query(f"select distinct p_brand || '/package-lock.json' as file_name, 'npm' as ecosystem, {_NAME} || p_partkey % 40 as name, p_size || '.0.1' as version from part where p_partkey % 9 <> 0")
 def npm_lock_pins(spark, sf_dir):
     """Parts of a brand as one lockfile's packages; every ninth is a link."""
