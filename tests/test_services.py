@@ -134,6 +134,21 @@ def test_diff_command_downloads_asks_and_scores(spark, service, settings, monkey
     assert json.loads(capsys.readouterr().out)["feed_results"] == r["feed_results"] and service.calls["/osv/query"] == asked
 
 
+def test_scan_command_asks_and_scores(spark, service, settings, monkeypatch, capsys, tmp_path):
+    monkeypatch.setattr(cli, "session", lambda: services.register(spark))
+    for name in ("npm_registry", "osv_api", "scorecard_api", "extra_hosts"):
+        monkeypatch.setenv(f"RELSIFT_{name.upper()}", getattr(settings, name))
+    (tmp_path / "archives").mkdir()
+    for v, text in (("1", b"a"), ("2", b"b")):
+        (tmp_path / "archives" / f"p-{v}.tgz").write_bytes(tgz({"index.js": text}))
+    (tmp_path / "package-lock.json").write_text(json.dumps({"packages": {"node_modules/p": {"version": "2"}}}))
+    spark.createDataFrame([("p", "1", "2020-01-01"), ("p", "2", "2021-01-01")], "package string, version string, published_at string").write.parquet(str(tmp_path / "releases"))
+    args = ["scan", str(tmp_path / "package-lock.json"), "--releases", str(tmp_path / "releases"), "--archives", str(tmp_path / "archives"), "--format", "json", "--opener", "tests.fake_service:opener"]
+    assert cli.main([*args, "--feeds", "--scorer", "tests.fake_service:rate", "--threshold", "55"]) == 1
+    row = json.loads(capsys.readouterr().out)
+    assert (row["package"], row["from_version"], row["to_version"], row["error"]) == ("p", "1", "2", None) and row["risk_score"] > 55
+
+
 def test_live_scorer_limits_order_and_failures(spark):
     chunks = spark.createDataFrame([("p", i, f"chunk {i}") for i in range(12)] + [("p", 12, None)], "pair_id string, chunk_idx int, content string")
 
