@@ -92,7 +92,7 @@ def run(args: argparse.Namespace, log: list | None = None) -> int:
     if args.command == "diff":
         pair = ("pair", args.ecosystem, args.package, args.from_version, args.to_version)
         pairs = spark.createDataFrame([pair], "pair_id string, ecosystem string, package string, from_version string, to_version string")
-        side = lambda path, name: archives.archive_files(spark, path, Settings.from_env()).select(F.lit("pair").alias("pair_id"), F.lit(name).alias("side"), "file_name", "content", "error")
+        side = lambda path, name: archives.archive_files(spark, path, Settings.from_env()).select(F.lit("pair").alias("pair_id"), F.lit(name).alias("side"), "file_name", "path", "content", "error")
         settings = Settings.from_env()
         if (args.from_archive is None) != (args.to_archive is None):
             raise ValueError("give both archives or none")
@@ -119,7 +119,7 @@ def run(args: argparse.Namespace, log: list | None = None) -> int:
         releases = spark.read.parquet(args.releases)
         if args.archives:
             settings = Settings.from_env()
-            found = archives.archive_files(spark, args.archives, settings).drop("path")
+            found = archives.archive_files(spark, args.archives, settings)
             load = lambda pairs: written(release.files_of_archives(release.archives_of(pairs, found), settings), "files")  # noqa: E731  archives are unpacked once
             (kind,) = [r[0] for r in files.select(lockfiles.ecosystem_of(F.col("file_name"))).collect()]
             rows = [r.asDict() for r in release.scan(locked.withColumnRenamed("package", "name"), releases, load, kind, args.limit, **options(args, settings)).collect()]  # as many as are printed

@@ -152,7 +152,7 @@ def files_of_requests(requests: DataFrame, settings: Settings = Settings(), open
 
 
 def archives_of(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """(pair_id, side, file_name, content, error) of both sides of the pairs, from archives (file_name, content, error) named as
+    """(pair_id, side, file_name, path, content, error) of both sides of the pairs, from archives (path, file_name, content, error) named as
     registries name them; source archives go before wheels. A side without an archive is a row with an error."""
     sides = pairs.select("pair_id", F.explode(F.array(*[F.struct(F.lit(s).alias("side"), "package", F.col(f"{s}_version").alias("version")) for s in ("from", "to")])).alias("s")).select("pair_id", "s.*")
     same = lambda c: F.regexp_replace(F.lower(c), "[-_.+]+", "-")
@@ -162,9 +162,10 @@ def archives_of(pairs: DataFrame, found: DataFrame) -> DataFrame:
     named = history.best(named, ["key"], [wheel, F.col("file_name")])
     joined = sides.withColumn("key", same(F.concat_ws("-", F.element_at(F.split("package", "/"), -1), "version"))).join(named, "key", "left")
     missing = F.when(F.col("file_name").isNull(), F.concat_ws("", F.lit("no archive of "), "package", F.lit("@"), "version"))
-    return joined.select("pair_id", "side", "file_name", "content", F.coalesce("error", missing).alias("error"))
+    path = F.col("path") if "path" in found.columns else F.lit(None).cast("string").alias("path")
+    return joined.select("pair_id", "side", "file_name", path, "content", F.coalesce("error", missing).alias("error"))
 
 
 def files_of_archives(found: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Files with their facts from archives (pair_id, side, file_name, content, and maybe error), and a row with an error for each that can't be had."""
+    """Files with their facts from archives (pair_id, side, file_name, content or path, and maybe error), and a row with an error for each that can't be had."""
     return tree.with_facts(archives.members(found, settings))

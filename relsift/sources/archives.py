@@ -1,8 +1,13 @@
-"""Members of package archives as rows, read in memory and never written to disk.
+"""Members of package archives as rows, read as streams and never written to disk.
 
-Archives come as (pair_id, side, file_name, content); each gives a row per regular file.
-Limits are checked on the declared sizes before anything is unpacked and on the bytes as they come;
-an archive that breaks one, is beyond the download limit or can't be read gives a single row with an error and no files.
+Archives come as (pair_id, side, file_name) with their content or a path, which the task opens and seeks in; each gives
+a row per regular file. An archive is read twice: first all of it, to check limits on declared sizes and on the bytes as
+they come and to note the names, with nothing kept; then once more, each member given away before the next is read. So
+memory is bounded by one member, and by the archive itself only where it comes as a column.
+
+An archive that breaks a limit, is beyond the download limit or can't be read gives a row with an error. That is its only
+row, unless it changes or fails between the two readings: then rows went out before, and the error row retracts them, as a
+pair with an error is not compared.
 """
 
 from __future__ import annotations
@@ -15,9 +20,11 @@ import zipfile
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from typing import IO
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relsift.settings import Settings
@@ -54,6 +61,11 @@ class _Limits:
                 raise Rejected(f"{name}: more than {most} {what}")
 
 
+#: What the standard readers raise on archives that are none, or broken.
+UNREADABLE = (tarfile.TarError, zipfile.BadZipFile, OSError, EOFError, ValueError, RuntimeError, zlib.error, lzma.LZMAError)
+BLOCK = 1 << 20
+
+
 def _bounded(stream, size: int, name: str) -> bytes:
     data = stream.read(size + 1)
     if len(data) > size:
@@ -61,47 +73,89 @@ def _bounded(stream, size: int, name: str) -> bytes:
     return data
 
 
-def tar_members(content: bytes, settings: Settings) -> list[tuple[str, bytes]]:
-    """Regular files of a tar archive of any compression; links, devices and unsafe paths are skipped."""
-    limits, out = _Limits(settings), {}
-    with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as archive:
-        for m in archive:
-            limits.admit(m.name, m.size if m.isreg() else 0)
-            if m.isreg() and safe_path(m.name):
-                out[m.name.removeprefix("./")] = _bounded(archive.extractfile(m), m.size, m.name)
-    return list(out.items())
-
-
-def zip_members(content: bytes, settings: Settings) -> list[tuple[str, bytes]]:
-    """Regular files of a zip archive; links are told by the mode bits."""
-    limits, out = _Limits(settings), {}
-    with zipfile.ZipFile(io.BytesIO(content)) as archive:
-        entries = archive.infolist()
-        for m in entries:
-            limits.admit(m.filename, m.file_size)
-        for m in entries:
-            if not m.is_dir() and not stat.S_ISLNK(m.external_attr >> 16) and safe_path(m.filename):
-                with archive.open(m) as f:
-                    out[m.filename] = _bounded(f, m.file_size, m.filename)
-    return list(out.items())
-
-
-def read_members(file_name: str, content: bytes, settings: Settings = Settings()) -> list[tuple[str, bytes]]:
-    """By the name's suffix; other names are tried as tar, then as zip."""
+class _Tar:
+    """Tar archives of any compression; links, devices and unsafe paths are skipped."""
+
+    @staticmethod
+    def names(source: IO[bytes], settings: Settings) -> dict[str, int]:
+        """Names with the place of the member that counts, the last of a name; walking over members unpacks all of them."""
+        limits, found = _Limits(settings), {}
+        with tarfile.open(fileobj=source, mode="r:*") as archive:
+            for place, m in enumerate(archive):
+                limits.admit(m.name, m.size if m.isreg() else 0)
+                if m.isreg() and safe_path(m.name):
+                    found[m.name.removeprefix("./")] = place
+        return found
+
+    @staticmethod
+    def contents(source: IO[bytes], wanted: dict[str, int]) -> Iterator[tuple[str, bytes]]:
+        places = {place: name for name, place in wanted.items()}
+        with tarfile.open(fileobj=source, mode="r:*") as archive:
+            for place, m in enumerate(archive):
+                if place in places:
+                    yield places[place], _bounded(archive.extractfile(m), m.size, m.name)
+
+
+class _Zip:
+    """Zip archives by their directory; links are told by the mode bits."""
+
+    @staticmethod
+    def names(source: IO[bytes], settings: Settings) -> dict[str, int]:
+        limits, found = _Limits(settings), {}
+        with zipfile.ZipFile(source) as archive:
+            entries = archive.infolist()
+            for m in entries:
+                limits.admit(m.filename, m.file_size)
+            for place, m in enumerate(entries):
+                if not m.is_dir() and not stat.S_ISLNK(m.external_attr >> 16) and safe_path(m.filename):
+                    found[m.filename] = place
+            for place in found.values():
+                left = entries[place].file_size
+                with archive.open(entries[place]) as f:  # to the end, where its checksum is looked at
+                    while block := f.read(BLOCK):
+                        left -= len(block)
+                        if left < 0:
+                            raise Rejected(f"{entries[place].filename}: larger than declared")
+        return found
+
+    @staticmethod
+    def contents(source: IO[bytes], wanted: dict[str, int]) -> Iterator[tuple[str, bytes]]:
+        with zipfile.ZipFile(source) as archive:
+            entries = archive.infolist()
+            for name, place in wanted.items():
+                with archive.open(entries[place]) as f:
+                    yield name, _bounded(f, entries[place].file_size, name)
+
+
+def read_members(file_name: str, source: IO[bytes] | bytes, settings: Settings = Settings()) -> tuple[list[str], Iterator[tuple[str, bytes]]]:
+    """(all paths, a stream of (path, content)) of an archive that was read through and found right, by the name's suffix; other
+    names are tried as tar, then as zip (S15). The source is something that can be read and sought in, or bytes."""
+    source = io.BytesIO(source) if isinstance(source, bytes) else source
     name = file_name.lower()
     if name.endswith((".whl", ".zip", ".egg")):
-        readers = [zip_members]
+        readers = [_Zip]
     elif name.endswith((".tgz", ".tar.gz", ".tar.bz2", ".tar.xz", ".tar")):
-        readers = [tar_members]
+        readers = [_Tar]
     else:
-        readers = [tar_members, zip_members]
-    for last, reader in zip([*[False] * (len(readers) - 1), True], readers):
+        readers = [_Tar, _Zip]
+    for reader in readers:
+        source.seek(0)
         try:
-            return reader(content, settings)
-        except (tarfile.TarError, zipfile.BadZipFile, OSError, EOFError, ValueError, RuntimeError, zlib.error, lzma.LZMAError) as e:
-            if last:
+            names = reader.names(source, settings)
+        except UNREADABLE as e:
+            if reader is readers[-1]:
                 raise Rejected(f"{file_name}: {e}") from e
-    return []
+            continue
+        return list(names), _again(file_name, source, reader, names)
+    return [], iter(())
+
+
+def _again(file_name: str, source: IO[bytes], reader: type, names: dict[str, int]) -> Iterator[tuple[str, bytes]]:
+    source.seek(0)
+    try:
+        yield from reader.contents(source, names)
+    except UNREADABLE as e:
+        raise Rejected(f"{file_name}: {e}") from e
 
 
 def root_prefix(paths: list[str], file_name: str) -> str:
@@ -116,34 +170,86 @@ def root_prefix(paths: list[str], file_name: str) -> str:
     return f"{next(iter(tops))}/" if alone else ""
 
 
+#: Schemes of paths that tasks open by themselves, with the names that they have there.
+OPENED = {"file": "file", "s3": "s3", "s3a": "s3", "gs": "gs"}
+
+
+def opened(path: str) -> pa.NativeFile:
+    """A file of one of these schemes, to read and seek in."""
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        return fs.LocalFileSystem().open_input_file("/" + rest.lstrip("/"))
+    if scheme not in OPENED:
+        raise OSError(f"a task can't open {path}")
+    system, inside = fs.FileSystem.from_uri(f"{OPENED[scheme]}:{rest}")
+    return system.open_input_file(inside)
+
+
+def _source(path: str | None, content: pa.Scalar) -> IO[bytes]:
+    if content.is_valid:
+        return pa.BufferReader(content.as_buffer())
+    return opened(path) if path else io.BytesIO()
+
+
+#: A batch of members goes out once it has so many, or so many bytes.
+MEMBERS_AT_ONCE, BYTES_AT_ONCE = 256, 4 << 20
+_ROWS = pa.schema([("pair_id", pa.string()), ("side", pa.string()), ("path", pa.string()), ("content", pa.binary()), ("error", pa.string())])
+
+
+def _files(file_name: str, source: IO[bytes], settings: Settings) -> Iterator[tuple[str, bytes]]:
+    """Paths below the package's root, and contents."""
+    names, found = read_members(file_name, source, settings)
+    prefix = root_prefix(names, file_name)
+    for path, content in found:
+        if path.startswith(prefix):
+            yield path.removeprefix(prefix), content
+
+
 def members(archives: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(pair_id, side, path, content, error) of every archive; paths are below the package's root. An archive that comes with an error keeps it."""
+    """(pair_id, side, path, content, error) of every archive; paths are below the package's root. An archive that comes with an
+    error keeps it; one without content is opened at its path, if there is a column of that name, and else is empty."""
+
+    def rows(pair_id: str, side: str, file_name: str, path: str | None, content: pa.Scalar, error: str | None) -> Iterator[tuple]:
+        try:
+            if error is not None:
+                raise Rejected(error)
+            try:
+                source = _source(path, content)
+            except OSError as e:
+                raise Rejected(f"{file_name}: {e}") from e
+            with source:
+                for inside, data in _files(file_name, source, settings):
+                    yield pair_id, side, inside, data, None
+        except Rejected as e:
+            yield pair_id, side, None, None, str(e)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.schema([("pair_id", pa.string()), ("side", pa.string()), ("path", pa.string()), ("content", pa.binary()), ("error", pa.string())])
         for b in batches:
-            for r in b.to_pylist():
-                key = {"pair_id": r["pair_id"], "side": r["side"]}
-                try:
-                    if r["error"] is not None:
-                        raise Rejected(r["error"])
-                    found = read_members(r["file_name"], r["content"] or b"", settings)
-                    prefix = root_prefix([p for p, _ in found], r["file_name"])
-                    rows = [key | {"path": p.removeprefix(prefix), "content": c, "error": None} for p, c in found if p.startswith(prefix)]
-                except Rejected as e:
-                    rows = [key | {"path": None, "content": None, "error": str(e)}]
-                # an archive at a time, and its files in small batches: memory follows the largest archive
-                for lo in range(0, len(rows), 256):
-                    yield pa.RecordBatch.from_pylist(rows[lo : lo + 256], kind)
-
-    error = F.col("error") if "error" in archives.columns else F.lit(None)
-    return archives.select("pair_id", "side", "file_name", "content", error.cast("string").alias("error")).mapInArrow(run, MEMBERS)
-
-
-def archive_files(spark, path: str, settings: Settings = Settings()) -> DataFrame:
-    """(path, file_name, content, error) of archive files, by Spark's own reader; those beyond the download limit have an error and are not read."""
+            keys = zip(*(b.column(c).to_pylist() for c in ("pair_id", "side", "file_name", "path")), b.column("content"), b.column("error").to_pylist())
+            for key in keys:
+                held, size = [], 0
+                for row in rows(*key):
+                    held.append(row)
+                    size += len(row[3] or b"")
+                    if len(held) == MEMBERS_AT_ONCE or size >= BYTES_AT_ONCE:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), _ROWS)], schema=_ROWS)
+                        held, size = [], 0
+                if held:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), _ROWS)], schema=_ROWS)
+
+    given = lambda c, kind: (F.col(c) if c in archives.columns else F.lit(None)).cast(kind).alias(c)
+    return archives.select("pair_id", "side", "file_name", given("path", "string"), given("content", "binary"), given("error", "string")).mapInArrow(run, MEMBERS)
+
+
+def archive_files(spark: SparkSession, path: str, settings: Settings = Settings()) -> DataFrame:
+    """(path, file_name, content, error) of archive files, as Spark lists them; those beyond the download limit have an error.
+
+    Where tasks can open paths by themselves there is no content: then what is joined and shuffled is paths. Elsewhere Spark's reader gives it."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name, most = F.element_at(F.split("path", "/"), -1), settings.max_download_bytes
-    read = found.where(F.col("length") <= most).select("path", name.alias("file_name"), "content", F.lit(None).cast("string").alias("error"))
-    over = found.where(F.col("length") > most).select("path", name.alias("file_name"), F.lit(None).cast("binary").alias("content"), F.concat(name, F.lit(f": more than {most} bytes to download")).alias("error"))
+    none = F.lit(None).cast("binary").alias("content")
+    one = found.select("path").first()
+    by_path = one is not None and one.path.partition(":")[0] in OPENED
+    read = found.where(F.col("length") <= most).select("path", name.alias("file_name"), none if by_path else "content", F.lit(None).cast("string").alias("error"))
+    over = found.where(F.col("length") > most).select("path", name.alias("file_name"), none, F.concat(name, F.lit(f": more than {most} bytes to download")).alias("error"))
     return read.unionByName(over)

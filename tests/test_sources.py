@@ -6,6 +6,7 @@ import io
 import json
 import random
 import tarfile
+import tracemalloc
 import zipfile
 
 import pytest
@@ -70,6 +71,57 @@ def test_limits(limits):
             archives.read_members(name, content, Settings(**limits))
 
 
+def test_members_come_one_at_a_time():
+    """Memory follows one member: an archive of 60 members of 4 MB, which packed is small, by both readers."""
+    members = {f"pkg/m{i}.py": bytes([i]) * (4 << 20) for i in range(60)}
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as z:
+        for name, data in members.items():
+            z.writestr(name, data)
+    for name, content in (("x.tgz", tgz(members, "")), ("x.whl", packed.getvalue())):
+        tracemalloc.start()
+        paths, found = archives.read_members(name, content)
+        seen = {p: (len(c), c[0]) for p, c in found}
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert set(paths) == set(seen) and seen["pkg/m7.py"] == (4 << 20, 7)
+        assert peak < 40 << 20
+
+
+def test_the_last_of_a_name_counts_and_checksums_are_read():
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w") as t:
+        for data in (b"first", b"second one"):
+            info = tarfile.TarInfo("./a.js")
+            info.size = len(data)
+            t.addfile(info, io.BytesIO(data))
+    assert [(p, c) for p, c in archives.read_members("x.tar", out.getvalue())[1]] == [("a.js", b"second one")]
+    broken = bytearray(wheel({"a.py": b"1234567890"}))
+    broken[broken.index(b"1234567890")] = 0
+    with pytest.raises(archives.Rejected):
+        archives.read_members("x.whl", bytes(broken))
+
+
+def test_archives_read_at_their_paths(spark, tmp_path):
+    for name, content in (("a b%20-1.tgz", tgz({"index.js": b"x"})), ("bad.tgz", b"none"), ("w.whl", wheel({"pkg/m.py": b"m"}))):
+        (tmp_path / name).write_bytes(content)
+    found = archives.archive_files(spark, str(tmp_path))
+    assert {r.content for r in found.collect()} == {None}
+    keyed = found.withColumn("pair_id", F.col("file_name")).withColumn("side", F.lit("to"))
+    gone = keyed.where("file_name = 'w.whl'").select("pair_id", F.lit("from").alias("side"), "file_name", F.concat("path", F.lit(".gone")).alias("path"), "content", "error")
+    got = {(r.pair_id, r.side): (r.path, r.content and bytes(r.content), r.error) for r in archives.members(keyed.unionByName(gone)).collect()}
+    assert got["a b%20-1.tgz", "to"] == ("index.js", b"x", None) and got["w.whl", "to"] == ("m.py", b"m", None)
+    assert got["bad.tgz", "to"][2].startswith("bad.tgz: ") and got["w.whl", "from"][2].startswith("w.whl: ")
+
+
+def test_an_archive_that_changes_between_readings_is_retracted():
+    names, found = archives.read_members("x.tgz", source := io.BytesIO(tgz({"a.js": b"1", "b.js": b"2"})))
+    source.seek(0)
+    source.write(bytes(len(source.getvalue())))
+    with pytest.raises(archives.Rejected):
+        list(found)
+
+
 def test_safe_paths(spark):
     cases = {"a/b.js": True, "": False, "/a": False, "a/../b": False, "a\\b": False, "..": False, "a..b": True}
     df = spark.createDataFrame([(p,) for p in cases], "p string").select("p", archives.is_safe(F.col("p")).alias("ok"))
