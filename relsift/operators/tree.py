@@ -170,6 +170,11 @@ def summaries(diffs: DataFrame, texts: bool = True) -> DataFrame:
     return out.select("pair_id", "files_added", "files_removed", "files_modified", F.transform("ordered", drop_rank).alias("file_diffs"), "total_diff_lines", F.transform("skipped", lambda s: s["path"]).alias("skipped_files"))
 
 
+def counts(files: DataFrame) -> DataFrame:
+    """(pair_id, side, files, source_files): files of whole trees at any depth, and those that are compared."""
+    return files.groupBy("pair_id", "side").agg(F.count("*").alias("files"), F.count_if(is_source(F.col("path"))).alias("source_files"))
+
+
 def has_native(files: DataFrame) -> DataFrame:
     """(pair_id, side, native): any sign of a compiled or buildable addon."""
     name = F.element_at(F.split("path", "/"), -1)

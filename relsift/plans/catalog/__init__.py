@@ -32,4 +32,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from relsift.plans.catalog import files, history, inputs, scores, text  # noqa: E402, F401  each registers its queries
+from relsift.plans.catalog import files, history, inputs, packages, scores, text  # noqa: E402, F401  each registers its queries

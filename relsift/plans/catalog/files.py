@@ -131,15 +131,16 @@ def comment_strip(spark, sf_dir):
 _BLOCK = _EXT.replace("'.bat'", "'.ps1'")
 
 
-@query(f"""with d as (select doc_id, {_BLOCK} as ext from documents)
-select doc_id, ext <> '.md' as known, case when ext = '.md' then 0 else 3 end::bigint as gone,
-  sha256(case when ext = '.md' then concat_ws(chr(10), '+/* head', '+ more', '+ end */', '') else '' end || concat_ws(chr(10), '+tail = 1', '+/* open', '+x')) as left_sha256 from d""")
+@query(f"""with d as (select doc_id, {_BLOCK} as ext, string_split(regexp_replace(text, '[^A-Za-z\n]', '', 'g'), chr(10)) as l from documents),
+t as (select doc_id, ext, l, '+=' || array_to_string(l, chr(10) || '+=') || chr(10) || '+/* open' || chr(10) || '+x' as tail from d)
+select doc_id, ext <> '.md' as known, case when ext = '.md' then 0 else len(l) + 2 end::bigint as gone,
+  sha256(case when ext = '.md' then '+/* head' || chr(10) || '+ ' || array_to_string(l, chr(10) || '+ ') || chr(10) || '+ end */' || chr(10) else '' end || tail) as left_sha256 from t""")
 def comment_block_strip(spark, sf_dir):
-    """A diff for each document: a block comment of three lines in its kind's signs, a line that stays, and a block that never closes."""
-    docs = table(spark, sf_dir, "documents").withColumn("ext", F.expr(_BLOCK))
+    """A document's letters as a diff, once in a block comment in its kind's signs and once as code, and then a block that never closes."""
+    docs = table(spark, sf_dir, "documents").withColumn("ext", F.expr(_BLOCK)).withColumn("l", F.split(F.regexp_replace("text", "[^A-Za-z\n]", ""), "\n"))
     opens = F.when(F.col("ext") == ".py", "'''").when(F.col("ext") == ".ps1", "<#").otherwise("/*")
     shuts = F.when(F.col("ext") == ".py", "'''").when(F.col("ext") == ".ps1", "#>").otherwise("*/")
-    body = F.concat(F.lit("+"), opens, F.lit(" head\n+ more\n+ end "), shuts, F.lit("\n+tail = 1\n+/* open\n+x"))
+    body = F.concat(F.lit("+"), opens, F.lit(" head\n+ "), F.array_join("l", "\n+ "), F.lit("\n+ end "), shuts, F.lit("\n+="), F.array_join("l", "\n+="), F.lit("\n+/* open\n+x"))
     diffs = docs.select("doc_id", F.concat(F.lit("f"), F.col("ext")).alias("path"), body.alias("unified_diff"))
     return strip.stripped(diffs).select("doc_id", (F.col("path") != "f.md").alias("known"), F.col("comment_lines_stripped").alias("gone"), F.sha2("unified_diff", 256).alias("left_sha256"))
 
@@ -200,3 +201,88 @@ def preamble(spark, sf_dir):
 select source, lang, doc_id from d where n = 1""")
 def distinct_ordered(spark, sf_dir):
     return chunk.first_occurrences(table(spark, sf_dir, "documents").select("source", "lang", "doc_id"), ["source", "lang"], ["doc_id"])
+
+
+#: Segments of a document's lines as a recursion: which one, and how full it is; lines over the limit are cut first.
+_SEGMENTS = """
+l as (select doc_id, unnest(string_split(coalesce(nullif(text, ''), '(no text)'), chr(10))) as line, generate_subscripts(string_split(coalesce(nullif(text, ''), '(no text)'), chr(10)), 1) as pos from documents),
+c as (select doc_id, pos, line, unnest(range(0, greatest(length(line), 1), 1800)) as start from l),
+d as (select doc_id, substr(line, start + 1, 1800) as piece, row_number() over (partition by doc_id order by pos, start) as i from c),
+f as (select doc_id, i, piece, 0 as seg, length(piece) + 1 as used from d where i = 1
+  union all
+  select d.doc_id, d.i, d.piece, case when f.used + length(d.piece) + 1 > 1800 then f.seg + 1 else f.seg end,
+    case when f.used + length(d.piece) + 1 > 1800 then length(d.piece) + 1 else f.used + length(d.piece) + 1 end
+  from f join d on d.doc_id = f.doc_id and d.i = f.i + 1),
+s as (select doc_id, seg, string_agg(piece, chr(10) order by i) as body from f group by doc_id, seg),
+m as (select doc_id, least(count(*), 3) as n, coalesce(sum(length(body) + 1) filter (where seg >= 3), 0)::bigint as lost from s group by doc_id)"""
+
+
+@query(f"""with recursive {_SEGMENTS}
+select doc_id, (seg + 1)::integer as part, lost > 0 as cut, sha256('## d' || doc_id || '.js, part ' || (seg + 1) || ' of ' || n || ' (added, +' || (doc_id % 7) || ' -0 in all parts)' || chr(10) || '```diff' || chr(10) || body
+ || case when lost > 0 and seg = 2 then chr(10) || '[cut: ' || lost || ' characters beyond 3 part(s) are left out]' else '' end || chr(10) || '```' || chr(10)) as part_sha256
+from s join m using (doc_id) where seg < 3""")
+def split_parts(spark, sf_dir):
+    """Documents as diffs too large for a chunk, in labelled parts of 1800 characters, three a file at most."""
+    d = F.struct(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".js")).alias("path"), F.lit("added").alias("change_type"), (F.col("doc_id") % 7).alias("lines_added"), F.lit(0).cast("long").alias("lines_removed"), F.col("text").alias("unified_diff"))
+    blocks = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("pair_id"), F.lit(1).alias("at"), F.lit(3000).alias("base"), d.alias("d"))
+    got = chunk.split_parts(blocks, Settings(max_tokens_per_chunk=1000, max_split_parts_per_file=3))
+    return got.select(F.col("pair_id").cast("long").alias("doc_id"), "cut", F.posexplode("parts").alias("p", "text")).select("doc_id", (F.col("p") + 1).alias("part"), "cut", F.sha2("text", 256).alias("part_sha256"))
+
+
+@query(f"""with {_PAIRS}, n as (select doc_id, len(string_split(to_text, chr(10))) - case when to_text = '' or suffix(to_text, chr(10)) then 1 else 0 end as t,
+  len(string_split(from_text, chr(10))) - case when from_text = '' or suffix(from_text, chr(10)) then 1 else 0 end as f from p where from_id is not null and from_text <> to_text)
+select doc_id, (t - f)::bigint as net_lines, true as fits from n""")
+def diff_net_lines(spark, sf_dir):
+    """The counts that reports give, of documents as releases of their source: they differ as the texts' lengths do, and are those of the diff's own lines."""
+    pairs = release_pairs(spark, sf_dir).where("from_text <> to_text").select("source", F.col("doc_id").cast("string").alias("path"), "from_text", "to_text")
+    got = tree.unified_diffs(pairs.withColumnRenamed("source", "pair_id"))
+    marked = lambda sign: F.size(F.filter(F.split("unified_diff", "\n"), lambda x: x.startswith(sign) & ~x.startswith(sign * 3)))
+    fits = (marked("+") == F.col("lines_added")) & (marked("-") == F.col("lines_removed"))
+    return got.select(F.col("path").cast("long").alias("doc_id"), (F.col("lines_added") - F.col("lines_removed")).alias("net_lines"), fits.alias("fits"))
+
+
+#: Chunks of a pair as a recursion over its blocks: the first chunk holds more than the others, which begin with a line that says so.
+_BOOKS = """
+p as (select doc_id // 20 as pair, 'd' || doc_id || '.js' as path, coalesce(text, '') as text from documents),
+h as (select pair, '# What the release changes' || chr(10) || chr(10) || 'added files: ' || count(*) || chr(10) || 'removed files: 0' || chr(10) || 'modified files: 0' || chr(10) || 'changed lines: ' || count(*) || chr(10) || chr(10)
+  || '## Added' || chr(10) || string_agg('  + ' || path, chr(10) order by path) || chr(10) || chr(10) || '# Diffs' || chr(10) as head from p group by pair),
+b as (select pair, path, '## ' || path || ' (added, +1 -0)' || chr(10) || '```diff' || chr(10) || case when text = '' then '(no text)' else text end || chr(10) || '```' || chr(10) as block from p),
+d as (select pair, path, length(head) as base, length(block) > 4000 as cut,
+  case when length(block) > 4000 then substr(block, 1, 3800) || chr(10) || '[cut: 3800 of ' || length(block) || ' characters fit into 1000 tokens, ' || (length(block) - 3800) || ' are left out]' || chr(10) else block end as block,
+  row_number() over (partition by pair order by path) as i from b join h using (pair)),
+f as (select pair, path, base, cut, block, i, 0 as chunk, length(block) as used from d where i = 1
+  union all
+  select d.pair, d.path, d.base, d.cut, d.block, d.i, case when f.used + length(d.block) > 4000 - d.base - (case when f.chunk = 0 then 0 else 14 end) then f.chunk + 1 else f.chunk end,
+    case when f.used + length(d.block) > 4000 - d.base - (case when f.chunk = 0 then 0 else 14 end) then length(d.block) else f.used + length(d.block) end
+  from f join d on d.pair = f.pair and d.i = f.i + 1)"""
+
+
+def _books(spark, sf_dir):
+    """Twenty documents as the new files of a pair, in chunks of 4000 characters, eight a pair at most."""
+    docs = table(spark, sf_dir, "documents").select((F.floor(F.col("doc_id") / 20)).cast("string").alias("pair_id"), F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".js")).alias("path"), F.coalesce("text", F.lit("")).alias("unified_diff"))
+    one = F.lit(1).cast("long")
+    diffs = docs.select("pair_id", "path", F.lit(tree.ADDED).alias("change_type"), one.alias("lines_added"), (one - 1).alias("lines_removed"), "unified_diff")
+    none = F.array().cast("array<string>")
+    no = F.lit(False)
+    summary = F.struct(
+        "files_added", none.alias("files_removed"), none.alias("files_modified"), F.size("files_added").cast("long").alias("total_diff_lines"), none.alias("new_dependencies"), none.alias("removed_dependencies"), none.alias("new_install_hooks"),
+        no.alias("maintainer_changed"), no.alias("native_addons_added"), no.alias("comments_stripped"), F.lit(0).cast("long").alias("comment_lines_stripped"),
+    )
+    summaries = docs.groupBy("pair_id").agg(F.sort_array(F.collect_list("path")).alias("files_added")).select("pair_id", summary.alias("summary"))
+    return chunk.chunks(summaries, Settings(max_tokens_per_chunk=1000, max_chunks_per_analysis=8), diffs=diffs)
+
+
+@query(f"""with recursive {_BOOKS}, t as (select pair, chunk, string_agg(block, chr(10) order by i) as body from f where chunk < 8 group by pair, chunk)
+select pair, chunk::integer as chunk, sha256(head || chr(10) || case when chunk > 0 then '# More diffs' || chr(10) else '' end || body) as chunk_sha256 from t join h using (pair)""")
+def chunk_contents(spark, sf_dir):
+    """Whole chunks as a scorer reads them: facts, labelled fenced blocks, what was cut."""
+    return _books(spark, sf_dir)[0].select(F.col("pair_id").cast("long").alias("pair"), F.col("chunk_idx").alias("chunk"), F.sha2("content", 256).alias("chunk_sha256"))
+
+
+@query(f"""with recursive {_BOOKS}
+select pair, least(max(chunk) + 1, 8)::bigint as chunks_sent, bool_or(cut) as diff_truncated, coalesce(string_agg(path, ',' order by path) filter (where cut), '') as truncated,
+  coalesce(string_agg(path, ',' order by path) filter (where chunk >= 8), '') as not_analyzed from f group by pair""")
+def chunk_books(spark, sf_dir):
+    """What the bookkeeping of the same chunks says of files that were cut or left out."""
+    names = lambda c: F.array_join(c, ",")
+    return _books(spark, sf_dir)[1].select(F.col("pair_id").cast("long").alias("pair"), F.col("chunks_sent_to_llm").alias("chunks_sent"), "diff_truncated", names("truncated_files").alias("truncated"), names("files_not_analyzed").alias("not_analyzed"))

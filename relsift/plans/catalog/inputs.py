@@ -14,6 +14,7 @@ from relsift.functions import feeds, scoring
 from relsift.operators import metadata, tree
 from relsift.plans.catalog import query, table
 from relsift.session import written
+from relsift.settings import Settings
 from relsift.sources import archives, lockfiles, manifests, registry, services
 
 _NAME = "replace(p_name, ' ', '-')"
@@ -125,6 +126,36 @@ def archive_members(spark, sf_dir):
     return tree.with_facts(read).select("pair_id", "side", "path", "sha256")
 
 
+@query("""with l as (select doc_id, string_split(coalesce(text, ''), chr(10)) as l from documents),
+s as (select doc_id, len(l) as files, list_max(list_transform(l, lambda x: octet_length(encode(x)))) as largest, list_sum(list_transform(l, lambda x: octet_length(encode(x)))) as total from l)
+select doc_id, files > 40 or largest > 1500 or total > 9000 as rejected, case when files > 40 or largest > 1500 or total > 9000 then 0 else files end::bigint as files,
+  case when files > 40 or largest > 1500 or total > 9000 then 0 else total end::bigint as bytes from s""")
+def archive_limits(spark, sf_dir):
+    """A document's lines as the members of an archive, even documents' as a tar and others' as a zip, read under small limits of members, of bytes in one and of bytes in all."""
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+                lines = (text or "").split("\n")
+                out = io.BytesIO()
+                if doc_id % 2:
+                    with zipfile.ZipFile(out, "w") as z:
+                        for i, line in enumerate(lines):
+                            z.writestr(f"p/l{i}", line.encode())
+                else:
+                    with tarfile.open(fileobj=out, mode="w:gz", compresslevel=1) as t:
+                        for i, line in enumerate(lines):
+                            info = tarfile.TarInfo(f"p/l{i}")
+                            info.size = len(line.encode())
+                            t.addfile(info, io.BytesIO(line.encode()))
+                yield pa.RecordBatch.from_arrays([pa.array([str(doc_id)]), pa.array(["p.zip" if doc_id % 2 else "p.tgz"]), pa.array([out.getvalue()], pa.binary())], ["pair_id", "file_name", "content"])
+
+    made = table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(packed, "pair_id string, file_name string, content binary").withColumn("side", F.lit("to"))
+    read = archives.members(made, Settings(max_archive_files=40, max_archive_file_bytes=1500, max_extracted_bytes=9000))
+    got = read.groupBy(F.col("pair_id").cast("long").alias("doc_id")).agg(F.bool_or(F.col("error").isNotNull()).alias("rejected"), F.count("path").alias("files"), F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).cast("long").alias("bytes"))
+    return got.select("doc_id", "rejected", "files", "bytes")
+
+
 @query(r"""with p as (select page_id, regexp_replace(url, '^[a-z]+://', '') as p from pages),
 q as (select page_id, case page_id % 4 when 0 then '/' || p when 1 then '../' || p when 2 then replace(p, '/', chr(92)) else p end as path from p)
 select page_id, path <> '' and not contains(path, chr(92)) and not starts_with(path, '/') and not list_contains(string_split(path, '/'), '..') as safe from q""")

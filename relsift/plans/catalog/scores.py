@@ -114,16 +114,18 @@ def feed_fold(spark, sf_dir):
     return _scored(spark, sf_dir).select("k", "risk_score", "severity", F.array_join(F.transform("score_modifiers", lambda m: m["rule"]), ",").alias("rules"))
 
 
-@query("select score, case when score >= 80 then 'CRITICAL' when score >= 55 then 'HIGH' when score >= 30 then 'MEDIUM' else 'LOW' end as severity from (values (0.0::double), (29.9), (30.0), (54.9), (55.0), (79.9), (80.0), (100.0)) t(score)")
+@query("select doc_id, n_chars % 1001 / 10.0::double as score, case when n_chars % 1001 >= 800 then 'CRITICAL' when n_chars % 1001 >= 550 then 'HIGH' when n_chars % 1001 >= 300 then 'MEDIUM' else 'LOW' end as severity from documents")
 def severity_bucket(spark, sf_dir):
-    rows = spark.createDataFrame([(x,) for x in (0.0, 29.9, 30.0, 54.9, 55.0, 79.9, 80.0, 100.0)], "score double")
-    return rows.select("score", scoring.severity(F.col("score")).alias("severity"))
+    """A score for each document, from 0 to 100 by tenths."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") % 1001 / F.lit(10.0)).alias("score"))
+    return docs.select("doc_id", "score", scoring.severity(F.col("score")).alias("severity"))
 
 
-@query(f"with {_FOLD} select k, true as decomposes from z")
+@query(f"with {_FOLD} select k, cast(risk + case when k % 4 = 0 then 1 else 0 end as double) as risk_score, k % 4 <> 0 as decomposes from z")
 def score_decomposition(spark, sf_dir):
-    out = _scored(spark, sf_dir)
-    return out.select("k", scoring.decomposes(out).alias("decomposes"))
+    """Whether base and modifiers, as reports list them, give the score; every fourth report's is a point off, which is told."""
+    off = _scored(spark, sf_dir).withColumn("risk_score", F.round(F.col("risk_score") + F.when(F.col("k") % 4 == 0, 1).otherwise(0), 1))
+    return off.select("k", "risk_score", scoring.decomposes(off).alias("decomposes"))
 
 
 _EVEN = " + ".join(f"cast(s{i} as decimal(10,4)) * {w} * 10" for i, w in enumerate((0.5, 0.5, 0, 0, 0, 0)))
