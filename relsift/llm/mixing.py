@@ -13,9 +13,9 @@ sorted before it. A budget of e whole epochs and a rest takes every document e t
 once more the documents, words for the last one, that the rest reaches: the cut is exact.
 
 Defined results: null text has size 0 and takes 0. Repeated rows are documents of their own;
-equal keys order by doc_id, then size. Targets are doubles, budgets their floor. A source of size 0
-has target 0; an empty table gives an empty table. Reruns agree: keys depend on doc_id and
-SEED alone. Columns other than doc_id, text and source are neither read nor returned.
+equal keys order by doc_id, then size. Keys depend on doc_id, the text and SEED alone, so that reruns agree and rows
+that have no id, or share one, are spread like others; only rows equal in both share a key, and a range. Targets are
+doubles, budgets their floor. A source of size 0 has target 0; an empty table gives an empty table. Columns other than doc_id, text and source are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -30,7 +30,8 @@ MOST = 3
 SEED = "mix"
 #: Rows that a range of keys should hold.
 RANGE_ROWS = 4_000
-KEY_BITS = 40
+#: Bits of a key that choose its range: their number times the number of ranges stays below 2**63.
+KEY_BITS = 32
 
 
 def sized(documents: DataFrame) -> DataFrame:
@@ -39,7 +40,7 @@ def sized(documents: DataFrame) -> DataFrame:
         F.col("doc_id"),
         F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"),
-        F.sha2(F.concat(F.lit(SEED + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256).substr(1, 32).alias("key"),
+        F.sha2(F.concat_ws(":", F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit(""))), 256).substr(1, 32).alias("key"),
     )
 
 
@@ -70,7 +71,7 @@ def mixed(documents: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     sources = sources.withColumn("ranges", F.greatest(F.ceil(F.col("n_rows") / range_rows), F.lit(1)).cast("long")).withColumnRenamed("source", "of")
     sources = written(sources, "sources")  # Spark then knows its size, and broadcasts it if that is small
     number = F.conv(F.substring("key", 1, KEY_BITS // 4), 16, 10).cast("long")
-    ranged = docs.join(sources, F.col("source").eqNullSafe(F.col("of"))).withColumn("range", F.floor(number * F.col("ranges") / F.lit(float(1 << KEY_BITS))).cast("long")).drop("of", "n_rows", "ranges")
+    ranged = docs.join(sources, F.col("source").eqNullSafe(F.col("of"))).withColumn("range", F.shiftright(number * F.col("ranges"), KEY_BITS)).drop("of", "n_rows", "ranges")
     totals = ranged.groupBy(F.col("source").alias("of"), F.col("range").alias("nth")).agg(F.sum("size").alias("words"))
     ahead = Window.partitionBy("of").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
     opens = totals.select("of", "nth", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("opens"))

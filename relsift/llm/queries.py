@@ -125,7 +125,7 @@ select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, c
 from d left join hit using (r) left join items using (r)""",
     "op8_mix": r"""
 with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
-  substr(sha256('mix:' || coalesce(cast(doc_id as varchar), '')), 1, 32) as key from documents),
+  substr(sha256('mix:' || coalesce(cast(doc_id as varchar), '') || ':' || coalesce(text, '')), 1, 32) as key from documents),
 s as (select source, sum(size)::hugeint as source_size from d group by source),
 w as (select *, ((row_number() over (order by source nulls last) - 1) % 3 + 1)::hugeint as w, source_size * 3 as cap, sum(source_size) over () as total from s),
 f as (select *, row_number() over o as nth, coalesce(sum(cap) over (o rows between unbounded preceding and 1 preceding), 0) as filled,

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from conftest_llm import documents, prose
 
 
@@ -379,6 +380,14 @@ def test_mixing(ready):
     assert mixing.mixed(documents(ready, [(1, None, "a")])).first().taken == 0
 
 
+def test_mixing_spreads_rows_without_an_id(ready):
+    """Thousands of rows without an id: a key each, by their texts."""
+    docs = ready.range(5_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"), F.lit("a").alias("source"))
+    assert mixing.sized(docs).select("key").distinct().count() == 5_000
+    out = mixing.mixed(docs, 50).agg(F.count("*").alias("n"), F.sum("taken").alias("taken")).first()
+    assert (out.n, out.taken) == (5_000, 10_000)
+
+
 def test_components_of_long_chains(ready):
     from relsift.llm._graph import components as find
 
