@@ -71,7 +71,7 @@ class Page:
     """The elements that are open at a place of a page; every step takes time in proportion to what it opens or closes."""
 
     def __init__(self):
-        self.open: list[tuple[str, Node | None, int]] = []  # name, what it lies in or is, open SCOPES up to it
+        self.open: list[tuple[str, Node | None, int, int]] = []  # name, what it lies in or is, open SCOPES and open cells up to it
         self.at: dict[str, list[int]] = {}
         self.active: Counter = Counter()
         self.links = 0
@@ -82,6 +82,9 @@ class Page:
     def scopes(self) -> int:
         return self.open[-1][2] if self.open else 0
 
+    def cells(self) -> int:
+        return self.open[-1][3] if self.open else 0
+
     def push(self, name: str, words: tuple) -> None:
         node = self.node()
         if name not in INLINE:
@@ -89,13 +92,13 @@ class Page:
             node = Node(name, own, tuple(f for f in own if not self.active[f]), node)
             self.active.update(own)
         self.at.setdefault(name, []).append(len(self.open))
-        self.open.append((name, node, self.scopes() + (name in SCOPES)))
+        self.open.append((name, node, self.scopes() + (name in SCOPES), self.cells() + (name in ("td", "th"))))
         self.links += name == "a"
 
     def close_to(self, k: int) -> None:
         """Closes all elements from number k on."""
         while len(self.open) > k:
-            name, node, _ = self.open.pop()
+            name, node, *_ = self.open.pop()
             self.at[name].pop()
             self.links -= name == "a"
             if name not in INLINE:
@@ -199,7 +202,7 @@ def _reaches(here: Page, k: int, name: str) -> bool:
     within = here.scopes() - here.open[k][2]
     cell = here.open[k][0] in ("td", "th")
     if name == "tr" and not cell:  # cells in between don't matter
-        return within - sum(1 for c in ("td", "th") for i in here.at.get(c, ()) if i > k) == 0
+        return within == here.cells() - here.open[k][3]
     return within == 0
 
 
