@@ -93,17 +93,16 @@ def _apart(tokens: Column, base: Column) -> Column:
 
 
 def samples(spark: SparkSession, documents: DataFrame) -> DataFrame:
-    """Labelled samples (text, secret): digests in several alphabets are secrets; function names,
-    numbers, and the distinct words of all documents, alone and joined, are not."""
+    """Labelled samples (text, secret): digests in several alphabets are secrets; numbers, and the distinct
+    words of all documents, alone and joined, are not. They depend on the documents alone, not on the session."""
     digest = F.sha2(F.concat(F.lit("sample "), F.col("id").cast("string")), 512)
     made = spark.range(RANDOM_ROWS).select(digest.alias("hex"), F.base64(F.unhex(digest)).alias("b64"))
     url = F.translate("b64", "+/=", "-_")
     random = made.select(F.explode(F.array(F.substring("hex", 1, 40), F.substring("b64", 1, 44), F.substring(url, 1, 40), F.substring(F.upper(F.translate("b64", "+/=", "")), 1, 24), F.regexp_replace("b64", "[^A-Za-z0-9]", ""))).alias("text")).select("text", F.lit(1).alias("secret"))
     numbers = spark.range(RANDOM_ROWS).select(F.regexp_replace(F.abs(F.xxhash64("id")).cast("string"), "^-", "").alias("text"), F.lit(0).alias("secret"))
-    names = spark.sql("show functions").select(F.col("function").alias("text")).where("text rlike '^[A-Za-z_0-9]{3,}$'").select("text", F.lit(0).alias("secret"))
     words = documents.select(F.explode(F.array_distinct(F.regexp_extract_all(F.col("text").cast("string"), F.lit(r"(?<![A-Za-z0-9])[A-Za-z]{3,19}(?![A-Za-z0-9])"), F.lit(0)))).alias("text")).distinct()
     joined = words.select(F.explode(F.array(F.col("text"), F.concat("text", F.lit("_"), F.lower("text"), F.lit("_id")), F.concat(F.lower("text"), F.initcap("text")), F.concat(F.upper("text"), F.lit("_"), F.upper("text")), F.concat(F.lit("/"), F.col("text"), F.lit("-"), F.lower("text"), F.lit("/")))).alias("text"), F.lit(0).alias("secret"))
-    return random.unionByName(numbers).unionByName(names.withColumn("secret", F.lit(0))).unionByName(joined)
+    return random.unionByName(numbers).unionByName(joined)
 
 
 def fit(labelled: DataFrame) -> list[int]:

@@ -257,6 +257,14 @@ def test_ordinary_words_come_from_all_documents(ready):
     assert secrets.samples(ready, docs).join(docs.select("text"), "text", "left_semi").count() == 5_000
 
 
+def test_weights_do_not_depend_on_the_session(ready):
+    docs = documents(ready, [(i, prose(i, 40)) for i in range(30)])
+    before = secrets.fit(secrets.samples(ready, docs))
+    for i in range(20):
+        ready.udf.register(f"zq{i}xqj{'qz' * i}", lambda x: x)
+    assert secrets.fit(secrets.samples(ready, docs)) == before
+
+
 def test_secret_plan_has_no_python(ready):
     docs = documents(ready, SECRETS)
     plan = secrets.scan(docs, [0] * (len(secrets.SIGNS) + 1) ** 2)._jdf.queryExecution().executedPlan().toString()
