@@ -5,13 +5,14 @@ the sum of sizes before it alone, so a key's rows are numbers on a line, and chu
 function: from x on to the greatest sum within the room, or over the one row at x where that has no room. The steps:
 
 1. Running sums: rows are sorted by key and order, dealt by range; each range sums its own, and ranges' totals are added up.
-2. Each key's line is cut into stretches of SPAN rooms. A stretch, with the first sums of the next, is all that is needed to
+2. Each key's line is cut into stretches of SPAN rooms, or of LEAST_WIDE where that is more: with little or no room a stretch would
+   else hold a row or none, and a call of Python be spent on each. A stretch, with the first sums of the next, is all that is needed to
    follow the function from any of its sums to the first head beyond: these jumps are kept for sums by which one can come in.
 3. Jumps from 0 on give each stretch's first head and its number: by one task while jumps are few, else by
    pointer doubling, each round a written table.
 4. Each stretch numbers its rows from its first head.
 
-A stretch holds SPAN rooms of sums, distinct whole numbers, whatever the key; nothing else is grouped. Rows of size 0 stay in the chunk
+A stretch holds at most as many sums as it is wide, distinct whole numbers, whatever the key; nothing else is grouped. Rows of size 0 stay in the chunk
 before them, unless that is one row too large for it.
 """
 
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from relsift.session import prepare, written
 
 SPAN = 16
+#: A stretch is so wide at least, and so holds so many sums at most where rooms are small.
+LEAST_WIDE = 1 << 20
 #: So many jumps are one task's work.
 ALONE = 1 << 20
 
@@ -136,7 +139,7 @@ def packed(rows: DataFrame, key: str, order: list[str], size: str, room: Column,
     made = rows.withColumns({"__room": room.cast("long"), "__first": (room if first_room is None else first_room).cast("long"), "__size": F.coalesce(F.col(size), F.lit(0)).cast("long")})
     summed = written(running_sums(made, key, order, "__size", "__ahead").withColumn("__key", name), "sums")
     reach = F.greatest("room", "first_room", F.lit(0))
-    line = summed.select(F.col("__key").alias("key"), F.col("__ahead").alias("ahead"), F.col("__size").alias("n"), F.col("__room").alias("room"), F.col("__first").alias("first_room")).withColumn("wide", F.greatest(reach * SPAN, F.lit(1024)))
+    line = summed.select(F.col("__key").alias("key"), F.col("__ahead").alias("ahead"), F.col("__size").alias("n"), F.col("__room").alias("room"), F.col("__first").alias("first_room")).withColumn("wide", F.greatest(reach * SPAN, F.lit(LEAST_WIDE)))
     large = F.col("n") > F.when(F.col("ahead") == 0, F.col("first_room")).otherwise(F.col("room"))
     stretch = lambda at: F.floor(at / F.col("wide"))
     here = lambda at, shift, n, own, over: F.struct((stretch(at) - shift).alias("stretch"), at.alias("ahead"), n.cast("long").alias("n"), F.lit(own).alias("own"), F.lit(over).alias("over"))

@@ -71,3 +71,23 @@ def test_empty(spark):
 def test_cap(spark):
     got = chunk.packed_rows(table(spark, {"a": [60] * 5}), "k", "i", "n", 100, most=2).orderBy("i").collect()
     assert [r.chunk for r in got] == [0, 1, -1, -1, -1] and got[0].asDict().keys() == {"k", "i", "n", "chunk"}
+
+
+@pytest.mark.parametrize("wide", [1024, packing.LEAST_WIDE])
+def test_stretches_of_any_width(spark, monkeypatch, wide):
+    monkeypatch.setattr(packing, "LEAST_WIDE", wide)
+    out = packing.packed(table(spark, CASES), "k", ["i"], "n", F.lit(100), F.lit(37), 0)
+    got = {(r.k, r.i): r.chunk for r in out.collect()}
+    assert got == {(k, i): c for k, sizes in CASES.items() for i, c in enumerate(plain([n or 0 for n in sizes], 37, 100))}
+
+
+def test_rows_without_room_share_stretches(spark):
+    """Twenty keys whose facts alone fill a chunk: a call of Python for each row made this minutes."""
+    import time
+
+    began = time.time()
+    rows = spark.range(60_000).select((F.col("id") % 20).cast("string").alias("k"), F.col("id").alias("i"), (F.col("id") * 7919 % 6001 + 1).alias("n"))
+    got = packing.packed(rows, "k", ["i"], "n", F.lit(-5000))
+    facts = got.groupBy("k").agg(F.max("chunk").alias("m"), F.countDistinct("chunk").alias("d")).agg(F.min("m"), F.max("m"), F.sum("d")).first()
+    assert tuple(facts) == (2999, 2999, 60_000)
+    assert time.time() - began < 60
