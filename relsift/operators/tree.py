@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relsift.operators import diffing
+from relsift.operators import batches, diffing
 from relsift.settings import Settings
 
 #: Extensions of the files that are compared.
@@ -92,8 +92,8 @@ def _diff_texts(old: str, new: str, path: str) -> tuple[str, int, int]:
 def unified_diffs(changed: DataFrame, *kept: str) -> DataFrame:
     """Unified diffs of (pair_id, path, from_text, to_text), in Arrow batches; kept: further columns that stay."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+    def run(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches.slices(given, "from_text", "to_text"):
             made = [_diff_texts(old or "", new or "", path) for path, old, new in zip(*(b.column(c).to_pylist() for c in ("path", "from_text", "to_text")))]
             text, plus, minus = zip(*made) if made else ((), (), ())
             stay = ("pair_id", "path", *kept)
@@ -107,8 +107,8 @@ def unified_diffs(changed: DataFrame, *kept: str) -> DataFrame:
 def rebuilt(diffs: DataFrame) -> DataFrame:
     """(pair_id, path, changed, text): new texts from (pair_id, path, from_text, unified_diff); null where a diff doesn't fit its old text."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+    def run(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches.slices(given, "from_text", "unified_diff"):
             old, diff = (b.column(c).to_pylist() for c in ("from_text", "unified_diff"))
             made = [None if d is None else diffing.patched(o or "", d) for o, d in zip(old, diff)]
             yield pa.RecordBatch.from_arrays([b.column("pair_id"), b.column("path"), pa.array([bool(d) for d in diff]), pa.array(made, pa.string())], ["pair_id", "path", "changed", "text"])
