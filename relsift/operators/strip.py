@@ -2,7 +2,7 @@
 
 Lines go that stand behind a diff marker and hold a comment as a whole, or run from where one opens a line to
 where it closes, with nothing after the closer and no header or unmarked line between. Line comments are one
-pattern a language, in the JVM. Diffs in which a block opens are read once from front to back in Arrow batches: the
+pattern a language, in the JVM. Diffs in which a block opens are read once from front to back in Python: the
 next closer and the next line that no block may cross only ever move on, so that openers that never close
 cost no more than others. Line counts of the diff stay those of the real change.
 """
@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -84,9 +83,10 @@ def cleared(diff: str, extension: str) -> str:
     return "".join([*out, text[kept:]])[1:]
 
 
-@F.pandas_udf(StringType())
-def _cleared(diffs: pd.Series, extensions: pd.Series) -> pd.Series:
-    return pd.Series([None if d is None else cleared(d, e) for d, e in zip(diffs, extensions)], dtype=object)
+# rows come a hundred at a time, so that no batch of many large diffs is held with what is made of it
+@F.udf(StringType(), useArrow=False)
+def _cleared(diff: str | None, extension: str) -> str | None:
+    return None if diff is None else cleared(diff, extension)
 
 
 def without_comments(diff: Column, extension: Column) -> Column:

@@ -176,3 +176,11 @@ def test_release_reports_of_a_hot_source(spark, tmp_path):
         kept = {i for i, s, _ in rows if s == r.package and i % 7}
         old, new = {i for i in kept if i // 20 % 2 == 0}, {i - 20 for i in kept if i // 20 % 2}
         assert (r.n_added, r.n_removed, r.n_modified) == (len(new - old), len(old - new), len(old & new))
+
+
+def test_block_comments_are_read_row_by_row(spark):
+    """Large diffs don't wait for a whole Arrow batch of others."""
+    got = strip.stripped(spark.createDataFrame([("f.js", "+/* a\n+ b */\n+c"), ("f.js", None), (None, "+/* a */")], "path string, unified_diff string"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+    assert [(r.unified_diff, r.comment_lines_stripped) for r in got.collect()] == [("+c", 2), (None, 0), ("+/* a */", 0)]
