@@ -7,19 +7,30 @@ from __future__ import annotations
 
 import ast
 import configparser
+import re
 import tomllib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from packaging.requirements import InvalidRequirement, Requirement
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from relsift.operators.batches import slices
+
 PYTHON_MANIFESTS = ("pyproject.toml", "setup.cfg", "setup.py", "requirements.txt")
 
 
+#: A requirement that is a name alone.
+_PLAIN = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._-]*[A-Za-z0-9])?")
+
+
+@lru_cache(1 << 14)
 def requirement_name(spec: str) -> str | None:
     """Lower-cased name of a requirement, None if it is none."""
+    if _PLAIN.fullmatch(spec):
+        return spec.lower()
     try:
         return Requirement(spec.strip().rstrip(",")).name.lower()
     except (InvalidRequirement, ValueError):
@@ -30,6 +41,8 @@ def _names(specs) -> set[str]:
     return {n for s in specs if isinstance(s, str) and (n := requirement_name(s))}
 
 
+# a file is asked for its dependencies, then for its authors: the last one's parsed form is kept
+@lru_cache(1)
 def _toml(text: str) -> dict:
     try:
         return tomllib.loads(text)
@@ -63,6 +76,7 @@ def setup_cfg_dependencies(text: str) -> set[str]:
     return _names(line for v in values for line in v.splitlines())
 
 
+@lru_cache(1)
 def _tree(text: str) -> list[ast.AST]:
     try:
         return list(ast.walk(ast.parse(text)))
@@ -130,11 +144,14 @@ def npm_manifests(files: DataFrame) -> DataFrame:
 
 
 def python_manifests(files: DataFrame) -> DataFrame:
-    """(pair_id, side, path, deps, author) of root manifests and modules, in Arrow batches."""
+    """(pair_id, side, path, deps, author) of root manifests and modules, in Arrow batches.
+
+    Parsing takes long for few bytes, so files are dealt to all tasks first: a small table may be read by one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         authors = {"pyproject.toml": pyproject_author, "setup.py": setup_py_author}
-        for b in batches:
+        for b in slices(batches, "text"):
             rows = []
             for pair, side, path, text in zip(*(c.to_pylist() for c in b.columns)):
                 deps = DEPENDENCIES.get(path, lambda _: set())(text or "")
@@ -144,7 +161,9 @@ def python_manifests(files: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist(rows, kind)
 
     wanted = files.where(F.col("path").isin(*PYTHON_MANIFESTS) | (F.col("path").endswith(".py") & ~F.contains("path", F.lit("/"))))
-    return wanted.select("pair_id", "side", "path", "text").mapInArrow(run, "pair_id string, side string, path string, deps array<string>, author string, dunder string")
+    # a given number, which isn't lowered for small shuffles
+    spread = wanted.select("pair_id", "side", "path", "text").repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "pair_id", "side", "path")
+    return spread.mapInArrow(run, "pair_id string, side string, path string, deps array<string>, author string, dunder string")
 
 
 def manifest_facts(files: DataFrame) -> DataFrame:
