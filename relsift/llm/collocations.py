@@ -6,13 +6,17 @@ phrase of 2 to LONGEST words is a candidate if it occurs LEAST times or more wit
 1. Words are counted by language, exactly: frequent words are the first prefixes, and all words together are n.
 2. Pairs of neighbouring frequent words are counted by a 64-bit hash. Which pairs are frequent is told to tasks by a bit
    map of a fixed size (8 MB): it may let a pair too many through and never one too few.
-3. Projection: each occurrence of a frequent prefix of two words points at what follows it, up to LONGEST words and as far as
-   pairs are frequent. Tasks cannot follow pointers into other tasks' texts, so a pointer is the words it reads; equal
-   ones become one row with a weight, in each task and then in all.
-4. Growth: the projections are sorted, so that those of a prefix stand together, and dealt by range: a task grows its
+3. Phrases of three words or more, whose pairs are all frequent, are counted in a sketch of a fixed number of slots (16 MB a
+   task). What shares a slot adds up, so a map (2 MB) of slots with LEAST or more may let a phrase too many through and never
+   one too few.
+4. Projection: each occurrence of a frequent prefix of two words points at what follows it, up to LONGEST words and as far as
+   pairs are frequent and longer phrases may be: what is read no further takes no part in any candidate. Tasks cannot follow
+   pointers into other tasks' texts, so a pointer is the words it reads; equal ones become one row with a weight, in each
+   task and then in all. So rows follow the frequent phrases and not the ways in which frequent pairs are strung together.
+5. Growth: the projections are sorted, so that those of a prefix stand together, and dealt by range: a task grows its
    prefixes to the right, depth first, a longer prefix being a narrower interval of rows. A prefix with very many
    projections lies in several ranges, whose sums are added; nothing is held but a batch.
-5. Counts of parts meet the candidates cut after each word; a candidate inside a longer one that occurs as often goes. It is
+6. Counts of parts meet the candidates cut after each word; a candidate inside a longer one that occurs as often goes. It is
    enough to look one word further: counts never grow with length, so if a longer phrase occurs as often, all between do.
 
 Counts and products are exact: decimals of 38 digits. Defined results: null text is empty; a null lang is `und`; rows count
@@ -22,7 +26,10 @@ documents don't matter. An empty table gives an empty one.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -32,17 +39,23 @@ from pyspark.sql import functions as F
 from relsift.llm import _bloom as bloom
 from relsift.llm import _text as T
 from relsift.llm._session import written
+from relsift.operators.batches import slices
 
 LEAST = 100
 LONGEST = 5
 TOP = 2000
 #: Bits of the maps of frequent words and pairs: 8 MB each.
 MAP_BITS = 26
+#: Slots of the sketch of longer phrases are 2 to this power; a row of it holds _PART of them.
+SKETCH_BITS = 24
+_PART = 1 << 12
 ENDS = T.separators(lambda b: b not in b".,;:!?\n\x0b\x0c\r")
 _BETWEEN = ENDS | T.separators(lambda b: b not in b"\x20\x09")
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
-#: A batch of distinct words or pairs is sent on at about so many.
-_HELD = 1 << 18
+#: A batch of distinct words is sent on at about so many; pairs, which are plain numbers, at more.
+_HELD = 1 << 17
+#: Texts of an Arrow batch are taken up so many bytes at a time.
+_TAKEN = 8 << 20
 
 
 class Pieces:
@@ -63,6 +76,22 @@ class Pieces:
         with np.errstate(over="ignore"):
             return T.mix(self.h[:-1] * _PAIR + self.h[1:])
 
+    def phrases(self, words: np.ndarray, pairs: np.ndarray, longest: int, longer: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of 2, 3, ... `longest` words: flags of the words that begin a phrase without infrequent parts, and the phrases' hashes.
+
+        Parts are looked up in the maps of frequent words, pairs and, where it is given, longer phrases.
+        """
+        often, h = bloom.asked(words, self.h), self.pairs()
+        fine = self.joined[1:] & often[1:] & often[:-1] & bloom.asked(pairs, h)
+        yield fine, h
+        for n in range(3, longest + 1):
+            with np.errstate(over="ignore"):
+                h = T.mix(h[:-1] * _PAIR + self.h[n - 1 :])
+            fine = fine[:-1] & fine[1:]
+            if longer is not None:
+                fine &= bloom.asked(longer, h)
+            yield fine, h
+
     def same_bytes(self, other: np.ndarray) -> np.ndarray:
         """Of each word, if its bytes are those of the word that other names."""
         size = self.words.ends - self.words.starts
@@ -90,13 +119,14 @@ def _salt(lang: str) -> int:
 
 
 def _languages(batch: pa.RecordBatch) -> Iterator[tuple[str, Pieces]]:
-    texts, langs = T.as_bytes(batch.column("text")), batch.column("lang").to_pylist()
-    for lang in dict.fromkeys(langs):
-        own = [t for t, x in zip(texts, langs) if x == lang]
-        for lo, hi in T.slices(own):
-            pieces = Pieces(own[lo:hi], _salt(lang))
-            if len(pieces):
-                yield lang, pieces
+    for b in slices([batch], "text", most=_TAKEN):
+        texts, langs = T.as_bytes(b.column("text")), b.column("lang").to_pylist()
+        for lang in dict.fromkeys(langs):
+            own = [t for t, x in zip(texts, langs) if x == lang]
+            for lo, hi in T.slices(own):
+                pieces = Pieces(own[lo:hi], _salt(lang))
+                if len(pieces):
+                    yield lang, pieces
 
 
 def _rows(documents: DataFrame) -> DataFrame:
@@ -141,18 +171,22 @@ def frequent_pairs(documents: DataFrame, words: np.ndarray, least: int) -> DataF
         size = 0
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
-            names, number = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
-            return names, np.bincount(number, weights=np.concatenate([h[1] for h in held]), minlength=len(names)).astype(np.int64)
+            names, f = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            order = np.argsort(names)
+            names, f = names[order], f[order]
+            first = np.flatnonzero(np.diff(names, prepend=~names[:1]))
+            return names[first], np.add.reduceat(f, first)
 
         for b in batches:
             for _, p in _languages(b):
                 often = bloom.asked(shared.value, p.h)
                 held.append(np.unique(p.pairs()[p.joined[1:] & often[1:] & often[:-1]], return_counts=True))
                 size += len(held[-1][0])
-                if size > 8 * _HELD:
+                if size > 16 * _HELD:
                     held = [merged()]
                     size = len(held[0][0])
-                    if size > 4 * _HELD:
+                    if size > 8 * _HELD:
                         yield pa.RecordBatch.from_arrays([pa.array(held[0][0].view(np.int64)), pa.array(held[0][1])], ["term", "f"])
                         held, size = [], 0
         if held:
@@ -162,17 +196,44 @@ def frequent_pairs(documents: DataFrame, words: np.ndarray, least: int) -> DataF
     return _rows(documents).mapInArrow(run, "term long, f long").groupBy("term").agg(F.sum("f").alias("f")).where(F.col("f") >= least).select("term")
 
 
-def reach(follows: np.ndarray, longest: int) -> np.ndarray:
-    """How many of follows[i], follows[i + 1], ... are true in a row, longest - 1 at most."""
-    out = np.zeros(len(follows), np.int64)
-    for _ in range(longest - 1):
-        out = np.where(follows, 1 + np.append(out[1:], 0), 0)
-    return out
+def longer_map(documents: DataFrame, words: np.ndarray, pairs: np.ndarray, least: int, longest: int) -> np.ndarray:
+    """Map of the hashes of phrases of 3 to `longest` words whose slot counts `least` or more; none that frequent is missing.
 
+    A task's counts stop at `least`: sums reach it all the same.
+    """
+    shared = documents.sparkSession.sparkContext.broadcast((words, pairs))
+    bits, kind = SKETCH_BITS, np.min_scalar_type(least)
 
-def projections(documents: DataFrame, words: np.ndarray, pairs: np.ndarray, longest: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often_words, often_pairs = shared.value
+        slots = np.zeros(1 << bits, kind)
+        for b in batches:
+            for _, p in _languages(b):
+                for fine, h in list(p.phrases(often_words, often_pairs, longest))[1:]:
+                    at, times = np.unique((h[fine] & np.uint64(len(slots) - 1)).astype(np.int64), return_counts=True)
+                    slots[at] = np.minimum(slots[at] + times, least)
+        for part, counts in enumerate(slots.reshape(-1, _PART)):
+            if counts.any():
+                yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([zlib.compress(counts.tobytes(), 1)])], ["part", "counts"])
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # rows come sorted by part; one part is held at a time
+        rows = ((k, np.frombuffer(zlib.decompress(c), kind).astype(np.int64)) for b in batches for k, c in zip(*(x.to_pylist() for x in b.columns)))
+        for part, own in groupby(rows, itemgetter(0)):
+            flags = np.packbits(sum(c for _, c in own) >= least, bitorder="little")
+            if flags.any():
+                yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([flags.tobytes()])], ["part", "flags"])
+
+    parts = _rows(documents).mapInArrow(run, "part long, counts binary").repartition("part").sortWithinPartitions("part")
+    packed = np.zeros((1 << bits) >> 3, np.uint8)
+    for row in parts.mapInArrow(merged, "part long, flags binary").collect():
+        packed[row.part * _PART >> 3 : (row.part + 1) * _PART >> 3] = np.frombuffer(row.flags, np.uint8)
+    return packed
+
+
+def projections(documents: DataFrame, words: np.ndarray, pairs: np.ndarray, longer: np.ndarray, longest: int) -> DataFrame:
     """(lang, words, weight): what follows the occurrences of frequent prefixes, equal ones as one row."""
-    shared = documents.sparkSession.sparkContext.broadcast((words, pairs))
+    shared = documents.sparkSession.sparkContext.broadcast((words, pairs, longer))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, bytes], int] = {}
@@ -182,11 +243,12 @@ def projections(documents: DataFrame, words: np.ndarray, pairs: np.ndarray, long
             held.clear()
             return out
 
-        often_words, often_pairs = shared.value
+        often_words, often_pairs, often_longer = shared.value
         for b in batches:
             for lang, p in _languages(b):
-                often = bloom.asked(often_words, p.h)
-                n = reach(p.joined[1:] & often[1:] & often[:-1] & bloom.asked(often_pairs, p.pairs()), longest)
+                n = np.zeros(len(p), np.int64)
+                for fine, _ in p.phrases(often_words, often_pairs, longest, often_longer):
+                    n[: len(fine)] += fine
                 first = np.flatnonzero(n)
                 for w in p.texts_of(first, first + n[first]):
                     key = lang, w
@@ -257,7 +319,8 @@ def phrases(documents: DataFrame, least: int = LEAST, longest: int = LONGEST) ->
     often = words.where(F.col("f") >= least)
     known = bloom.bit_map(often.select("term"), MAP_BITS)
     pairs = bloom.bit_map(written(frequent_pairs(documents, known, least), "pairs"), MAP_BITS)
-    projected = written(projections(documents, known, pairs, longest), "projections")
+    longer = longer_map(documents, known, pairs, least, longest)
+    projected = written(projections(documents, known, pairs, longer, longest), "projections")
     found = written(often.select("lang", "phrase", F.lit(1).alias("size"), "f").unionByName(grown(projected, least)), "phrases")
     return found, words.groupBy("lang").agg(F.sum("f").alias("n"))
 

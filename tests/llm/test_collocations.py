@@ -97,6 +97,25 @@ def test_maps_that_let_all_through(ready, monkeypatch):
     assert sorted(map(tuple, co.collocations(table(ready, rows), 5).collect())) == plain(rows, 5)
 
 
+@pytest.mark.parametrize(("bits", "least"), [(12, 5), (16, 2), (24, 300)])
+def test_sketch_of_any_size(ready, monkeypatch, bits, least):
+    """Full slots cost time and no result; counts above a byte are counts too."""
+    monkeypatch.setattr(co, "SKETCH_BITS", bits)
+    rows = corpus(4, 250) + [("en", "one two three four five " * 80)] * 4
+    assert sorted(map(tuple, co.collocations(table(ready, rows).repartition(5), least).collect())) == plain(rows, least)
+
+
+def test_projections_end_with_the_frequent_phrases(ready, monkeypatch):
+    """All pairs of these words are frequent and few longer phrases are: rows follow the phrases, not the ways to string pairs together."""
+    r = random.Random(6)
+    rows = [("en", " ".join(r.choice("abcdefghij") for _ in range(50))) for _ in range(200)] + [("en", "a b c d e f")] * 30
+    tables = {}
+    monkeypatch.setattr(co, "written", lambda df, name, written=co.written: tables.setdefault(name, written(df, name)))
+    assert sorted(map(tuple, co.collocations(table(ready, rows).repartition(4), 30).collect())) == plain(rows, 30)
+    frequent = tables["phrases"].where("size > 1").count()
+    assert 100 <= tables["projections"].count() <= frequent + 5
+
+
 def test_intervals_add_up():
     words = sorted([b"a b", b"a b c", b"a b c d", b"a c", b"b b b b b", b"b b"])
     whole = co.intervals(np.zeros(6, np.int64), words, np.arange(1, 7), 0)
